@@ -17,8 +17,8 @@ least 4/5 share at least o(x) = ceil(4/5 |x|) tokens.
    |x| - o(x) + 1. Rare tokens are class 1 and are indexed singly, frequent ones
    are class 2 or 3 and are indexed by all their combinations of 2 or 3, which
    few documents share.
-5. Documents that share a signature are verified on their shared tokens, and
-   all links form the components.
+5. Documents that share a signature, whose sizes and tokens from there on allow a
+   link, are verified on their shared tokens, and all links form the components.
 
 Why a common signature is sure: take the document whose prefix ends first in
 the global order, x. All tokens of its prefix that y has are in y's prefix. If
@@ -50,7 +50,7 @@ WIDTH = 5
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Documents a token may be in to be indexed singly, and by pairs.
-SINGLE_DF, PAIR_DF = 256, 16_384
+SINGLE_DF, PAIR_DF = 2048, 65_536
 MINHASHES = 3
 #: Rows of one minhash group that one task compares; larger groups are salted.
 GROUP_ROWS = 4096
@@ -93,7 +93,7 @@ def _minhashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by group; each is compared with the group's pivots, or becomes one."""
+    """Rows come sorted by group, those with fewest tokens of their own (the least edited) first; each is compared with the group's pivots, or becomes one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivots = None, []
@@ -123,26 +123,33 @@ def early_links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = reps.select("id", "tokens").mapInArrow(_minhashes, "key long, id long")
     groups = keys.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / GROUP_ROWS).alias("salts"))
     dealt = keys.join(groups, "key").select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), "id")
-    rows = reps.join(dealt, "id").select("key", "salt", "n", "id", "tokens")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id").mapInArrow(_stars(percent), "a long, b long")
+    rows = reps.join(dealt, "id").select("key", "salt", "n", "id", (F.col("n") - F.size("tokens")).alias("own"), "tokens")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "own", "n", "id").mapInArrow(_stars(percent), "a long, b long")
 
 
-def signatures(token: np.ndarray, df: np.ndarray, n: int, percent: int = PERCENT) -> list[int]:
-    """Signatures of a set of n tokens, of which `token` (rarest first) are those that can link; the others come before them."""
-    goal, spent = n - needed(n, percent) + 1 - (n - len(token)), 0
+def signatures(token: np.ndarray, df: np.ndarray, n: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n tokens, and the most it can share with a set that it first meets there.
+
+    `token` are those that can link, rarest first; the others come before them.
+    Tokens ahead of the first common one are not shared, but for one of class 2
+    ahead of class 3.
+    """
+    goal, spent, m = n - needed(n, percent) + 1 - (n - len(token)), 0, len(token)
     classes = np.where(df <= SINGLE_DF, 1, np.where(df <= PAIR_DF, 2, 3))
-    own: dict[int, list[int]] = {1: [], 2: [], 3: []}
-    for t, k in zip(token.tolist(), classes.tolist()):
+    own: dict[int, list[tuple[int, int]]] = {1: [], 2: [], 3: []}
+    for place, (t, k) in enumerate(zip(token.tolist(), classes.tolist())):
         if spent >= goal:
             break
-        own[k].append(t)
+        own[k].append((t, m - place + (k == 3)))
         spent += len(own[k]) >= k
-    out = own[1]
+    made, most = [np.array([t for t, _ in own[1]], np.int64)], [np.array([x for _, x in own[1]], np.int64)]
     for k in (2, 3):
         if len(own[k]) >= k:
-            picks = np.array(list(combinations(sorted(own[k]), k)), np.int64).view(np.uint64)
-            out = out + mix((picks * ORDER_CODE[40 : 40 + k]).sum(axis=1) + ORDER_CODE[50 + k : 51 + k]).view(np.int64).tolist()
-    return out
+            picks = np.array(list(combinations(range(len(own[k])), k)))
+            values = np.sort(np.array([t for t, _ in own[k]], np.int64)[picks], axis=1).view(np.uint64)
+            made.append(mix((values * ORDER_CODE[40 : 40 + k]).sum(axis=1) + ORDER_CODE[50 + k : 51 + k]).view(np.int64))
+            most.append(np.array([x for _, x in own[k]], np.int64)[picks[:, 0]])
+    return np.concatenate(made), np.concatenate(most)
 
 
 def _index(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -150,8 +157,8 @@ def _index(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             for i in range(batch.num_rows):
                 who, n, comp, pairs = (batch[c][i].as_py() for c in ("id", "n", "comp", "ranked"))
-                made = signatures(np.array([p["t"] for p in pairs], np.int64), np.array([p["df"] for p in pairs], np.int64), n, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (made, [who] * len(made), [n] * len(made), [comp] * len(made))], ["sig", "id", "n", "comp"])
+                sig, most = signatures(np.array([p["t"] for p in pairs], np.int64), np.array([p["df"] for p in pairs], np.int64), n, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.array(np.full(len(sig), v, np.int64)) for v in (who, n, comp)), pa.array(most)], ["sig", "id", "n", "comp", "most"])
 
     return run
 
@@ -163,9 +170,10 @@ def cross_links(reps: DataFrame, comp: DataFrame, percent: int = PERCENT) -> Dat
     crossing = each.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "df")
     ranked = each.join(crossing, "t").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ranked"))
     able = ranked.where((F.col("n") > 3) & (F.size("ranked") * 100 >= F.col("n") * percent))
-    index = write_table(able.mapInArrow(_index(percent), "sig long, id long, n long, comp long"), "signatures")
+    index = write_table(able.mapInArrow(_index(percent), "sig long, id long, n long, comp long, most long"), "signatures")
     x, y = index.alias("x"), index.alias("y")
     near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    near = near & (F.least("x.most", "y.most") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
