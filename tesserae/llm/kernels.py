@@ -156,5 +156,30 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(out)
 
 
-def utf8(texts: list[str | None]) -> pa.Array:
-    return pa.array(texts, pa.string())
+GRAM_BITS = 16
+
+
+def padded(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with every white space a blank and one around each row, A-Z lowered if asked; where each row's begin."""
+    m = len(offsets) - 1
+    out = np.full(len(data) + m + 1, 0x20, np.uint8)
+    row = np.repeat(np.arange(m), np.diff(offsets))
+    out[np.arange(len(data)) + row + 1] = np.where(NOT_SPACE[data], ASCII_LOWER[data] if lower else data, 0x20)
+    return out, offsets + np.arange(m + 1)
+
+
+def grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 3- and the 4-gram at each byte (the last three have none of their own)."""
+    b = text.astype(np.uint32)
+    three = (b[:-3] << np.uint32(16)) | (b[1:-2] << np.uint32(8)) | b[2:-1]
+    four = (three << np.uint32(8)) | b[3:]
+    shift = np.uint32(32 - GRAM_BITS)
+    return (three * np.uint32(0x9E3779B1)) >> shift, (four * np.uint32(0x85EBCA6B)) >> shift
+
+
+def word_spans(text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of a padded text, and the first word of each row."""
+    inside = text != 0x20
+    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    return start, end, np.searchsorted(start, begin)

@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ASCII_LOWER, NOT_SPACE, Slice, row_sums, slices
+from .kernels import GRAM_BITS, grams, padded, row_sums, slices, word_spans
 from .sampling import bounded
 
 PER_LANGUAGE = 1500
-BITS = 16
 SMOOTHING = 0.5
 #: Share of a gram's log-likelihood that counts, as overlapping grams are no independent evidence.
 TEMPER = 0.5
@@ -37,45 +36,19 @@ MOST_LANGUAGES = 3
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
-def padded(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with A-Z lowered, every white space a blank and one around each row; where each row's begin."""
-    m = s.last - s.first
-    out = np.full(len(s.data) + m + 1, 0x20, np.uint8)
-    row = np.repeat(np.arange(m), np.diff(s.offsets))
-    out[np.arange(len(s.data)) + row + 1] = np.where(NOT_SPACE[s.data], ASCII_LOWER[s.data], 0x20)
-    return out, s.offsets + np.arange(m + 1)
-
-
-def grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 3- and the 4-gram at each byte (the last three have none of their own)."""
-    b = text.astype(np.uint32)
-    three = (b[:-3] << np.uint32(16)) | (b[1:-2] << np.uint32(8)) | b[2:-1]
-    four = (three << np.uint32(8)) | b[3:]
-    shift = np.uint32(32 - BITS)
-    return (three * np.uint32(0x9E3779B1)) >> shift, (four * np.uint32(0x85EBCA6B)) >> shift
-
-
-def word_spans(text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word of a padded text, and the first word of each row."""
-    inside = text != 0x20
-    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-    end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    return start, end, np.searchsorted(start, begin)
-
-
 def train(texts: pa.Array, labels: np.ndarray, n_labels: int) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood tables (bucket, language) of 3- and 4-grams."""
-    counts = np.zeros((2, n_labels, 1 << BITS))
+    counts = np.zeros((2, n_labels, 1 << GRAM_BITS))
     for s in slices(texts):
-        text, begin = padded(s)
+        text, begin = padded(s.data, s.offsets)
         if len(text) < 4:
             continue
         three, four = grams(text)
         label = np.repeat(labels[s.first : s.last], np.diff(begin))[: len(three)]
         for k, g in enumerate((three, four)):
-            flat = label[: len(g)] * (1 << BITS) + g[: len(label)]
-            counts[k] += np.bincount(flat, minlength=n_labels << BITS).reshape(n_labels, -1)
-    odds = np.log((counts + SMOOTHING) / (counts.sum(axis=2, keepdims=True) + SMOOTHING * (1 << BITS)))
+            flat = label[: len(g)] * (1 << GRAM_BITS) + g[: len(label)]
+            counts[k] += np.bincount(flat, minlength=n_labels << GRAM_BITS).reshape(n_labels, -1)
+    odds = np.log((counts + SMOOTHING) / (counts.sum(axis=2, keepdims=True) + SMOOTHING * (1 << GRAM_BITS)))
     return odds[0].T.astype(np.float32).copy(), odds[1].T.astype(np.float32).copy()
 
 
@@ -158,7 +131,7 @@ def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str]) ->
             chosen: list[list[int]] = [[] for _ in range(batch.num_rows)]
             shares: list[list[float]] = [[] for _ in range(batch.num_rows)]
             for s in slices(batch["text"], max(1 << 16, (4 << 20) // max(4, len(names)))):
-                text, begin = padded(s)
+                text, begin = padded(s.data, s.offsets)
                 if tables is None or len(text) < 4:
                     continue
                 start, end, first = word_spans(text, begin)

@@ -12,7 +12,9 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .langid import identify
 from .packing import best_fit_packing
+from .quality import classify
 from .sampling import fold
+from .toxicity import score_toxicity
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -29,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 5) != 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir), fold(F.col("doc_id"), 4) != 2)
 
@@ -49,12 +55,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), tokenizer_file())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
