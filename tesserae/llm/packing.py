@@ -17,7 +17,7 @@ any others. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,54 +27,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import Slice, prefix_sums, range_hash, row_sums, slices
 from .storage import write_table
 
 CONTEXT = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks, on average.
 RANK_ROWS = 250_000
-#: Word pieces a worker remembers, and the longest it does.
-CACHE_WORDS, CACHE_CHARS = 400_000, 32
+#: Distinct words a worker remembers the ids of, about 20 bytes each.
+CACHE_WORDS = 800_000
+SLICE_BYTES = 1 << 20
+#: Texts that the tokenizer gets at once: what it returns is many times their size.
+ENCODE_AT_ONCE = 1024
+SLICE_ROWS = 4096
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
 
-#: The characters for which LATIN_SPLIT splits as the vocabulary's own pattern does.
-LATIN = re.compile(r"[\n\t\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+")
+#: Byte classes of plain text: 0 not plain, 1 letters (and the bytes of \xc0-\xff), 2 digits, 3 other marks, 4 white space.
+CLASS = np.zeros(256, np.uint8)
+CLASS[0x21:0x7F] = 3
+CLASS[0x30:0x3A] = 2
+CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = 1
+CLASS[[0x09, 0x0A, 0x20]] = 4
+CLASS[0x27] = 0
+
+
+def _ends(size: np.ndarray | list[int]) -> np.ndarray:
+    out = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=out[1:])
+    return out
 
 
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, from the tokenizer.
 
-    A text of plain Latin characters is split into words as the vocabulary's
-    pattern splits it, and each distinct word is encoded once; any other text is
-    encoded whole. Both give the tokenizer's own ids.
+    The vocabulary's pattern cuts plain Latin text (no apostrophes, no runs of
+    white space) where the class of characters changes, a space going with what
+    follows it. Such texts are cut so, and each distinct word is encoded once;
+    words are told apart by 64 bits of hash. Other texts are encoded whole. Both
+    give the ids of the whole text.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [LATIN_SPLIT.findall(t) if LATIN.fullmatch(t) else [t] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list(set().union(*split) - self.known.keys())
-        known = self.known
-        got = dict(zip(fresh, self._encode(fresh)))
-        known.update((w, ids) for w, ids in got.items() if len(w) <= CACHE_CHARS)
-        long = {w: ids for w, ids in got.items() if len(w) > CACHE_CHARS}
-        if not long:
-            return [b"".join(map(known.__getitem__, ws)) for ws in split]
-        return [b"".join(long[w] if w in long else known[w] for w in ws) for ws in split]
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        #: Sorted hashes, and where their ids begin and end, in an old and a new part.
+        self.parts = [self._part() for _ in range(2)]
+
+    def _part(self, *columns: np.ndarray) -> list[np.ndarray]:
+        return list(columns) or [np.zeros(0, np.uint64), np.zeros(1, np.int32), np.zeros(0, self.dtype)]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(texts), ENCODE_AT_ONCE):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + ENCODE_AT_ONCE], add_special_tokens=False)]
+        return out
+
+    @staticmethod
+    def _gather(part: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the words at these places, end to end, and their numbers."""
+        size = part[1][at + 1] - part[1][at]
+        begin = np.cumsum(size, dtype=np.int32) - size
+        return part[2][np.repeat(part[1][at] - begin, size) + np.arange(int(size.sum()), dtype=np.int32)], size
+
+    def _merge(self, x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.argsort(np.concatenate([x[0], y[0]]))
+        both = self._part(np.concatenate([x[0], y[0]]), np.concatenate([x[1], x[1][-1] + y[1][1:]]), np.concatenate([x[2], y[2]]))
+        flat, size = self._gather(both, order)
+        return self._part(both[0][order], _ends(size), flat)
+
+    def _words(self, word: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """A part that holds just these (sorted, distinct) words."""
+        held, found = np.full(len(word), -1), []
+        for k, part in enumerate(self.parts):
+            if len(part[0]):
+                at = np.minimum(np.searchsorted(part[0], word), len(part[0]) - 1)
+                hit = part[0][at] == word
+                held[hit] = k
+                flat, size = self._gather(part, at[hit])
+                found.append(self._part(word[hit], _ends(size), flat))
+        new = np.flatnonzero(held < 0)
+        if len(new):
+            raw = data.tobytes()
+            ids = self._encode([raw[i:j].decode() for i, j in zip(start[new].tolist(), end[new].tolist())])
+            fresh = self._part(word[new], _ends([len(x) for x in ids]), np.array([y for x in ids for y in x], self.dtype))
+            found.append(fresh)
+            if len(self.parts[0][0]) + len(self.parts[1][0]) < CACHE_WORDS:
+                self.parts[1] = self._merge(self.parts[1], fresh)
+                if len(self.parts[1][0]) * 4 > len(self.parts[0][0]):
+                    self.parts = [self._merge(*self.parts), self._part()]
+        out = found[0]
+        for x in found[1:]:
+            out = self._merge(out, x)
+        return out
+
+    def __call__(self, s: Slice) -> list[np.ndarray]:
+        """Ids of each row of a slice."""
+        m, data = s.last - s.first, s.data
+        if not len(data):
+            return [np.zeros(0, self.dtype)] * m
+        kind = CLASS[data]
+        border = np.zeros(len(data) + 1, bool)
+        border[s.offsets] = True
+        before = np.concatenate([[0], kind[:-1]])
+        before[border[:-1]] = 0
+        last = np.concatenate([[0], data[:-1]])
+        odd = (kind == 0) | ((kind == 4) & (before == 4)) | ((data >= 0x80) & (data < 0xC0) & (last != 0xC3)) | ((last == 0xC3) & ((data == 0x97) | (data == 0xB7)))
+        plain = row_sums(odd.astype(np.int64), s.offsets) == 0
+        first = border[:-1] | (kind == 4) | ((kind != before) & (last != 0x20))
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(data))
+        row = np.searchsorted(s.offsets, start, "right") - 1
+        keep = plain[row]
+        start, end, row = start[keep], end[keep], row[keep]
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * m
+        if len(start):
+            word, at, back = np.unique(range_hash(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+            flat, size = self._gather(self._words(word, data, start[at], end[at]), back)
+            cut = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(row, np.arange(m + 1))]
+            out = [flat[i:j] for i, j in zip(cut, cut[1:])]
+        whole = np.flatnonzero(~plain)
+        raw = [data[s.offsets[r] : s.offsets[r + 1]].tobytes().decode() for r in whole]
+        for r, text in zip(whole, raw):
+            out[r] = np.array(self._encode([text])[0], self.dtype)
+        return out
 
 
 _IDS: dict[str, Ids] = {}
@@ -86,21 +168,21 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _IDS.get(tokenizer) or Ids(tokenizer)
         _IDS[tokenizer] = ids_of
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                out: list[list[int]] = [[], [], [], [], []]
-                for doc, ids in zip(part["doc_id"].to_pylist(), ids_of([t or "" for t in part["text"].to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    start, k = 0, 0
-                    while start < n:
-                        length = (n - start) % context or min(context, n - start)
-                        for column, value in zip(out, (doc, k, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]))):
-                            column.append(value)
-                        start, k = start + length, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            docs_of = batch["doc_id"].to_pylist()
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                for s in slices(batch["text"].slice(i, SLICE_ROWS), SLICE_BYTES):
+                    out: list[list[int]] = [[], [], [], [], []]
+                    for doc, ids in zip(docs_of[i + s.first : i + s.last], ids_of(s)):
+                        raw = np.append(ids, END_ID).astype("<u4").tobytes()
+                        n = len(raw) // 4
+                        start, k = 0, 0
+                        while start < n:
+                            length = (n - start) % context or min(context, n - start)
+                            for column, value in zip(out, (doc, k, start, length, zlib.crc32(memoryview(raw)[4 * start : 4 * (start + length)]))):
+                                column.append(value)
+                            start, k = start + length, k + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES_SCHEMA)
 

@@ -9,6 +9,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a Python worker gets at once while a table is written: whole texts are long.
+BATCH_ROWS = 1024
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,5 +34,10 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
