@@ -14,6 +14,7 @@ from .langid import identify
 from .packing import best_fit_packing
 from .quality import classify
 from .sampling import fold
+from .suffix_tree import score_texts
 from .toxicity import score_toxicity
 
 
@@ -47,6 +48,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("hit")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), fold(F.col("doc_id"), 10) != 0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
