@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .langid import identify
 from .packing import best_fit_packing
+from .pii import replace_pii
 from .quality import classify
 from .sampling import fold
 from .suffix_tree import score_texts
@@ -56,6 +57,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(documents(spark, sf_dir), "surrogate key")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), tokenizer_file())
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
 }
