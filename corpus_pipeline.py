@@ -1,15 +1,75 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: from documents to packed sequences.
+
+Language identification drops texts without a language, exact dedup keeps one
+row of equal texts, the n-gram Jaccard join keeps the smallest doc_id of each
+group of near copies, benchmark decontamination drops documents that hold a
+window of a test item, and best-fit packing fills sequences with the rest.
+doc_id is unique. Each stage is written as Parquet before the next reads it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm.decontaminate import remove_documents
+from tesserae.llm.exact_dedup import exact_dedup
+from tesserae.llm.jaccard import jaccard_components
+from tesserae.llm.langid import identify
+from tesserae.llm.packing import best_fit_packing
+from tesserae.llm.queries import table, tokenizer_file
+from tesserae.llm.storage import write_table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among ids."""
+    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language."""
+    return identify(docs, F.lit(True), carry=True).where("lang_pred <> 'und'").select("row.*")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of equal texts."""
+    return _only(docs, exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies."""
+    return _only(docs, jaccard_components(docs).where("doc_id = component_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a test item."""
+    return remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in sequences."""
+    return best_fit_packing(docs, tokenizer_file())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("jaccard_dedup", near),
+    ("decontamination", benchmark),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Language identification and packing have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .kernels import GRAM_BITS, grams, padded, row_sums, slices, word_spans
 from .sampling import bounded
@@ -106,10 +107,12 @@ def infer(like: np.ndarray, first: np.ndarray) -> np.ndarray:
     return best
 
 
-def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, carry: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages and proportions (by proportion) for every row of docs.
 
     training: which rows may be learned from, where their lang is not null.
+    carry: add the whole row of docs as a struct `row`, so that filtering by the
+    prediction needs no join.
     """
     text = F.coalesce("text", F.lit(""))
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -117,11 +120,14 @@ def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE
     names = sorted(set(sample["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(names)}
     tables = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array([number[x] for x in sample["lang"].to_pylist()], np.int64), len(names)) if names else None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    return rows.mapInArrow(_predict(tables, names), SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"), *([F.struct("*").alias("row")] if carry else []))
+    schema = StructType.fromDDL(SCHEMA)
+    if carry:
+        schema = schema.add("row", docs.schema)
+    return rows.mapInArrow(_predict(tables, names, carry), schema)
 
 
-def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str], carry: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     label = np.array([*names, "und"], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +156,6 @@ def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str]) ->
                     chosen[r] = [k for k in o if p[k] > 0]
                     shares[r] = [p[k] for k in chosen[r]]
             languages = [[names[k] for k in ks] for ks in chosen]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(label[best], pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(label[best], pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), *([batch["row"]] if carry else [])], ["doc_id", "held_out", "lang_pred", "score", "languages", "proportions", *(["row"] if carry else [])])
 
     return run
