@@ -20,14 +20,14 @@ from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.langid import identify
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.queries import table, tokenizer_file
-from tesserae.llm.storage import write_table
+from tesserae.llm.storage import few_files, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is among ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    return few_files(docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), "left_semi"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a test item."""
-    return remove_documents(docs, table(spark, sf_dir, "benchmark"))
+    return few_files(remove_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences."""
-    return best_fit_packing(docs, tokenizer_file())
+    return few_files(best_fit_packing(docs, tokenizer_file()))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -15,6 +15,7 @@ from .packing import best_fit_packing
 from .pii import replace_pii
 from .quality import classify
 from .sampling import fold
+from .storage import few_files
 from .suffix_dedup import suffix_dedup
 from .suffix_tree import score_texts
 from .toxicity import score_toxicity
@@ -74,17 +75,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
 
 
+def _few(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result in few files."""
+    return lambda spark, sf_dir: few_files(query(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality": op1_quality,
-    "op2_language_id": op2_language_id,
-    "op3_jaccard_join": op3_jaccard_join,
-    "op4_decontamination": op4_decontamination,
-    "op5_lm_scoring": op5_lm_scoring,
-    "op6_suffix_dedup": op6_suffix_dedup,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op8_pii_surrogates": op8_pii_surrogates,
-    "op9_best_fit_packing": op9_best_fit_packing,
-    "op10_toxicity": op10_toxicity,
+    "op1_quality": _few(op1_quality),
+    "op2_language_id": _few(op2_language_id),
+    "op3_jaccard_join": _few(op3_jaccard_join),
+    "op4_decontamination": _few(op4_decontamination),
+    "op5_lm_scoring": _few(op5_lm_scoring),
+    "op6_suffix_dedup": _few(op6_suffix_dedup),
+    "op7_exact_dedup": _few(op7_exact_dedup),
+    "op8_pii_surrogates": _few(op8_pii_surrogates),
+    "op9_best_fit_packing": _few(op9_best_fit_packing),
+    "op10_toxicity": _few(op10_toxicity),
 }
 
 ORACLES: dict[str, str] = {

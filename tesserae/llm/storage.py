@@ -26,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
+#: Files of a written table for each core of the session, at most: more would be small files.
+FILES_A_CORE = 6
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most FILES_A_CORE partitions a core, without a shuffle."""
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return the table as read back.
 
@@ -37,7 +46,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     rows = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
     try:
-        df.write.parquet(path)
+        few_files(df).write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
