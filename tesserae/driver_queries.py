@@ -1,14 +1,473 @@
-"""Query key -> callable and oracle SQL for the catalogue operators."""
+"""Query key -> callable and oracle SQL for the catalogue operators.
+
+Driver tables stand in for catalogue tables: orders for entities, customers for
+their titles and owners, order priorities for categories, distinct return flags
+of line items for tags, line items for statistics, documents and labels where a
+left join must miss.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .functions.metainfo import bencode, decode_metainfo, encode_metainfo, synthetic
+from .operators import backfill, lookups, mutations, policy, stateful, stats
+from .operators.ingest import classify
+from .plans.listing import Catalogue, ListingRequest, Sorting, listing, specify, total
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+NOW = "TIMESTAMP '2024-06-01 12:00:00'"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Listing
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    orders, customer, lines = (read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    entities = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("entity_id"), F.col("c_name").alias("title"), F.col("o_custkey").alias("uploader"), F.col("o_orderpriority").alias("category"),
+        F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("uploaded"),
+    )
+    seeders = F.col("l_linenumber")
+    sums = lines.select(F.col("l_orderkey").alias("entity_id"), seeders.alias("seeders"), F.when(F.col("l_returnflag") == "R", seeders).otherwise(0).alias("leechers"))
+    tags = lines.select(F.col("l_orderkey").alias("entity_id"), F.col("l_returnflag").alias("tag")).distinct()
+    return Catalogue(entities, sums, tags, orders.select(F.col("o_orderpriority").alias("name")), lines.select(F.col("l_returnflag").alias("name")))
+
+
+def listing_sql(where: str = "true", order: str = "uploaded DESC", limit: int = 10, offset: int = 0, times: str = "1", joins: str = "") -> str:
+    return f"""
+        WITH e AS (
+            SELECT o_orderkey AS entity_id, c_name AS title, o_custkey AS uploader, o_orderpriority AS category,
+                   o_totalprice AS size, o_orderdate AS uploaded
+            FROM orders JOIN customer ON o_custkey = c_custkey),
+        s AS (
+            SELECT l_orderkey AS entity_id, sum(l_linenumber) AS a, sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END) AS b
+            FROM lineitem GROUP BY 1),
+        t AS (SELECT DISTINCT l_orderkey AS entity_id, l_returnflag AS tag FROM lineitem)
+        SELECT entity_id, title, uploader, category, size, uploaded,
+               CAST(coalesce(a, 0) * {times} AS BIGINT) AS seeders, CAST(coalesce(b, 0) * {times} AS BIGINT) AS leechers
+        FROM e LEFT JOIN s USING (entity_id) {joins} WHERE {where}
+        ORDER BY {order}, entity_id LIMIT {limit} OFFSET {offset}"""
+
+
+def _listing(request: ListingRequest, fan_out: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(catalogue(spark, sf_dir), specify(request), fan_out)
+
+
+def add_listing(name: str, request: ListingRequest, sql: str, fan_out: bool = False) -> None:
+    QUERIES[name], ORACLES[name] = partial(_listing, request, fan_out), sql
+
+
+_MATCHES = "(SELECT count(*) FROM t WHERE t.entity_id = e.entity_id AND t.tag IN ('A', 'R'))"
+add_listing("listing_page", ListingRequest(search="customer#0000001", sort=Sorting.SEEDERS_DESC, page=1), listing_sql("title ILIKE '%customer#0000001%'", "seeders DESC", 10, 10))
+for _sort in Sorting:
+    _column, _down = _sort.value
+    _order = f"{_column} {'DESC NULLS LAST' if _down else 'ASC NULLS FIRST'}"
+    add_listing(f"listing_sort_{ {'title': 'name'}.get(_column, _column)}_{'desc' if _down else 'asc'}", ListingRequest(sort=_sort), listing_sql(order=_order))
+add_listing("listing_no_search", ListingRequest(page_size=100), listing_sql(limit=30))
+add_listing("listing_search_wildcard", ListingRequest(search="r#00_000_1", sort=Sorting.SIZE_DESC), listing_sql("title ILIKE '%r#00_000_1%'", "size DESC"))
+add_listing("listing_category_filter", ListingRequest(categories="1-URGENT, 5-LOW"), listing_sql("category IN ('1-URGENT', '5-LOW')"))
+add_listing("listing_tag_semi", ListingRequest(tags="A,R", sort=Sorting.SEEDERS_DESC), listing_sql(f"{_MATCHES} > 0", "seeders DESC"))
+add_listing("listing_tag_fanout", ListingRequest(tags="A,R", sort=Sorting.SEEDERS_DESC), listing_sql(f"{_MATCHES} > 0", "seeders DESC", times=_MATCHES), fan_out=True)
+add_listing("listing_unknown_filter_ignored", ListingRequest(tags="none such", categories="5-LOW,none such"), listing_sql("category = '5-LOW'"))
+
+
+@query("SELECT count(*) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name ILIKE '%customer#0000001%' AND o_orderpriority IN ('1-URGENT', '5-LOW')")
+def listing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return total(catalogue(spark, sf_dir), specify(ListingRequest(search="Customer#0000001", categories="1-URGENT,5-LOW")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The listing's first page of hits by seeders."""
+    return listing(catalogue(spark, sf_dir), specify(ListingRequest(search="customer", sort=Sorting.SEEDERS_DESC)))
+
+
+# Scans and lookups
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def scan_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 42")
+def lookup_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.by_key(read(spark, sf_dir, "customer"), "c_custkey", 42)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_name = (SELECT min(n_name) FROM nation)")
+def lookup_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    return nation.join(nation.agg(F.min("n_name").alias("n_name")), "n_name", "left_semi")
+
+
+@query("SELECT * FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 1")
+def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.by_keys(read(spark, sf_dir, "lineitem"), l_orderkey=7, l_linenumber=1)
+
+
+@query("SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
+def lookup_blank_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.blank_nulls(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source")
+
+
+@query("SELECT n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS num_entities FROM nation")
+def category_count_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    return spark.sql("SELECT n_name AS name, (SELECT count(*) FROM {customer} c WHERE c.c_nationkey = n.n_nationkey) AS num_entities FROM {nation} n", nation=nation, customer=customer)
+
+
+@query("SELECT n_name AS name, count(c_custkey) AS num_entities FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def category_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    return lookups.category_counts(read(spark, sf_dir, "nation"), customer, "n_nationkey", "n_name")
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
+def user_join_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return customer.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+
+
+@query("SELECT DISTINCT l_orderkey AS entity_id, l_returnflag AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
+def tags_for_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("entity_id"))
+    lines = read(spark, sf_dir, "lineitem")
+    links = lines.select(F.col("l_orderkey").alias("entity_id"), F.ascii("l_returnflag").alias("tag_id")).distinct()
+    tags = lines.select(F.ascii("l_returnflag").alias("tag_id"), F.col("l_returnflag").alias("name")).distinct()
+    return lookups.tags_of(entities, links, tags).select("entity_id", "name")
+
+
+@query("SELECT source, count(*) AS n, CAST(coalesce(sum(quality), 0) AS BIGINT) AS quality, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def sparse_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    zero = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("quality", "toxic")]
+    return both.groupBy("source").agg(F.count("*").alias("n"), *zero)
+
+
+@query("SELECT count(*) AS n FROM orders")
+def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts > TIMESTAMP '2024-01-01') WHERE r = 1")
+def latest_key_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = read(spark, sf_dir, "events").where("ts > TIMESTAMP '2024-01-01'").select("user_id", "event_id", "ts")
+    return lookups.latest(valid, "user_id", "ts", "event_id")
+
+
+@query("SELECT user_id AS tracker_key_user, event_id AS tracker_key_id, CAST(floor(epoch(ts)) AS BIGINT) AS date_expiry FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) DESC, event_id DESC) AS r FROM events WHERE CAST(floor(epoch(ts)) AS BIGINT) > 1704067200 + 3600) WHERE r = 1")
+def latest_valid_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("tracker_key_id"), F.unix_timestamp("ts").alias("date_expiry"))
+    return lookups.latest_valid_key(keys, 1704067200).withColumnRenamed("user_id", "tracker_key_user")
+
+
+@query("SELECT o_orderkey AS entity_id, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_partkey, l_suppkey, l_linenumber) AS lines, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def entity_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_partkey", "l_suppkey", "l_linenumber"))
+    arrays = lookups.children(lines, "l_orderkey", F.col("l_linenumber"), "o", "lines")
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    both = orders.join(arrays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return both.select(F.col("o_orderkey").alias("entity_id"), F.array_join("lines", ",").alias("lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"))
+
+
+# Statistics
+
+
+@query(f"SELECT doc_id AS torrent_id, quality AS updated_at FROM documents LEFT JOIN labels USING (doc_id) WHERE quality < 1 OR quality IS NULL ORDER BY quality ASC NULLS FIRST, doc_id LIMIT {stats.BATCH}")
+def stale_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("torrent_id"))
+    seen = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("torrent_id"), F.col("quality").alias("updated_at"))
+    return stats.stale(docs, seen, F.lit(1))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return stats.upsert(events.limit(0), events, "user_id", "event_id")
+
+
+@query("SELECT user_id, CASE WHEN m > 100 THEN m ELSE n END AS event_id FROM (SELECT user_id, max(event_id) AS m, min(event_id) AS n FROM events GROUP BY user_id)")
+def upsert_over_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("user_id", "event_id")
+    state = events.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return stats.upsert(state, events.where("event_id > 100"), "user_id", "event_id")
+
+
+@query("SELECT doc_id AS torrent_id, 'udp://t' AS tracker_url, CAST(coalesce(quality, 0) AS BIGINT) AS seeders, CAST(coalesce(toxic, 0) AS BIGINT) AS leechers, TIMESTAMP '2024-06-01 12:00:00' AS updated_at FROM documents LEFT JOIN labels USING (doc_id)")
+def refresh_default_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("torrent_id"), F.col("doc_id").cast("string").alias("info_hash"))
+    got = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("info_hash"), F.col("quality").cast("long").alias("seeders"), F.col("toxic").cast("long").alias("leechers"))
+    return stats.refreshed(entities, got, "udp://t", F.expr(NOW)).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+# Backfills
+
+
+@query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_name || '_' || p_partkey ELSE p_name END AS p_name FROM part")
+def rename_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backfill.rename_duplicates(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
+
+
+@query("""
+    WITH d AS (SELECT sha1(text) AS h, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN sha1(text) ELSE sha1('x' || text) END AS o FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT h AS info_hash, h AS canonical_info_hash, false AS original_is_known FROM d WHERE o IS NULL
+    UNION ALL SELECT h, h, true FROM d WHERE o IS NOT NULL AND o = h
+    UNION ALL SELECT h, h, true FROM d WHERE o IS NOT NULL AND o <> h
+    UNION ALL SELECT o, h, true FROM d WHERE o IS NOT NULL AND o <> h""")
+def backfill_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    h = S.sha1_text(F.col("text"))
+    original = F.when(F.col("quality") == 1, h).when(F.col("quality").isNotNull(), S.sha1_text(F.concat(F.lit("x"), "text")))
+    return backfill.hash_groups(both.select(h.alias("info_hash"), original.alias("original")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS root_hash, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS pieces FROM orders")
+def case_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("flag"))
+    return backfill.split_by_flag(orders, "o_orderpriority", "flag", "root_hash", "pieces").drop("o_orderpriority", "flag")
+
+
+@query("SELECT sha1(text) AS info_hash, min(doc_id) AS canonical, count(*) AS n FROM documents GROUP BY 1")
+def canonical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(S.sha1_text(F.col("text")).alias("info_hash"), "doc_id")
+    return docs.groupBy("info_hash").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN sha1(text) IN (SELECT sha1(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) THEN 'known'
+        WHEN length(text) % 100 IN (SELECT length(text) % 100 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) THEN 'alias' ELSE 'new' END AS kind
+    FROM documents""")
+def duplicate_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", S.sha1_text(F.col("text")).alias("original_info_hash"), (F.char_length("text") % 100).cast("string").alias("info_hash"))
+    held = docs.join(read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    groups = held.select(F.col("original_info_hash").alias("info_hash"), F.col("info_hash").alias("canonical_info_hash"))
+    return classify(docs, groups).select("doc_id", "kind")
+
+
+@query("SELECT c_custkey AS user_id, CAST(NULL AS TIMESTAMP) AS date_registered, c_acctbal < 0 AS administrator, c_name AS username, CAST(c_custkey AS VARCHAR) AS password_hash FROM customer")
+def etl_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer")
+    old = customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"), F.lit(None).cast("string").alias("email"), F.lit(0).alias("email_verified"), F.col("c_custkey").cast("string").alias("password"), (F.col("c_acctbal") < 0).cast("int").alias("administrator"))
+    made = backfill.upgrade_users(old, F.expr(NOW))
+    out = made["users"].drop("date_imported").join(made["user_profiles"].select("user_id", "username"), "user_id").join(made["user_authentication"], "user_id")
+    return out.select("user_id", "date_registered", "administrator", "username", "password_hash")
+
+
+@query("SELECT o_orderkey, n_name AS username, n_nationkey AS user_id FROM orders JOIN nation ON o_custkey % 25 = n_nationkey")
+def dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("username"))
+    facts = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("user_id")).join(nation, "user_id").select("o_orderkey", "username")
+    return backfill.attach_dimension(facts, nation, "username", "user_id")
+
+
+@query("SELECT p_partkey, lower(p_brand) AS p_brand FROM part")
+def lower_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backfill.lower_hashes(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand")
+
+
+# Scalars and arrays
+
+
+@query("SELECT page_id, url_encode(url) AS encoded FROM pages")
+def url_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", S.url_encode(F.col("url")).alias("encoded"))
+
+
+@query("SELECT page_id, 'magnet:?xt=urn:btih:' || sha1(html) || '&dn=' || url_encode(url) || '&tr=' || url_encode('udp://a/b') || '&tr=' || url_encode(url) AS magnet FROM pages")
+def magnet_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", S.magnet_link(S.sha1_text(F.col("html")), F.col("url"), F.array(F.lit("udp://a/b"), F.col("url"))).alias("magnet"))
+
+
+@query("SELECT page_id, regexp_replace(url, '/+$', '') || '/k' || page_id AS personal FROM pages")
+def personal_announce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", S.personal_announce_url(F.col("url"), F.concat(F.lit("k"), F.col("page_id").cast("string"))).alias("personal"))
+
+
+@query("SELECT page_id, replace(url, '/', '|') AS parts, url AS joined FROM pages")
+def path_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = S.path_parts(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(parts, "|").alias("parts"), S.path_text(parts).alias("joined"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name || ' , ' || p_brand, ','), lambda x: trim(x)), '|') AS items FROM part")
+def csv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(S.csv_items(F.concat_ws(" , ", "p_name", "p_brand")), "|").alias("items"))
+
+
+@query("SELECT p_partkey, hex(encode(p_name)) AS hexed, p_name AS back FROM part")
+def hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hexed = S.upper_hex(F.col("p_name").cast("binary"))
+    return read(spark, sf_dir, "part").select("p_partkey", hexed.alias("hexed"), S.parse_hex(hexed).cast("string").alias("back"))
+
+
+@query("SELECT doc_id, sha1(text) AS info_hash, CAST(regexp_full_match(sha1(text), '[0-9a-fA-F]{40}') AS BOOLEAN) AS valid, lower(hex(unhex(sha1(text)))) AS parsed FROM documents")
+def info_hash_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = S.sha1_text(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", h.alias("info_hash"), S.is_info_hash(h).alias("valid"), S.info_hash_text(S.parse_info_hash(h)).alias("parsed"))
+
+
+@query("SELECT c_custkey, regexp_full_match(c_name, '[A-Za-z0-9_-]{1,20}') AS username, octet_length(encode(c_mktsegment)) >= 3 AS title, trim(c_mktsegment) <> '' AS name, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer")
+def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", S.is_username(F.col("c_name")).alias("username"), S.is_title(F.col("c_mktsegment")).alias("title"), S.is_name(F.col("c_mktsegment")).alias("name"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+
+
+@query("SELECT page_id, array_to_string(list_concat([s[1]], list_filter(s, lambda x: x <> s[1])), '|') AS parts FROM (SELECT page_id, string_split(url, '/') AS s FROM pages)")
+def announce_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split("url", "/")
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(S.front(parts[0], parts), "|").alias("parts"))
+
+
+@query("SELECT page_id, array_to_string(list_transform(list_concat([['']], list_filter(list_transform([s, ['', ''], [s[1]]], lambda t: list_filter(t, lambda x: x <> '')), lambda t: len(t) > 0)), lambda t: array_to_string(t, '|')), ';') AS tiers FROM (SELECT page_id, string_split(url, '/') AS s FROM pages)")
+def announce_front_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split("url", "/")
+    tiers = F.array(parts, F.array(F.lit(""), F.lit("")), F.array(parts[0]))
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(S.front_tier(F.lit(""), tiers), lambda t: F.array_join(t, "|")), ";").alias("tiers"))
+
+
+@query("SELECT page_id, replace(url, '/', '|') || '|' || url AS urls FROM pages")
+def flatten_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(F.flatten(F.array(F.split("url", "/"), F.array("url"))), "|").alias("urls"))
+
+
+@query("SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS part FROM (SELECT page_id, string_split(url, '/') AS s FROM pages), unnest(range(1, len(s) + 1)) AS u(i)")
+def explode_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("url", "/")).alias("pos", "part"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM events")
+def timestamp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", S.timestamp_text(F.col("ts")).alias("text"))
+
+
+@query("SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 100000 * 1000000), '%Y-%m-%d %H:%M:%S') AS text FROM orders")
+def epoch_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", S.epoch_text(F.col("o_orderkey") * 100000).alias("text"))
+
+
+@query("SELECT event_id, ts < TIMESTAMP '2024-06-01 12:00:00' - INTERVAL 3600 SECOND AS stale FROM events")
+def seconds_ago(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    return read(spark, sf_dir, "events").select("event_id", (F.col("ts").cast("timestamp_ntz") < S.seconds_before(now, 3600)).alias("stale"))
+
+
+@query("SELECT event_id, event_id + 3600 AS later FROM events")
+def saturating_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", S.saturating_add(F.col("event_id"), 3600).alias("later"))
+
+
+@query("SELECT event_id, CAST(props::JSON ->> 'k' AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS size FROM lineitem GROUP BY 1")
+def total_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = lookups.children(read(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_linenumber").cast("long"), "l_linenumber", "sizes")
+    return arrays.select("l_orderkey", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
+
+
+# Policy, folds and mutations
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_acctbal < 0 THEN 'admin' ELSE 'registered' END AS role, 'delete_torrent' AS action FROM customer WHERE c_acctbal < 0")
+def policy_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("administrator"))
+    requests = users.select("user_id").withColumn("action", F.lit("delete_torrent"))
+    return policy.allowed(policy.roles(requests, users), policy.default_policy(spark)).select("user_id", "role", "action")
+
+
+@query()
+def quota_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = read(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("use_id"), F.round("value").cast("long").alias("size"))
+    return stateful.quota_fold(uses, 200, 86_400)
+
+
+@query("""
+    SELECT cache, "at", size FROM (
+        SELECT user_id % 16 AS cache, event_id AS "at", CAST(round(value) AS BIGINT) AS size,
+               sum(CAST(round(value) AS BIGINT)) OVER (PARTITION BY user_id % 16 ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS run
+        FROM events WHERE CAST(round(value) AS BIGINT) <= 100)
+    WHERE run <= 1000""")
+def fifo_cache_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    puts = read(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("at"), F.round("value").cast("long").alias("size"))
+    return stateful.cache_content(puts, 1000, 100)
+
+
+def _order_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    return {
+        "users": read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")),
+        "categories": read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("category_id")),
+        "torrents": orders.select(F.col("o_orderkey").alias("torrent_id"), F.col("o_custkey").alias("uploader_id"), (F.col("o_custkey") % 25).alias("category_id")),
+        "torrent_files": lines.select(F.col("l_orderkey").alias("torrent_id"), F.col("l_linenumber").alias("file_id")),
+    }
+
+
+@query("SELECT l_orderkey AS torrent_id, l_linenumber AS file_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 <> 0")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _order_tables(spark, sf_dir)
+    return mutations.delete(tables, "users", tables["users"].where("user_id % 3 = 0"))["torrent_files"]
+
+
+@query("SELECT o_orderkey AS torrent_id, o_custkey AS uploader_id, nullif(o_custkey % 25, 3) AS category_id FROM orders")
+def set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _order_tables(spark, sf_dir)
+    return mutations.delete(tables, "categories", tables["categories"].where("category_id = 3"))["torrents"]
+
+
+@query("SELECT DISTINCT l_orderkey AS torrent_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE ascii(l_returnflag) END::BIGINT AS tag_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def tag_set_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    links = lines.select(F.col("l_orderkey").alias("torrent_id"), F.ascii("l_returnflag").cast("long").alias("tag_id")).distinct()
+    wanted = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("torrent_id"), F.array(F.lit(1).cast("long"), F.lit(1).cast("long")).alias("tag_ids"))
+    return mutations.replace_tag_sets(links, wanted.join(links, "torrent_id", "left_semi"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'renamed' ELSE c_name END AS c_name FROM customer")
+def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.update(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 7, {"c_name": F.lit("renamed")}, ("c_name",))
+
+
+@query("SELECT n_name AS name, false AS added, 30 AS ids FROM nation UNION ALL SELECT 'region ' || r_name, true, 30 FROM region")
+def insert_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("category_id"), F.col("n_name").alias("name"))
+    new = read(spark, sf_dir, "region").select(F.concat(F.lit("region "), "r_name").alias("name")).coalesce(1)
+    out = mutations.insert(nation, new, "category_id", ("name",), "name")
+    ids = out.agg(F.countDistinct("category_id").cast("int").alias("ids"))
+    return out.select("name", (F.col("category_id") > 24).alias("added")).crossJoin(F.broadcast(ids))  # one row
+
+
+# Metainfo documents
+
+
+@query("SELECT doc_id, true AS same, NULL::VARCHAR AS error FROM documents")
+def metainfo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document made from each row decodes, encodes and decodes to one hash."""
+    made = F.udf(lambda i: bencode({k: v for k, v in synthetic(f"{i:032x}").items() if k != "info"} | {"info": {"name": f"{i}", "piece length": 16384, "length": i, "pieces": b"p" * 20}}), "binary")
+    first = read(spark, sf_dir, "documents").select("doc_id", decode_metainfo(made("doc_id")).alias("d"))
+    again = first.select("doc_id", "d", decode_metainfo(encode_metainfo(F.col("d.torrent"))).alias("e"))
+    return again.select("doc_id", ((F.col("d.info_hash") == F.col("e.info_hash")) & (F.col("d.info_hash") == F.col("d.original_info_hash"))).alias("same"), F.col("d.error").alias("error"))
