@@ -19,6 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import row_id
 from .storage import write_table
 
 WINDOW = 10
@@ -83,7 +84,7 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     else:
         sets = {r[0]: [] for r in windows.select("size").distinct().collect()}
     text = F.coalesce("text", F.lit(""))
-    marked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    marked = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), text.alias("text"))
     marked = marked.withColumn("hs", F.transform(folded(F.col("text")), lambda w: F.xxhash64(w)))
     found = F.expr("array()").cast("array<struct<size:int,at:int>>")
     joined = [s for s, keys in sets.items() if not keys]

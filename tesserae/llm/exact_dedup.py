@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, mix
+from .sampling import row_id
 from .storage import write_table
 
 #: Digests a bucket holds on average; rows that one lookup group gets at most on average.
@@ -38,7 +39,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text without white space, code points of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        row_id(),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("digest"),
         F.char_length(text).cast("long").alias("n_chars"),
     )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .kernels import GRAM_BITS, grams, padded, row_sums, slices, word_spans
-from .sampling import bounded
+from .sampling import bounded, row_id
 
 PER_LANGUAGE = 1500
 SMOOTHING = 0.5
@@ -120,7 +120,7 @@ def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE
     names = sorted(set(sample["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(names)}
     tables = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array([number[x] for x in sample["lang"].to_pylist()], np.int64), len(names)) if names else None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"), *([F.struct("*").alias("row")] if carry else []))
+    rows = docs.select(row_id(), (~training).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"), *([F.struct("*").alias("row")] if carry else []))
     schema = StructType.fromDDL(SCHEMA)
     if carry:
         schema = schema.add("row", docs.schema)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import Slice, prefix_sums, range_hash, row_sums, slices
+from .sampling import row_id
 from .storage import write_table
 
 CONTEXT = 2048
@@ -184,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame
                             start, k = start + length, k + 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES_SCHEMA)
+    return docs.select(row_id(), "text").mapInArrow(cut, PIECES_SCHEMA)
 
 
 class Complements:

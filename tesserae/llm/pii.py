@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import row_id
 from .storage import write_table
 
 ATTEMPTS = 6
@@ -202,7 +203,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     surrogates for the same set of entities.
     """
     has = F.coalesce(F.col("text").rlike(TRIGGER) & F.col("text").rlike(ANY), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_id(), "text")
     clean = rows.where(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.expr("array()").cast("array<string>").alias("kinds"))
     found = rows.where(has).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.split("text", ANY, -1).alias("between"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("matched"))
     found = write_table(found.withColumn("entities", F.transform("matched", parts)).drop("matched"), "found")

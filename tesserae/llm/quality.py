@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import GRAM_BITS, ORDER_CODE, U, grams, mix, padded, prefix_sums, range_hash, slices, word_spans
-from .sampling import bounded
+from .sampling import bounded, row_id
 
 PER_LABEL = 1500
 DIM = 8
@@ -135,5 +135,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, training: Column, t
         bias += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     elif counts:
         bias = np.log((counts.get(1, 0) + 1e-9) / (counts.get(0, 0) + 1e-9))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(row_id(), (~training).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_score(weights, float(bias), threshold), SCHEMA)

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 _STEPS = 1 << 30
 
 
+def row_id() -> Column:
+    """doc_id as a long; rows without one have -1."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id")
+
+
 def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo the number of folds."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+    """crc32 of the id as text, modulo the number of folds; a null id counts as -1."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("-1")).cast("binary")), F.lit(folds))
 
 
 def bounded(df: DataFrame, label: str, id_column: str, per_label: int) -> DataFrame:

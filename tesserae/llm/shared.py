@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Slice, U, slices
+from .sampling import row_id
 
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 60_000
@@ -130,6 +131,6 @@ def shared_tokens(docs: DataFrame, extract: Extract, keep: Callable[[np.ndarray,
     keep(n, shared): the rows whose tokens are wanted; for others they are null.
     A token that a document holds twice is given twice, in order.
     """
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_deal(extract, bits), DEALT_SCHEMA)
+    dealt = docs.select(row_id(), "text").mapInArrow(_deal(extract, bits), DEALT_SCHEMA)
     back = dealt.groupBy("grp").applyInArrow(_match, BACK_SCHEMA)
     return back.groupBy("slice").applyInArrow(_merge(bits, keep), SHARED_SCHEMA)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Slice, U, prefix_sums, range_hash, slices
+from .sampling import row_id
 from .shared import bucket_bits, shared_tokens
 from .storage import write_table
 
@@ -158,7 +159,7 @@ def _spans(rid: np.ndarray, at: np.ndarray, n: np.ndarray, segment: list[bytes])
     of, inside = of[hit], inside[hit]
     new = np.concatenate([[True], (of[1:] != of[:-1]) | (inside[1:] - inside[:-1] > LENGTH)]) if len(of) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(of)) - 1
+    last = np.append(first[1:], len(of))[: len(first)] - 1
     begin = at[of[first]] + inside[first]
     return pa.RecordBatch.from_arrays([pa.array(rid[of[first]]), pa.array(begin.astype(np.int32)), pa.array((at[of[first]] + inside[last] + LENGTH).astype(np.int32))], ["rid", "begin", "stop"])
 
@@ -209,7 +210,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null where all are) for every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.coalesce("text", F.lit("")).alias("text"))
     bits = max(4, bucket_bits(docs) - 3)
     named = rows.select(F.col("rid").alias("doc_id"), "text")
     sets = write_table(shared_tokens(named, _extract, lambda n, shared: shared > 0, bits), "leading").withColumnRenamed("doc_id", "rid")

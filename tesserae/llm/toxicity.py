@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ASCII_LOWER, ORDER_CODE, U, buffers, prefix_sums, range_hash, slices, words
-from .sampling import bounded
+from .sampling import bounded, row_id
 
 SAMPLE = 2000
 MINED = 120
@@ -39,7 +39,11 @@ BITS = 20
 #: Units the classifier may use: the ones that tell the posterior labels apart best.
 SELECTED = 150
 EPOCHS, RATE, DECAY, SEED = 12, 0.5, 1e-4, 11
+#: Least number of training steps: small samples get more epochs.
+STEPS = 40_000
 EM_ROUNDS = 20
+#: Added to a voter's residual variance, so that voters who hardly err don't count as correlated.
+LEAST_VARIANCE = 0.005
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Letters and digits, and all bytes of other scripts.
 WORD_BYTES = np.zeros(256, bool)
@@ -135,7 +139,7 @@ def label_model(vote: np.ndarray, labels: np.ndarray) -> np.ndarray:
         share = [np.einsum("i,ijk->jk", w, onehot) + 0.5 for w in (1 - q, q)]
         rate = [s / s.sum(axis=1, keepdims=True) for s in share]
         residual = vote - q[:, None] * (rate[1][:, 2] - rate[1][:, 0]) - (1 - q)[:, None] * (rate[0][:, 2] - rate[0][:, 0])
-        scale = np.sqrt((residual**2).mean(axis=0)) + 1e-6
+        scale = np.sqrt((residual**2).mean(axis=0) + LEAST_VARIANCE)
         correlation = np.abs((residual.T @ residual) / len(vote) / np.outer(scale, scale))
         np.fill_diagonal(correlation, 1.0)
         repeats = np.where(correlation > 0.2, correlation, 0).sum(axis=1)
@@ -155,7 +159,7 @@ def train(held: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, float
     rng = np.random.default_rng(SEED)
     weight, bias = np.zeros(1 << BITS), float(np.log(target.mean() / (1 - target.mean())))
     seen = np.zeros(1 << BITS)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // len(rows))):
         for i in rng.permutation(len(rows)):
             ids = rows[i]
             error = target[i] - 1 / (1 + np.exp(-np.clip(weight[ids].sum() + bias, -30, 30)))
@@ -204,5 +208,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, label:
         weight, bias = train(held, q)
         if rate:
             bias += float(np.log(rate / (1 - rate)) - np.log(q.mean() / (1 - q.mean())))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(row_id(), (~training).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_score(weight, bias, threshold), SCHEMA)
