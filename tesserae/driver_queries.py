@@ -11,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .functions import scalar as S
-from .functions.metainfo import bencode, decode_metainfo, encode_metainfo, synthetic
+from .functions.metainfo import bencode, decode_metainfo, encode_metainfo, flat_trackers
+from .functions.metainfo import total_size as metainfo_size
 from .operators import backfill, lookups, mutations, policy, stateful, stats
 from .operators.ingest import classify
 from .plans.listing import Catalogue, ListingRequest, Sorting, listing, specify, total
@@ -464,10 +467,67 @@ def insert_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Metainfo documents
 
 
+@F.arrow_udf(BinaryType())
+def sample_document(number: pa.Array) -> pa.Array:
+    """A valid document for each number."""
+    return pa.array([bencode({"announce": "udp://t", "info": {"name": f"{i}", "piece length": 16384, "length": i, "pieces": b"p" * 20}}) for i in number.to_pylist()], pa.binary())
+
+
 @query("SELECT doc_id, true AS same, NULL::VARCHAR AS error FROM documents")
 def metainfo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document made from each row decodes, encodes and decodes to one hash."""
-    made = F.udf(lambda i: bencode({k: v for k, v in synthetic(f"{i:032x}").items() if k != "info"} | {"info": {"name": f"{i}", "piece length": 16384, "length": i, "pieces": b"p" * 20}}), "binary")
-    first = read(spark, sf_dir, "documents").select("doc_id", decode_metainfo(made("doc_id")).alias("d"))
+    first = read(spark, sf_dir, "documents").select("doc_id", decode_metainfo(sample_document("doc_id")).alias("d"))
     again = first.select("doc_id", "d", decode_metainfo(encode_metainfo(F.col("d.torrent"))).alias("e"))
     return again.select("doc_id", ((F.col("d.info_hash") == F.col("e.info_hash")) & (F.col("d.info_hash") == F.col("d.original_info_hash"))).alias("same"), F.col("d.error").alias("error"))
+
+
+@query("SELECT doc_id, 16384 + doc_id AS size, 'udp://t' AS tracker FROM documents")
+def metainfo_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of decoded documents: total size and trackers."""
+    d = read(spark, sf_dir, "documents").select("doc_id", decode_metainfo(sample_document("doc_id")).alias("d"))
+    return d.select("doc_id", (metainfo_size(F.col("d.torrent.info")) + F.col("d.torrent.info.piece_length")).alias("size"), flat_trackers(F.col("d.torrent"))[0].alias("tracker"))
+
+
+# More lookups
+
+
+@query("SELECT sha1(text) AS canonical_info_hash, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1")
+def canonical_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(S.sha1_text(F.col("text")).alias("canonical_info_hash"), "doc_id")
+    return lookups.children(docs, "canonical_info_hash", F.col("doc_id"), "doc_id", "members").withColumn("members", F.array_join("members", ","))
+
+
+@query("SELECT doc_id::VARCHAR AS info_hash, CASE WHEN quality IS NULL THEN doc_id::VARCHAR ELSE 'group ' || quality END AS canonical_info_hash FROM documents LEFT JOIN labels USING (doc_id)")
+def canonical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("info_hash"))
+    groups = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("info_hash"), F.concat(F.lit("group "), F.col("quality").cast("string")).alias("canonical_info_hash"))
+    return lookups.canonical(hashes, groups)
+
+
+@query("SELECT e.event_id, CASE WHEN c_custkey IS NULL THEN 'guest' WHEN c_acctbal < 0 THEN 'admin' ELSE 'registered' END AS role FROM events e LEFT JOIN customer ON user_id = c_custkey + 50")
+def roles_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read(spark, sf_dir, "customer").select((F.col("c_custkey") + 50).alias("user_id"), (F.col("c_acctbal") < 0).alias("administrator"))
+    return policy.roles(read(spark, sf_dir, "events").select("event_id", "user_id"), users).select("event_id", "role")
+
+
+@query("SELECT event_id, event_id % 3 = 0 OR user_id % 10 = event_id % 10 AS may FROM events")
+def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    return events.select("event_id", policy.may_edit(F.col("user_id") % 10, F.col("event_id") % 10, F.col("event_id") % 3 == 0).alias("may"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey")
+def ordered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
+
+
+@query("SELECT event_id, epoch(TIMESTAMP '2024-06-01 12:00:00')::BIGINT - CAST(floor(epoch(ts)) AS BIGINT) <= 3600 + 10 AS alive FROM events")
+def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-06-01 12:00:00").cast("timestamp")
+    return read(spark, sf_dir, "events").select("event_id", stats.is_alive(F.col("ts"), now, 3600).alias("alive"))
+
+
+@query()
+def fifo_cache_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    puts = read(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("at"), (F.col("event_id") % 40).cast("string").alias("key"), F.round("value").cast("long").alias("size"))
+    return stateful.cache_fold(puts, 1000, 100)
