@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -15,13 +18,17 @@ BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; in local mode without it (tests), one of our own, gone when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     kept = getattr(spark.sparkContext, "_tesserae_shared", None)
     if kept is None:
-        kept = Path(tempfile.mkdtemp(prefix="tesserae-")).as_uri()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = Path(tempfile.mkdtemp(prefix="tesserae-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        kept = folder.as_uri()
         spark.sparkContext._tesserae_shared = kept
     return kept
 

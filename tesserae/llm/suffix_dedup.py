@@ -20,9 +20,11 @@ cross documents.
    partition, and a run is only cut between tokens, no comparison is missed at
    a boundary.
 
-One leading token's segments meet in one task; a passage that a great part of
-the table has brings as many (each of at most 350 bytes) there, for the few
-tokens at its edges whose segments are not equal.
+The segments of one leading token meet in one task. A token with more than
+`HOT_SEGMENTS` of them (a passage that much of the table has) is left out of
+that: its windows are counted by digest instead, which partial counts reduce
+before any shuffle, and the repeated digests' windows are found by a join whose
+large side can be split.
 
 Null texts are empty; texts under LENGTH bytes keep everything. Repeated rows
 are copies of each other, whatever their doc_id.
@@ -48,9 +50,12 @@ TOKEN = 50
 SPREAD = LENGTH - TOKEN + 1
 #: Segments whose suffixes are sorted together.
 RUN_SEGMENTS = 8192
+#: Segments of one leading token that one task compares.
+HOT_SEGMENTS = 50_000
 PLACE_BITS = 24
 
 SEGMENT_SCHEMA = "rid long, token binary, at int, n int, segment binary"
+WINDOW_SCHEMA = "rid long, begin int, digest binary"
 SPAN_SCHEMA = "rid long, begin int, stop int"
 RESULT_SCHEMA = "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -91,13 +96,9 @@ def _extract(s: Slice) -> tuple[np.ndarray, ...]:
     return row, _hashes(s.data, place), np.diff(s.offsets), digest[:, 0].copy(), digest[:, 1].copy()
 
 
-def _segments(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments of the leading tokens of each text that are among its shared ones."""
-    return lambda batches: _cut(batches, U(max(0, 16 - bits)))
-
-
-def _cut(batches: Iterator[pa.RecordBatch], lost: np.uint64) -> Iterator[pa.RecordBatch]:
-    """lost: low bits of a token's hash that `shared` does not give back."""
+def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of texts its rids, and row, place, first and last window of the leading tokens that are among the row's `tokens`."""
+    lost = U(max(0, 16 - bits))  # low bits of a hash that `shared` does not give back
     for batch in batches:
         rid, lists = batch["rid"].to_numpy(), batch["tokens"]
         offsets = lists.offsets.to_numpy()
@@ -110,13 +111,34 @@ def _cut(batches: Iterator[pa.RecordBatch], lost: np.uint64) -> Iterator[pa.Reco
             for r in range(s.last - s.first):
                 i, j = cut[r], cut[r + 1]
                 keep[i:j] = np.isin(token[i:j], shared[offsets[s.first + r] : offsets[s.first + r + 1]])
-            row, place, first, last = row[keep], place[keep], first[keep], last[keep]
+            yield s, rid[s.first : s.last], row[keep], place[keep], first[keep], last[keep]
+
+
+def _segments(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, rid, row, place, first, last in _led(batches, bits):
             raw = s.data.tobytes()
             yield pa.RecordBatch.from_arrays([
-                pa.array(rid[s.first + row]), pa.array([raw[p : p + TOKEN] for p in place.tolist()], pa.binary()), pa.array((first - s.offsets[row]).astype(np.int32)),
+                pa.array(rid[row]), pa.array([raw[p : p + TOKEN] for p in place.tolist()], pa.binary()), pa.array((first - s.offsets[row]).astype(np.int32)),
                 pa.array((last - first + 1).astype(np.int32)), pa.array([raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist())], pa.binary()),
             ], ["rid", "token", "at", "n", "segment"])
 
+    return run
+
+
+def _windows(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each window that the tokens lead, by digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, rid, row, _, first, last in _led(batches, bits):
+            raw, n = s.data.tobytes(), last - first + 1
+            start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            of = np.repeat(row, n)
+            digest = [hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest() for i in start.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[of]), pa.array((start - s.offsets[of]).astype(np.int32)), pa.array(digest, pa.binary())], ["rid", "begin", "digest"])
+
+    return run
+
 
 def repeated(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which suffixes equal another for `length` bytes: multikey quicksort by 8-byte symbols.
@@ -211,19 +233,30 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null where all are) for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.coalesce("text", F.lit("")).alias("text"))
-    bits = max(4, bucket_bits(docs) - 3)
+    bits = max(4, bucket_bits(docs) - 1)
     named = rows.select(F.col("rid").alias("doc_id"), "text")
     sets = write_table(shared_tokens(named, _extract, lambda n, shared: shared > 0, bits), "leading").withColumnRenamed("doc_id", "rid")
     held = sets.where("tokens is not null")
     groups = held.groupBy("n", "d0", "d1").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = write_table(held.select("rid", "n", "d0", "d1").join(groups, ["n", "d0", "d1"]).select("rid", "rep"), "copies")
     bring = held.select("rid", "tokens").join(copies.where("rid <> rep").select("rid"), "rid", "left_anti")
-    texts = rows.select("rid", "text").join(bring, "rid")
-    segments = texts.mapInArrow(_segments(bits), SEGMENT_SCHEMA)
+    each = bring.select("rid", F.explode("tokens").alias("token"))
+    hot = write_table(each.groupBy("token").count().where(F.col("count") > HOT_SEGMENTS).select("token"), "hot")
+    texts, found = rows.select("rid", "text"), []
+    if hot.limit(1).count():
+        apart = each.join(hot.withColumn("hot", F.lit(True)), "token", "left").groupBy("rid")
+        sides = apart.agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("token"))).alias("tokens"), F.collect_list(F.when(F.col("hot"), F.col("token"))).alias("hot"))
+        sides = write_table(sides, "sides")
+        bring = sides.where(F.size("tokens") > 0).select("rid", "tokens")
+        windows = write_table(texts.join(sides.where(F.size("hot") > 0).select("rid", F.col("hot").alias("tokens")), "rid").mapInArrow(_windows(bits), WINDOW_SCHEMA), "windows")
+        again = windows.groupBy("digest").count().where("count > 1").select("digest")
+        found.append(windows.join(again, "digest", "left_semi").select("rid", "begin", (F.col("begin") + LENGTH).alias("stop")))
+    segments = texts.join(bring, "rid").mapInArrow(_segments(bits), SEGMENT_SCHEMA)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = segments.repartitionByRange(parts, "token").sortWithinPartitions("token").mapInArrow(_sorted_runs, SPAN_SCHEMA)
-    whole = copies.select("rid", F.lit(0).alias("begin"), F.lit(-1).alias("stop"))
-    spans = write_table(spans.unionByName(whole), "spans")
+    for more in [copies.select("rid", F.lit(0).alias("begin"), F.lit(-1).alias("stop")), *found]:
+        spans = spans.unionByName(more)
+    spans = write_table(spans, "spans")
     per = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     changed = rows.select("rid", "text").join(per, "rid").mapInArrow(_apply, RESULT_SCHEMA)
     base = rows.select("rid", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))

@@ -264,9 +264,11 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("run", [8192, 3])
-def test_suffix_dedup(docs, none, rows, monkeypatch, run):
+@pytest.mark.parametrize("run,hot", [(8192, 50_000), (3, 3), (8192, 0)])
+def test_suffix_dedup(docs, none, rows, monkeypatch, run, hot):
+    """Also with short runs, and with some or all leading tokens counted by digest."""
     monkeypatch.setattr(X, "RUN_SEGMENTS", run)
+    monkeypatch.setattr(X, "HOT_SEGMENTS", hot)
     got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(X.suffix_dedup(docs)).items()}
     assert got == brute_repeats(rows)
     assert X.suffix_dedup(none).count() == 0
