@@ -92,3 +92,22 @@ def upgrade_torrents(old: DataFrame, users: DataFrame, documents: DataFrame) ->
         "torrent_files": rows.select("torrent_id", F.posexplode(files).alias("pos", "f")).select(child.alias("file_id"), "torrent_id", "f.md5sum", "f.length", F.array_join("f.path", "/").alias("path")),
         "announce_urls": rows.select("torrent_id", F.posexplode(flat_trackers(F.col("torrent"))).alias("pos", "tracker_url")).where("tracker_url is not null").select(child.alias("announce_url_id"), "torrent_id", "tracker_url"),
     }
+
+
+def upgrade_categories(old: DataFrame, current: DataFrame) -> DataFrame:
+    """The first catalogue's categories under their own ids; raises if one's name has another id in the current table."""
+    both = old.select("category_id", "name").join(current.select(F.col("category_id").alias("_id"), "name"), "name")
+    wrong = both.where("category_id <> _id").limit(1).collect()
+    if wrong:
+        raise ValueError(f"category {wrong[0]['name']!r} would change its id")
+    return old.select("category_id", "name")
+
+
+def upgrade(old: dict[str, DataFrame], documents: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """All tables of a new catalogue from the first one's: categories, users, tracker_keys, torrents; nothing of the new one stays."""
+    users = upgrade_users(old["users"], now)
+    names = old["users"].select("username", "user_id")
+    return {
+        "categories": upgrade_categories(old["categories"], old["categories"].limit(0)), **users, "tracker_keys": upgrade_keys(old["tracker_keys"]),
+        **upgrade_torrents(old["torrents"], names, documents),
+    }

@@ -85,6 +85,23 @@ def details(torrents: DataFrame, info: DataFrame, files: DataFrame, urls: DataFr
     return out.withColumn("files", F.when(F.size("files") == 1, named).otherwise(F.col("files")))
 
 
+def with_stats(details: DataFrame, stats: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """details with seeders and leechers: live ones (torrent_id, seeders, leechers) where given, else the stored sums, else 0."""
+    zero = F.lit(0).cast("long")
+    out = details.join(stats.groupBy("torrent_id").agg(F.sum("seeders").alias("_s"), F.sum("leechers").alias("_l")), "torrent_id", "left")
+    now = [F.coalesce("_s", zero), F.coalesce("_l", zero)]
+    if live is not None:
+        out = out.join(live.select("torrent_id", F.col("seeders").alias("_ls"), F.col("leechers").alias("_ll")), "torrent_id", "left")
+        now = [F.coalesce("_ls", now[0]), F.coalesce("_ll", now[1])]
+    return out.withColumns({"seeders": now[0], "leechers": now[1]}).drop("_s", "_l", "_ls", "_ll")
+
+
+def in_group(groups: DataFrame, canonical_hash: str, info_hash: str) -> DataFrame:
+    """One row, `member`: whether info_hash belongs to a canonical hash's group."""
+    mine = (F.col("canonical_info_hash") == canonical_hash.lower()) & (F.col("info_hash") == info_hash.lower())
+    return groups.agg(F.coalesce(F.max(mine), F.lit(False)).alias("member"))
+
+
 def hydrate(torrents: DataFrame, files: DataFrame) -> DataFrame:
     """torrent_id and the info struct as it was published: one file or many by `multi_file`, which keeps the layout of a list of one."""
     listed = children(files, "torrent_id", F.struct(path_parts(F.col("path")).alias("path"), "length", "md5sum"), "file_id", "files")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .. import schemas
-from ..functions.metainfo import decode_metainfo
+from ..functions.metainfo import decode_metainfo, encode, synthetic
 
 
 class NotFound(LookupError):
@@ -68,3 +70,17 @@ def parse_stats(df: DataFrame, column: str) -> DataFrame:
     """Rows of STATS_SCHEMA from a JSON array of statistics; bad JSON gives none."""
     parsed = F.from_json(F.col(column), f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in STATS_SCHEMA.replace('long', 'bigint').split(', '))}>>")
     return df.select(F.inline(parsed))
+
+
+@F.arrow_udf(BinaryType())
+def synthetic_document(uuid: pa.Array) -> pa.Array:
+    """The bytes of a small one-file document for each UUID."""
+    return pa.array([encode(synthetic(u)) for u in uuid.to_pylist()], pa.binary())
+
+
+def synthetic_uploads(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """uuid, title, content of n random-looking uploads, the same for a seed: what a test catalogue is filled with."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), "id").cast("binary"))
+    uuid = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("uuid")
+    rows = spark.range(n).select(uuid)
+    return rows.select("uuid", F.concat(F.lit("title-"), "uuid").alias("title"), synthetic_document("uuid").alias("content"))

@@ -197,3 +197,43 @@ def test_refresh_ticks(spark):
     q.processAllAvailable()
     q.stop()
     assert seen
+
+
+def test_whole_upgrade(spark):
+    from tesserae.functions import metainfo as M
+
+    raw = M.bencode({"info": {"name": "n", "piece length": 1, "pieces": b"", "length": 3}})
+    docs = spark.createDataFrame([(1, bytearray(raw))], "torrent_id long, b binary").select("torrent_id", M.decode_metainfo("b").alias("d")).select("torrent_id", "d.torrent")
+    old = {
+        "categories": spark.createDataFrame([(3, "movies")], "category_id long, name string"),
+        "users": spark.createDataFrame([(7, "ann", None, True, "pw", True)], "user_id long, username string, email string, email_verified boolean, password string, administrator boolean"),
+        "tracker_keys": spark.createDataFrame([(1, 7, "k", 99)], "key_id long, user_id long, key string, valid_until long"),
+        "torrents": spark.createDataFrame([(1, "ann", "AB", "t", 3, None, 0, 3)], "torrent_id long, uploader string, info_hash string, title string, category_id long, description string, upload_date long, file_size long"),
+    }
+    made = backfill.upgrade(old, docs, now())
+    assert {t: df.count() for t, df in made.items()} == {"categories": 1, "users": 1, "user_authentication": 1, "user_profiles": 1, "tracker_keys": 1, "torrents": 1, "torrent_info": 1, "torrent_files": 1, "announce_urls": 0}
+    with pytest.raises(ValueError):
+        backfill.upgrade_categories(old["categories"], spark.createDataFrame([(4, "movies")], "category_id long, name string"))
+
+
+def test_live_stats_and_group_membership(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "torrent_id long")
+    have = spark.createDataFrame([(1, 5, 6), (2, 7, 8)], "torrent_id long, seeders long, leechers long")
+    live = spark.createDataFrame([(2, 1, 0)], have.schema)
+    assert rows(lookups.with_stats(ids, have, live)) == [(1, 5, 6), (2, 1, 0), (3, 0, 0)]
+    assert rows(lookups.with_stats(ids, have)) == [(1, 5, 6), (2, 7, 8), (3, 0, 0)]
+    groups = spark.createDataFrame([("aa", "cc", True)], TABLES["info_hashes"])
+    assert lookups.in_group(groups, "CC", "AA").first().member and not lookups.in_group(groups, "cc", "zz").first().member
+    assert not lookups.in_group(groups.limit(0), "cc", "aa").first().member
+
+
+def test_files_and_synthetic_uploads(spark, tmp_path):
+    from tesserae.sources.tables import metainfo_files, synthetic_uploads
+
+    made = synthetic_uploads(spark, 5).collect()
+    assert len({r.uuid for r in made}) == 5
+    for i, r in enumerate(made):
+        (tmp_path / f"{i}.torrent").write_bytes(bytes(r.content))
+    (tmp_path / "bad.torrent").write_bytes(b"junk")
+    got = metainfo_files(spark, str(tmp_path))
+    assert got.where("error is null").select("info_hash").distinct().count() == 5 and got.where("error is not null").count() == 1
