@@ -531,3 +531,31 @@ def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fifo_cache_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     puts = read(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("at"), (F.col("event_id") % 40).cast("string").alias("key"), F.round("value").cast("long").alias("size"))
     return stateful.cache_fold(puts, 1000, 100)
+
+
+@query("SELECT doc_id AS torrent_id, CAST(coalesce(quality, 0) + CASE WHEN doc_id % 7 = 0 THEN 100 - coalesce(quality, 0) ELSE 0 END AS BIGINT) AS seeders, CAST(CASE WHEN doc_id % 7 = 0 THEN 5 ELSE coalesce(toxic, 0) END AS BIGINT) AS leechers FROM documents LEFT JOIN labels USING (doc_id)")
+def details_live_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("torrent_id"))
+    have = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("torrent_id"), F.col("quality").alias("seeders"), F.col("toxic").alias("leechers"))
+    live = ids.where("torrent_id % 7 = 0").select("torrent_id", F.lit(100).cast("long").alias("seeders"), F.lit(5).cast("long").alias("leechers"))
+    return lookups.with_stats(ids, have, live)
+
+
+@query("SELECT o_orderkey, hex(encode(o_orderkey::VARCHAR)) AS key FROM orders ORDER BY o_orderkey::VARCHAR LIMIT 30")
+def bytewise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page by the byte order of a text key."""
+    key = F.hex(F.col("o_orderkey").cast("string"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", key.alias("key")).orderBy("key").limit(30)
+
+
+@query("SELECT c_custkey, coalesce(nullif(trim(c_mktsegment), 'BUILDING'), 'none') AS segment FROM customer")
+def blank_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.coalesce(S.blank_to_null(text), F.lit("none")).alias("segment"))
+
+
+@query("SELECT part.p_partkey, p_name, n > 1 AS repeats FROM part JOIN (SELECT p_name, count(*) AS n FROM part GROUP BY 1) USING (p_name) WHERE n > 1")
+def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    twice = part.groupBy("p_name").count().where("count > 1")
+    return part.join(twice.select("p_name"), "p_name", "left_semi").withColumn("repeats", F.lit(True))
