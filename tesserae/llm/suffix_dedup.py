@@ -26,7 +26,8 @@ that: its windows are counted by digest instead, which partial counts reduce
 before any shuffle, and the repeated digests' windows are found by a join whose
 large side can be split.
 
-Null texts are empty; texts under LENGTH bytes keep everything. Repeated rows
+docs is read more than once and must give its rows in the same order, as a table
+does. Null texts are empty; texts under LENGTH bytes keep everything. Repeated rows
 are copies of each other, whatever their doc_id.
 """
 
@@ -37,6 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,12 +117,26 @@ def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Slice,
 
 
 def _segments(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments; of equal ones in a slice one, and for all of them rows without a segment, a row for each run of windows that are known to repeat."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rid, row, place, first, last in _led(batches, bits):
             raw = s.data.tobytes()
+            segment = [raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist())]
+            seen: dict[tuple[int, bytes], int] = {}
+            lead = np.array([seen.setdefault(key, k) for k, key in enumerate(zip((place - first).tolist(), segment))], np.int64)
+            many = np.bincount(lead, minlength=len(lead))[lead] > 1 if len(lead) else np.zeros(0, bool)
+            known = np.flatnonzero(many)
+            new = np.concatenate([[True], (row[known][1:] != row[known][:-1]) | (first[known][1:] > last[known][:-1] + LENGTH)])[: len(known)]
+            begin = known[new]
+            until = known[np.append(np.flatnonzero(new)[1:], len(known))[: len(begin)] - 1]
+            sent = np.flatnonzero(lead == np.arange(len(lead)))
+            at = np.concatenate([first[sent], first[begin]]) - s.offsets[np.concatenate([row[sent], row[begin]])]
+            n = np.concatenate([last[sent] - first[sent], last[until] - first[begin]]) + 1
+            token = [raw[p : p + TOKEN] for p in np.concatenate([place[sent], place[begin]]).tolist()]
             yield pa.RecordBatch.from_arrays([
-                pa.array(rid[row]), pa.array([raw[p : p + TOKEN] for p in place.tolist()], pa.binary()), pa.array((first - s.offsets[row]).astype(np.int32)),
-                pa.array((last - first + 1).astype(np.int32)), pa.array([raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist())], pa.binary()),
+                pa.array(rid[np.concatenate([row[sent], row[begin]])]), pa.array(token, pa.binary()), pa.array(at.astype(np.int32)),
+                pa.array(n.astype(np.int32)), pa.array([segment[k] for k in sent] + [None] * len(begin), pa.binary()),
             ], ["rid", "token", "at", "n", "segment"])
 
     return run
@@ -191,8 +207,13 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[pa.RecordBatch] = []
     rows = 0
 
-    def run(table: pa.Table) -> pa.RecordBatch:
-        return _spans(table["rid"].to_numpy(), table["at"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64), table["segment"].to_pylist())
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        known = table.filter(pc.is_null(table["segment"]))
+        begin = known["at"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(known["rid"].to_numpy()), pa.array(begin), pa.array(begin + known["n"].to_numpy() - 1 + np.int32(LENGTH))], ["rid", "begin", "stop"])
+        table = table.filter(pc.is_valid(table["segment"]))
+        if table.num_rows:
+            yield _spans(table["rid"].to_numpy(), table["at"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64), table["segment"].to_pylist())
 
     for batch in batches:
         for i in range(0, batch.num_rows, RUN_SEGMENTS):
@@ -204,11 +225,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = table["token"].to_pylist()
             cut = next((k for k in range(rows - 1, 0, -1) if token[k] != token[k - 1]), 0)
             if cut:
-                yield run(table.slice(0, cut))
+                yield from run(table.slice(0, cut))
                 kept = table.slice(cut).to_batches()
                 rows -= cut
     if rows:
-        yield run(pa.Table.from_batches(kept))
+        yield from run(pa.Table.from_batches(kept))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +254,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null where all are) for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.coalesce("text", F.lit("")).alias("text"))
-    bits = max(4, bucket_bits(docs) - 1)
+    bits = max(4, bucket_bits(docs) - 3)
     named = rows.select(F.col("rid").alias("doc_id"), "text")
     sets = write_table(shared_tokens(named, _extract, lambda n, shared: shared > 0, bits), "leading").withColumnRenamed("doc_id", "rid")
     held = sets.where("tokens is not null")
     groups = held.groupBy("n", "d0", "d1").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = write_table(held.select("rid", "n", "d0", "d1").join(groups, ["n", "d0", "d1"]).select("rid", "rep"), "copies")
     bring = held.select("rid", "tokens").join(copies.where("rid <> rep").select("rid"), "rid", "left_anti")
-    each = bring.select("rid", F.explode("tokens").alias("token"))
+    each = bring.select("rid", F.explode(F.array_distinct("tokens")).alias("token"))
     hot = write_table(each.groupBy("token").count().where(F.col("count") > HOT_SEGMENTS).select("token"), "hot")
     texts, found = rows.select("rid", "text"), []
     if hot.limit(1).count():
