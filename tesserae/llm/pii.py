@@ -50,7 +50,7 @@ PATTERNS: dict[str, str] = {
 }
 ANY = "|".join(PATTERNS.values())
 #: A cheap test that any text with an entity passes.
-TRIGGER = rf"[@(]|\d{{2}}|[0-9a-fA-F]{{32}}|(?:token|secret|passw|pwd|key|TOKEN|SECRET|PASSW|PWD|KEY|Token|Secret|Passw|Key)|(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\s"
+TRIGGER = rf"@|\d[ .\-]?\d|[0-9a-fA-F]{{32}}|(?i:key|token|secret|password|passwd|pwd)\s{{0,3}}[:=]|(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\s"
 
 #: Alphabets and name syllables by script.
 ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Latin": "abcdefghijklmnopqrstuvwxyz"}

@@ -494,3 +494,15 @@ def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (1 << 60, "a b c")], "doc_id long, text string")
     assert {r.component_id for r in J.jaccard_components(docs).collect()} == {-1}
     assert {r.keep_id for r in E.exact_dedup(docs).collect()} == {-1}
+
+
+def test_pii_needs_no_other_trigger(spark):
+    """Each entity alone in its text, so that nothing else there can set off the search."""
+    alone = [
+        "a@b.cd", "8.8.8.8", "1.1.1.1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "Pwd: hunterxyz", "PassWord = hunterxyz", "pAsSwD:hunterxyz",
+        "kEy=hunterxyz", "Api_Key = hunterxyz", "aCCess-key: hunterxyz", "tOKEN  =  'hunterxyz", "SeCret :hunterxyz", "abcdef" * 6, "123-45-6789", "+1 (017) 555-7713", "+1 55 55", "017.555.7713",
+        "DE44 ABCD EFGH IJKL", "Mr. Smith", "г-жа Петрова", "Dr Smith",
+    ]
+    docs = spark.createDataFrame([(i, f"so {t} ok") for i, t in enumerate(alone)], "doc_id long, text string")
+    got = by_id(replace_pii(docs, "k"))
+    assert [t for i, t in enumerate(alone) if got[i].n_entities != 1 or t in got[i].text] == []
