@@ -4,30 +4,52 @@ Language identification drops texts without a language, exact dedup keeps one
 row of equal texts, the n-gram Jaccard join keeps the smallest doc_id of each
 group of near copies, benchmark decontamination drops documents that hold a
 window of a test item, and best-fit packing fills sequences with the rest.
-doc_id is unique. Each stage is written as Parquet before the next reads it.
+Each stage is written as Parquet before the next reads it.
+
+doc_id may be null or come more than once. The stages tell rows apart by a key
+of their own, so what happens to one row never depends on others with its
+doc_id. Of equal texts the longest stays, then the smallest doc_id; a null one
+counts as -1. Of rows alike in that, as repeated rows are, any single one stays.
+A null text has no language; null lang is no label; other columns are carried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.decontaminate import remove_documents
+from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
 from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.langid import identify
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.queries import table, tokenizer_file
+from tesserae.llm.sampling import row_id
 from tesserae.llm.storage import few_files, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids."""
-    return few_files(docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), "left_semi"))
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row. A table gives its rows the same keys whenever it is read."""
+    return docs.withColumn(KEY, F.monotonically_increasing_id())
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """The texts under their rows' keys, for operators that tell documents apart by doc_id."""
+    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _one_each(keyed: DataFrame, groups: DataFrame, *first: Column) -> DataFrame:
+    """One row of each group of keys (doc_id, grp): the least by `first`, then by doc_id."""
+    rank = keyed.select(KEY, F.struct(*first, row_id(), F.col(KEY)).alias("rank"))
+    kept = groups.join(rank, groups["doc_id"] == rank[KEY]).groupBy("grp").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{KEY}").alias(KEY))
+    return few_files(keyed.join(kept, KEY, "left_semi").select(*(c for c in keyed.columns if c != KEY)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +59,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of equal texts."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    keyed = _keyed(docs)
+    groups = exact_dedup(_by_key(keyed)).select("doc_id", F.col("keep_id").alias("grp"))
+    return _one_each(keyed, groups, (-F.char_length(F.coalesce("text", F.lit("")))).alias("n"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near copies."""
-    return _only(docs, jaccard_components(docs).where("doc_id = component_id"))
+    keyed = _keyed(docs)
+    return _one_each(keyed, jaccard_components(_by_key(keyed)).select("doc_id", F.col("component_id").alias("grp")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a test item."""
-    return few_files(remove_documents(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    hits = decontaminate(_by_key(keyed), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(KEY))
+    return few_files(keyed.join(hits, KEY, "left_anti").select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import corpus_pipeline
 from test_operators import brute_components, brute_hits, strip
 
 from tesserae.llm.langid import identify
+from tesserae.llm.storage import write_table
 
 
 def test_stages(spark, tmp_path):
@@ -42,6 +43,34 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(kept)
 
 
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    import random
+
+    from test_operators import prose
+
+    rng = random.Random(5)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    near, leak = d + " zz", prose(rng, 30)
+    rows = [(None, a), (None, b), (None, None), (7, c), (7, c), (7, e), (8, d), (None, near), (9, f), (None, leak + " " + f[:40]), (None, " " + f), (3, leak)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = write_table(stage(spark, now, str(tmp_path)), name)
+        seen.append(sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in now.collect()))
+    want = sorted((-1 if i is None else i, t) for i, t in rows if t)
+    assert seen[0] == want
+    want.remove((7, c))
+    want.remove((9, f))
+    assert seen[1] == want
+    want.remove((8, d))
+    assert seen[2] == want
+    assert seen[3] == [(i, t) for i, t in want if leak not in t]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[3])
+
+
 def test_entry_adds_the_subpackage():
     import __spark_entry__
 
