@@ -63,7 +63,23 @@ RESULT_SCHEMA = "rid long, n_removed long, n_spans long, kept_sha256 string, kep
 
 
 def leading(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Leading tokens: row, place, and the first and last window each leads."""
+    """Leading tokens: row, place, and the first and last window each leads.
+
+    Places are packed in PLACE_BITS, so a longer text is read in chunks; they
+    overlap by LENGTH - 1 bytes, so each window is whole in one of them.
+    """
+    size = 1 << PLACE_BITS
+    if len(data) <= size:
+        return _leading(data, offsets)
+    begins = range(0, len(data) - LENGTH + 1, size - LENGTH + 1)
+    found = [(i, _leading(data[i : i + size], np.clip(offsets - i, 0, min(size, len(data) - i)))) for i in begins]
+    row = np.concatenate([x[0] for _, x in found])
+    place, first, last = (np.concatenate([x[k] + i for i, x in found]) for k in (1, 2, 3))
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))[: len(row)]
+    return row[new], place[new], first[new], last[np.append(new[1:], len(row))[: len(new)] - 1]
+
+
+def _leading(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = (np.zeros(0, np.int64),) * 4
     n = len(data) - TOKEN + 1
     if n < SPREAD:

@@ -506,3 +506,18 @@ def test_pii_needs_no_other_trigger(spark):
     docs = spark.createDataFrame([(i, f"so {t} ok") for i, t in enumerate(alone)], "doc_id long, text string")
     got = by_id(replace_pii(docs, "k"))
     assert [t for i, t in enumerate(alone) if got[i].n_entities != 1 or t in got[i].text] == []
+
+
+@pytest.mark.parametrize("bits", [8, 9, 11])
+def test_leading_tokens_of_texts_longer_than_a_place(monkeypatch, bits):
+    """The same tokens lead the same windows whether or not a text's places fit in PLACE_BITS."""
+    rng = np.random.default_rng(6)
+    size = [0, 199, 5000, 200, 3, 2047, 2048, 1, 300]
+    data, offsets = rng.integers(97, 123, sum(size), dtype=np.uint8), np.cumsum([0, *size])
+    data[900:1900] = data[3900:4900]
+    want = X.leading(data, offsets)
+    assert (want[3] - want[2] + 1).sum() == sum(max(0, n - 199) for n in size)
+    monkeypatch.setattr(X, "PLACE_BITS", bits)
+    for a, b in zip(X.leading(data, offsets), want, strict=True):
+        assert a.tolist() == b.tolist()
+    assert all(len(x) == 0 for x in X.leading(np.zeros(3000, np.uint8), np.arange(0, 3001, 100)))
