@@ -66,8 +66,9 @@ class Ids:
     The vocabulary's pattern cuts plain Latin text (no apostrophes, no runs of
     white space) where the class of characters changes, a space going with what
     follows it. Such texts are cut so, and each distinct word is encoded once;
-    words are told apart by 64 bits of hash. Other texts are encoded whole. Both
-    give the ids of the whole text.
+    words are told apart by 64 bits of hash. Other texts, and those that hold the
+    string of a special token, are encoded whole. Both give the ids of the whole
+    text.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,8 +76,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         #: Sorted hashes, and where their ids begin and end, in an old and a new part.
         self.parts = [self._part() for _ in range(2)]
@@ -141,6 +142,12 @@ class Ids:
         last = np.concatenate([[0], data[:-1]])
         odd = (kind == 0) | ((kind == 4) & (before == 4)) | ((data >= 0x80) & (data < 0xC0) & (last != 0xC3)) | ((last == 0xC3) & ((data == 0x97) | (data == 0xB7)))
         plain = row_sums(odd.astype(np.int64), s.offsets) == 0
+        whole_text = data.tobytes()
+        for word in self.special:
+            at = whole_text.find(word)
+            while at >= 0:
+                plain[np.searchsorted(s.offsets, at, "right") - 1] = False
+                at = whole_text.find(word, at + 1)
         first = border[:-1] | (kind == 4) | ((kind != before) & (last != 0x20))
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(data))
@@ -189,37 +196,64 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame
 
 
 class Complements:
-    """Counts of available pieces by length, with look-up of exact sums of one, two or three of them."""
+    """Counts of available pieces by length, and an index of the exact sums of one, two and three of them.
+
+    Sums of two are listed by sum, each as its longer length, the longest
+    first; sums of three are a length and a listed sum of two. Pieces only ever
+    get fewer, so entries that are used up go from the lists for good.
+    """
 
     def __init__(self, counts: dict[int, int], context: int) -> None:
         self.n = np.zeros(context + 1, np.int64)
         for length, count in counts.items():
             self.n[length] = count
-        self.context = context
-
-    def single(self, total: int) -> tuple[int, ...] | None:
-        return (total,) if total and self.n[total] else None
-
-    def pair(self, total: int, most: int | None = None) -> tuple[int, ...] | None:
-        """The pair with the longest first member that sums to total, pieces being there twice where a length repeats."""
-        a = np.arange(min(total - 1, most or total), (total - 1) // 2, -1)
-        if not len(a):
-            return None
-        ok = np.flatnonzero((self.n[a] > 0) & (self.n[total - a] > (total - a == a)))
-        return (int(a[ok[0]]), int(total - a[ok[0]])) if len(ok) else None
-
-    def triple(self, total: int) -> tuple[int, ...] | None:
-        for a in range(total - 2, (total - 1) // 3, -1):
-            if self.n[a]:
-                self.n[a] -= 1
-                rest = self.pair(total - a, a)
-                self.n[a] += 1
+        have = np.flatnonzero(self.n)[::-1]
+        self.longest = have.tolist()
+        long, short = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        fits = (long >= short) & (long + short <= context)
+        long, total = long[fits], (long + short)[fits]
+        order = np.argsort(total, kind="stable")
+        self.pairs = dict(enumerate(np.split(long[order], np.searchsorted(total[order], np.arange(1, context + 1)))))
+        self.at_triple: dict[int, int] = defaultdict(int)
+
+    def _live(self, total: int, *taken: int) -> np.ndarray:
+        """Longer lengths of the listed pairs of a sum that are there beside the pieces taken."""
+        held = self.pairs[total]
+        if not len(held):
+            return held
+        rest = total - held
+        there = (self.n[held] > 0) & (self.n[rest] > (held == rest))
+        if not there.all():
+            held = self.pairs[total] = held[there]
+            rest = rest[there]
+        spare_long, spare_short = self.n[held] - (held == rest), self.n[rest] - (held == rest)
+        for x in taken:
+            spare_long, spare_short = spare_long - (held == x), spare_short - (rest == x)
+        return held[(spare_long > 0) & (spare_short > 0)]
+
+    def single(self, total: int, taken: int) -> tuple[int, ...] | None:
+        return (total,) if total and self.n[total] > (total == taken) else None
+
+    def pair(self, total: int, *taken: int) -> tuple[int, ...] | None:
+        """The pair with the longest first member that sums to total."""
+        live = self._live(total, *taken)
+        return (int(live[0]), total - int(live[0])) if len(live) else None
+
+    def triple(self, total: int, taken: int) -> tuple[int, ...] | None:
+        """A length, the longest that has one, and a pair of what it leaves. Lengths that have none are passed once a sum."""
+        while (k := self.at_triple[total]) < len(self.longest):
+            a = self.longest[k]
+            if a < total and self.n[a] > (a == taken):
+                rest = self.pair(total - a, a, taken)
                 if rest:
                     return (a, *rest)
+            self.at_triple[total] = k + 1
         return None
 
-    def fill(self, gap: int) -> tuple[int, ...] | None:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def fill(self, length: int) -> tuple[int, ...] | None:
+        """Pieces that fill the gap beside one of this length."""
+        gap = len(self.n) - 1 - length
+        return self.single(gap, length) or self.pair(gap, length) or self.triple(gap, length)
 
 
 def plan(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[tuple[int, ...], int]]:
@@ -237,9 +271,7 @@ def plan(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[tuple[int
         use((context,))
     for length in range(context - 1, 0, -1):
         while free.n[length]:
-            free.n[length] -= 1
-            rest = free.fill(context - length)
-            free.n[length] += 1
+            rest = free.fill(length)
             if rest is None:
                 break
             use((length, *rest))

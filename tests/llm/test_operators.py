@@ -327,9 +327,9 @@ def test_plan_uses_every_piece_and_fills_exactly():
 def test_token_ids_of_awkward_texts():
     from tokenizers import Tokenizer
 
-    texts = ["", "  a b\n\n c", "it's ok", "日本語 test 123", " lead", "trail ", "x\ty", "é×÷ 12a!?", "\xa0 nb", "a\r\nb", "<|endoftext|>", None]
+    texts = ["", "  a b\n\n c", "it's ok", "日本語 test 123", " lead", "trail ", "x\ty", "é×÷ 12a!?", "\xa0 nb", "a\r\nb", "<|endoftext|>", "hello <|endoftext|> world", "x<|endoftext|><|endoftext|>y plain", "<|endoftext|", None]
     tokenizer = Tokenizer.from_file(tokenizer_file())
-    tokenizer.encode_special_tokens = True
+    assert 50256 in tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids
     ids = P.Ids(tokenizer_file())
     for s in P.slices(pa.array(texts)):
         assert [list(x) for x in ids(s)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
