@@ -160,9 +160,9 @@ GRAM_BITS = 16
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with every white space a blank and one around each row, A-Z lowered if asked; where each row's begin."""
+    """Bytes with every white space a blank and one around each row, two after the last, at least four, A-Z lowered if asked; where each row's begin."""
     m = len(offsets) - 1
-    out = np.full(len(data) + m + 1, 0x20, np.uint8)
+    out = np.full(max(4, len(data) + m + 2), 0x20, np.uint8)
     row = np.repeat(np.arange(m), np.diff(offsets))
     out[np.arange(len(data)) + row + 1] = np.where(NOT_SPACE[data], ASCII_LOWER[data] if lower else data, 0x20)
     return out, offsets + np.arange(m + 1)

@@ -3,14 +3,16 @@
 Each language has smoothed likelihoods of byte 3- and 4-grams of words. Within a
 document every word comes from one language; expectation-maximisation estimates
 the languages' proportions. The set of languages is the one with the highest
-penalised likelihood: sets of one, two, ... languages by estimated proportion,
-each further language costing `PENALTY` times the logarithm of the number of
-words. The prediction is the set's most frequent language, its score that
-proportion.
+penalised likelihood: languages join it in the order of their proportions among
+all languages, each at the cost of `PENALTY` times the logarithm of the number of
+words, as long as that pays; the proportions are estimated anew for each set. The
+prediction is the set's most frequent language, its score that proportion.
 
 Languages are learned from about `PER_LANGUAGE` training documents each, chosen
-by a hash. A null text or one without letters is `und` with score 0 and no
-languages. Repeated rows get equal results, an empty table an empty one. Without
+by a hash, of texts up to `sampling.MOST_BYTES` bytes. A null text or one without
+letters is `und` with score 0 and no languages. Repeated rows get equal results,
+an empty table an empty one; ties between languages go by name. A null doc_id
+counts as -1; columns other than doc_id, text and lang are not read. Without
 training rows everything is `und`.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .kernels import GRAM_BITS, grams, padded, row_sums, slices, word_spans
-from .sampling import bounded, row_id
+from .sampling import MOST_BYTES, bounded, row_id
 
 PER_LANGUAGE = 1500
 SMOOTHING = 0.5
@@ -33,7 +35,6 @@ SMOOTHING = 0.5
 TEMPER = 0.5
 ROUNDS = 8
 PENALTY = 3.0
-MOST_LANGUAGES = 3
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
@@ -42,8 +43,6 @@ def train(texts: pa.Array, labels: np.ndarray, n_labels: int) -> tuple[np.ndarra
     counts = np.zeros((2, n_labels, 1 << GRAM_BITS))
     for s in slices(texts):
         text, begin = padded(s.data, s.offsets)
-        if len(text) < 4:
-            continue
         three, four = grams(text)
         label = np.repeat(labels[s.first : s.last], np.diff(begin))[: len(three)]
         for k, g in enumerate((three, four)):
@@ -90,7 +89,7 @@ def infer(like: np.ndarray, first: np.ndarray) -> np.ndarray:
     cost = PENALTY * np.log(np.diff(first) + 1.0)
     best, best_score = np.zeros((rows, n)), np.full(rows, -np.inf)
     todo = np.arange(rows)
-    for size in range(1, min(MOST_LANGUAGES, n) + 1):
+    for size in range(1, n + 1):
         keep = np.zeros(rows, bool)
         keep[todo] = True
         mine = np.repeat(keep, np.diff(first))
@@ -115,7 +114,7 @@ def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE
     prediction needs no join.
     """
     text = F.coalesce("text", F.lit(""))
-    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = docs.where(training & F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)).select("doc_id", "lang", "text")
     sample = bounded(known, "lang", "doc_id", per_language).select("lang", "text").toArrow()
     names = sorted(set(sample["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(names)}
@@ -138,7 +137,7 @@ def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str], car
             shares: list[list[float]] = [[] for _ in range(batch.num_rows)]
             for s in slices(batch["text"], max(1 << 16, (4 << 20) // max(4, len(names)))):
                 text, begin = padded(s.data, s.offsets)
-                if tables is None or len(text) < 4:
+                if tables is None:
                     continue
                 start, end, first = word_spans(text, begin)
                 rows = np.flatnonzero(letters[s.first : s.last] & (np.diff(first) > 0))

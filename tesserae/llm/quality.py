@@ -9,8 +9,11 @@ labelled rows' own. To score, each vector is projected on the softmax once, so
 a text costs one look-up a feature, over its whole length.
 
 Null and empty texts have no features and get the prior. Without labelled rows
-of both kinds every score is the share of label 1 among them, or 0.5. Only text
-enters a score: doc_id picks the fold, lang, source and labels are not read.
+of both kinds every score is the share of label 1 among them, or 0.5. Labels other
+than 0 and 1 are no labels. Only text enters a score: doc_id picks the fold, lang,
+source and labels are not read. Equal texts get equal scores, so repeated rows and
+ties do; a null doc_id counts as -1; other columns, whatever their names, are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import GRAM_BITS, ORDER_CODE, U, grams, mix, padded, prefix_sums, range_hash, slices, word_spans
-from .sampling import bounded, row_id
+from .sampling import labelled_sample, row_id
 
 PER_LABEL = 1500
 DIM = 8
@@ -35,8 +38,8 @@ FAMILIES = 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each family, the buckets of its features in order and where each row's begin.
+def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each family, the buckets of its features in order and where each row's begin and end. No feature crosses rows.
 
     A word equal to the one before it gives a pair of its own, whatever the word.
     """
@@ -49,10 +52,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     pair = np.concatenate([pair, np.zeros(min(1, len(word)), np.uint64)])
     last = first[1:][np.diff(first) > 0] - 1
     pair[last] = 1  # no word follows
-    three, four = grams(text) if len(text) > 3 else (np.zeros(0, np.uint32),) * 2
-    at = np.minimum(begin, len(three))
-    out = [(word >> U(64 - GRAM_BITS), first), (pair, first), (three, at), (four, at)]
-    return [(b.astype(np.int64) + k * size, f) for k, (b, f) in enumerate(out)]
+    three, four = grams(text)
+    at, end = begin[:-1], begin[1:]
+    out = [(word >> U(64 - GRAM_BITS), first[:-1], first[1:]), (pair, first[:-1], first[1:]), (three, at, np.maximum(at, end - 1)), (four, at, np.maximum(at, end - 2))]
+    return [(b.astype(np.int64) + k * size, i, j) for k, (b, i, j) in enumerate(out)]
 
 
 def _sparse(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ def _sparse(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s in slices(texts):
         found = features(s.data, s.offsets)
         for r in range(s.last - s.first):
-            ids, count = np.unique(np.concatenate([b[f[r] : f[r + 1]] for b, f in found]), return_counts=True)
+            ids, count = np.unique(np.concatenate([b[i[r] : j[r]] for b, i, j in found]), return_counts=True)
             index.append(ids.astype(np.int32))
             share.append((count / max(1, count.sum())).astype(np.float32))
             bound.append(bound[-1] + len(ids))
@@ -107,11 +110,11 @@ def _score(weights: np.ndarray | None, bias: float, threshold: float) -> Callabl
             logit = np.zeros(batch.num_rows)
             for s in slices(batch["text"]) if weights is not None else ():
                 total, count = np.zeros(s.last - s.first), np.zeros(s.last - s.first)
-                for bucket, first in features(s.data, s.offsets):
+                for bucket, first, last in features(s.data, s.offsets):
                     sums = np.zeros(len(bucket) + 1)
                     np.cumsum(weights[bucket], out=sums[1:], dtype=np.float64)
-                    total += sums[first[1:]] - sums[first[:-1]]
-                    count += np.diff(first)
+                    total += sums[last] - sums[first]
+                    count += last - first
                 logit[s.first : s.last] = total / np.maximum(count, 1)
             score = 1 / (1 + np.exp(-np.clip(logit + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -124,10 +127,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, training: Column, t
 
     training: which rows' labels may be learned from, over doc_id.
     """
-    known = labels.where(training & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    counts = dict(known.groupBy("label").count().collect())
-    picked = F.broadcast(bounded(known, "label", "doc_id", per_label))  # at most 4 * per_label rows
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").orderBy("doc_id").toArrow()
+    found, counts = labelled_sample(docs, labels, label, training, per_label)
+    sample = found.toArrow()  # at most 4 * per_label rows of MOST_BYTES
     y = sample["label"].to_numpy()
     weights, bias = None, 0.0
     if len(np.unique(y)) == 2:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _STEPS = 1 << 30
+#: Longest text that a model is fitted on; all are scored. With the row bounds it bounds a sample's bytes.
+MOST_BYTES = 1 << 16
+#: Labels that a sample has at most: the ones with most rows.
+MOST_LABELS = 512
 
 
 def row_id() -> Column:
-    """doc_id as a long; rows without one have -1."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id")
+    """doc_id as a long; rows without one, or with one that is no number, have -1."""
+    return F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-1).cast("long")).alias("doc_id")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -22,11 +27,26 @@ def bounded(df: DataFrame, label: str, id_column: str, per_label: int) -> DataFr
     """About per_label rows of each label, and never over twice as many in all as that allows.
 
     Rows are taken by a hash of their id against each label's share, so no label
-    meets in one task; at most the labels' counts reach the driver.
+    meets in one task. The shares are a table of at most MOST_LABELS rows.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(_STEPS, per_label * _STEPS // n))).otherwise(share)
-    taken = df.where(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(_STEPS)) < share)
-    return taken.limit(2 * per_label * max(1, len(counts)))
+    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS)
+    shares = {r[0]: min(_STEPS, per_label * _STEPS // r[1]) for r in counts.collect()}
+    spark = df.sparkSession
+    named = df.schema[label].dataType
+    held = F.broadcast(spark.createDataFrame(list(shares.items()), StructType().add("_of", named).add("_share", "long")))
+    taken = df.join(held, df[label] == held["_of"]).where(F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(_STEPS)) < F.col("_share"))
+    return taken.select(*(df[c] for c in df.columns)).limit(2 * per_label * max(1, len(shares)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """text and label (0 or 1) of about per_label labelled rows each, one a doc_id, in a fixed order; and how many rows have each label.
+
+    Labels other than 0 and 1 are no labels. A doc_id that has several takes
+    the greatest, and of several texts the least; texts over MOST_BYTES are left out.
+    """
+    known = labels.where(training & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    picked = bounded(known, "label", "doc_id", per_label).groupBy("doc_id").agg(F.max("label").alias("label"))  # at most 4 * per_label rows
+    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= MOST_BYTES).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return found.orderBy("doc_id").select("text", "label"), counts
