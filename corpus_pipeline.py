@@ -10,7 +10,8 @@ doc_id may be null or come more than once. The stages tell rows apart by a key
 of their own, so what happens to one row never depends on others with its
 doc_id. Of equal texts the longest stays, then the smallest doc_id; a null one
 counts as -1. Of rows alike in that, as repeated rows are, any single one stays.
-A null text has no language; null lang is no label; other columns are carried.
+A null text has no language; null lang is no label; other columns, whatever
+their names, are carried. An empty table leaves each stage empty.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tesserae.llm.langid import identify
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.queries import table, tokenizer_file
 from tesserae.llm.sampling import row_id
-from tesserae.llm.storage import few_files, write_table
+from tesserae.llm.storage import drop_tables, write_table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,8 +37,8 @@ KEY = "_row_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row. A table gives its rows the same keys whenever it is read."""
-    return docs.withColumn(KEY, F.monotonically_increasing_id())
+    """docs with a key of each row, written, so that every later read finds the same keys."""
+    return write_table(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 
 
 def _by_key(keyed: DataFrame) -> DataFrame:
@@ -49,11 +50,13 @@ def _one_each(keyed: DataFrame, groups: DataFrame, *first: Column) -> DataFrame:
     """One row of each group of keys (doc_id, grp): the least by `first`, then by doc_id."""
     rank = keyed.select(KEY, F.struct(*first, row_id(), F.col(KEY)).alias("rank"))
     kept = groups.join(rank, groups["doc_id"] == rank[KEY]).groupBy("grp").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{KEY}").alias(KEY))
-    return few_files(keyed.join(kept, KEY, "left_semi").select(*(c for c in keyed.columns if c != KEY)))
+    return keyed.join(kept, KEY, "left_semi").select(*(c for c in keyed.columns if c != KEY))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language."""
+    """Documents with a language; without any lang to learn from, those with letters."""
+    if docs.where("lang is not null and text is not null").limit(1).count() == 0:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return identify(docs, F.lit(True), carry=True).where("lang_pred <> 'und'").select("row.*")
 
 
@@ -74,12 +77,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a test item."""
     keyed = _keyed(docs)
     hits = decontaminate(_by_key(keyed), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(KEY))
-    return few_files(keyed.join(hits, KEY, "left_anti").select(*docs.columns))
+    return keyed.join(hits, KEY, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences."""
-    return few_files(best_fit_packing(docs, tokenizer_file()))
+    return best_fit_packing(docs, tokenizer_file())
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -95,8 +98,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents. What a stage wrote for itself goes once its result stands."""
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(written())
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, [path for path in written()[:-1] if path not in others])
     return STAGES[-1][1](spark, docs, sf_dir)

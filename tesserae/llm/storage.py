@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that a Python worker gets at once while a table is written: whole texts are long.
 BATCH_ROWS = 1024
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,27 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
-#: Files of a written table for each core of the session, at most: more would be small files.
-FILES_A_CORE = 6
-
-
-def few_files(df: DataFrame) -> DataFrame:
-    """df in at most FILES_A_CORE partitions a core, without a shuffle."""
-    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return the table as read back.
 
     The table outlives lost executors, and what is computed from it is not
-    computed again from the inputs.
+    computed again from the inputs. It has as many files as df has partitions,
+    which Spark sizes by bytes when it splits files and joins small shuffle
+    partitions. drop_tables() deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     rows = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
     try:
-        few_files(df).write.parquet(path)
+        df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> list[str]:
+    """Paths of the tables written so far and not dropped."""
+    return list(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing will read again, from whatever file system they are on."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
