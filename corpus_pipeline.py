@@ -4,7 +4,8 @@ Language identification drops texts without a language, exact dedup keeps one
 row of equal texts, the n-gram Jaccard join keeps the smallest doc_id of each
 group of near copies, benchmark decontamination drops documents that hold a
 window of a test item, and best-fit packing fills sequences with the rest.
-Each stage is written as Parquet before the next reads it.
+Each stage is written as Parquet before the next reads it: a stage drops the
+tables that the one before it wrote on the way.
 
 doc_id may be null or come more than once. The stages tell rows apart by a key
 of their own, so what happens to one row never depends on others with its
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
 from tesserae.llm.jaccard import jaccard_components
-from tesserae.llm.langid import identify
+from tesserae.llm.langid import language_of
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.queries import table, tokenizer_file
 from tesserae.llm.sampling import row_id
@@ -57,7 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; without any lang to learn from, those with letters."""
     if docs.where("lang is not null and text is not null").limit(1).count() == 0:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, F.lit(True), carry=True).where("lang_pred <> 'und'").select("row.*")
+    return docs.where(language_of(docs, F.lit(True))["lang_pred"] != "und")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,12 +86,30 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, tokenizer_file())
 
 
+_OWN: set[str] = set()
+
+
+def _stage(function: Stage) -> Stage:
+    """The stage; it first drops what earlier stages wrote for themselves, whose results stand as docs by now."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, [path for path in written() if path in _OWN])
+        _OWN.clear()
+        before = set(written())
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            _OWN.update(path for path in written() if path not in before)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language),
-    ("exact_dedup", exact),
-    ("jaccard_dedup", near),
-    ("decontamination", benchmark),
-    ("packing", packing),
+    ("language_id", _stage(language)),
+    ("exact_dedup", _stage(exact)),
+    ("jaccard_dedup", _stage(near)),
+    ("decontamination", _stage(benchmark)),
+    ("packing", _stage(packing)),
 ]
 
 #: Language identification and packing have no SQL form; tests hold the pipeline against brute force.
@@ -98,9 +117,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents. What a stage wrote for itself goes once its result stands."""
-    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(written())
+    """All stages on documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name)
-        drop_tables(spark, [path for path in written()[:-1] if path not in others])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .kernels import GRAM_BITS, grams, padded, row_sums, slices, word_spans
 from .sampling import MOST_BYTES, bounded, row_id
@@ -35,7 +34,7 @@ SMOOTHING = 0.5
 TEMPER = 0.5
 ROUNDS = 8
 PENALTY = 3.0
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
+SCHEMA = "lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
 def train(texts: pa.Array, labels: np.ndarray, n_labels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,36 +105,36 @@ def infer(like: np.ndarray, first: np.ndarray) -> np.ndarray:
     return best
 
 
-def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages and proportions (by proportion) for every row of docs.
+def language_of(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) -> Column:
+    """A column over docs: struct of lang_pred, score, languages and proportions (by proportion) of `text`.
 
     training: which rows may be learned from, where their lang is not null.
-    carry: add the whole row of docs as a struct `row`, so that filtering by the
-    prediction needs no join.
     """
-    text = F.coalesce("text", F.lit(""))
     known = docs.where(training & F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)).select("doc_id", "lang", "text")
     sample = bounded(known, "lang", "doc_id", per_language).select("lang", "text").toArrow()
     names = sorted(set(sample["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(names)}
     tables = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array([number[x] for x in sample["lang"].to_pylist()], np.int64), len(names)) if names else None
-    rows = docs.select(row_id(), (~training).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"), *([F.struct("*").alias("row")] if carry else []))
-    schema = StructType.fromDDL(SCHEMA)
-    if carry:
-        schema = schema.add("row", docs.schema)
-    return rows.mapInArrow(_predict(tables, names, carry), schema)
+    text = F.coalesce("text", F.lit(""))
+    return F.arrow_udf(_predict(tables, names), SCHEMA)(text, text.rlike(r"\p{L}"))
 
 
-def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str], carry: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    label = np.array([*names, "und"], object)
+def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, languages and proportions for every row of docs."""
+    return docs.select(row_id(), (~training).alias("held_out"), language_of(docs, training, per_language).alias("found")).select("doc_id", "held_out", "found.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters = batch["letters"].to_numpy(zero_copy_only=False)
-            best, score = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows)
-            chosen: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            shares: list[list[float]] = [[] for _ in range(batch.num_rows)]
-            for s in slices(batch["text"], max(1 << 16, (4 << 20) // max(4, len(names)))):
+
+def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str]) -> Callable[[Iterator[tuple[pa.Array, pa.Array]]], Iterator[pa.Array]]:
+    label = np.array([*names, "und"], object)
+    limit = max(1 << 15, (1 << 20) // max(4, len(names)))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, has_letters in batches:
+            letters, m = has_letters.to_numpy(zero_copy_only=False), len(texts)
+            best, score = np.full(m, len(names)), np.zeros(m)
+            chosen: list[list[int]] = [[] for _ in range(m)]
+            shares: list[list[float]] = [[] for _ in range(m)]
+            for s in slices(texts, limit):
                 text, begin = padded(s.data, s.offsets)
                 if tables is None:
                     continue
@@ -155,6 +154,6 @@ def _predict(tables: tuple[np.ndarray, np.ndarray] | None, names: list[str], car
                     chosen[r] = [k for k in o if p[k] > 0]
                     shares[r] = [p[k] for k in chosen[r]]
             languages = [[names[k] for k in ks] for ks in chosen]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(label[best], pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), *([batch["row"]] if carry else [])], ["doc_id", "held_out", "lang_pred", "score", "languages", "proportions", *(["row"] if carry else [])])
+            yield pa.StructArray.from_arrays([pa.array(label[best], pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["lang_pred", "score", "languages", "proportions"])
 
     return run
