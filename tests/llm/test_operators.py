@@ -353,6 +353,85 @@ def test_lm_scores(docs, none, rows):
     assert {r.score for r in score_texts(docs, F.lit(False)).collect()} == {0.0}
 
 
+def brute_scores(tokens, trained, rare):
+    """Scores of a suffix tree with every count at hand: words, pairs and triples of tokens, None the end and 0 the start."""
+    from tesserae.llm import suffix_tree as T
+
+    grams = [collections.Counter() for _ in range(3)]
+    for i in trained:
+        line = [0, *tokens[i]]
+        for k in range(1, len(line)):
+            for d in range(3):
+                if k >= d:
+                    grams[d][tuple(line[k - d : k + 1])] += 1
+    total, once = sum(grams[0].values()), sum(n == 1 for n in grams[0].values())
+    unknown = min(0.5, max(once, 1) / (total + 1))
+    known = {g[0] for g, n in grams[0].items() if n > 1} | {0}
+    frequent = max(T.LEAST, rare * total)
+
+    def states(d, take, parent):
+        """Each state's seen next words with their probabilities, and the weight of passing on."""
+        by, seen = collections.defaultdict(dict), {}
+        for g, n in grams[d].items():
+            if all(x in known for x in g[:-1]) and take(g[:-1]):
+                by[g[:-1]][g[-1]] = n
+        for context, after in by.items():
+            n_all, able = sum(after.values()), {w: n for w, n in after.items() if w in known and (context_counts[d](context) < frequent or n >= frequent)}
+            p = {w: parent(context, w) for w in able}
+            rest, left = n_all - sum(able.values()), max(1 - sum(p.values()), 1e-9)
+            gain = sum(n * math.log2(n / n_all / p[w]) for w, n in able.items()) + (rest * math.log2(rest / n_all / left) if rest else 0)
+            if n_all > 1 and able and gain >= T.DIVERGENCE or n_all > 1 and not able and gain >= T.DIVERGENCE:
+                q = {w: (n + T.PRIOR * p[w]) / (n_all + T.PRIOR) for w, n in able.items()}
+                seen[context] = (q, max(1 - sum(q.values()), 1e-12) / left)
+        return seen
+
+    pairs = grams[1]
+    context_counts = [None, lambda c: grams[0][(None,)] if c == (0,) else grams[0][c], lambda c: pairs[c]]
+    root = lambda w: (1 - unknown) * grams[0][(w,)] / total if grams[0][(w,)] else unknown
+
+    def prob(held, context, w):
+        if not held:
+            return root(w)
+        state = held[0].get(context)
+        if state and w in state[0]:
+            return state[0][w]
+        return (state[1] if state else 1) * prob(held[1:], context[1:], w)
+
+    one = states(1, lambda c: context_counts[1](c) >= frequent and any(n >= frequent for g, n in pairs.items() if g[0] == c[0]), lambda c, w: root(w))
+    two = states(2, lambda c: pairs[c] > 1 and (pairs[c] < frequent or any(n >= frequent for g, n in grams[2].items() if g[:2] == c)), lambda c, w: prob([one], c[1:], w))
+    out = {}
+    for i, line in tokens.items():
+        line, logs = [0, *line], 0.0
+        for k in range(1, len(line)):
+            ahead = tuple(line[max(0, k - 2) : k])
+            use = [two, one] if len(ahead) == 2 and all(x in known for x in ahead) else [one] if ahead[-1] in known else []
+            logs += math.log10(prob(use, ahead[-len(use) :] if use else (), line[k]))
+        out[i] = logs
+    return out
+
+
+@pytest.mark.parametrize("rare,small", [(1e-6, False), (0.02, False), (0.02, True)])
+def test_lm_scores_against_brute_force(spark, monkeypatch, rare, small):
+    """With most contexts frequent, with most in buckets, and with many small slices and a full filter."""
+    from tesserae.llm import suffix_tree as T
+
+    monkeypatch.setattr(T, "RARE", rare)
+    if small:
+        monkeypatch.setattr(T, "SLICE_ROWS", 3)
+        monkeypatch.setattr(T, "MOST_FILTER_BITS", 16)
+    rng = random.Random(9)
+    some = ["".join(x) for x in itertools.product("abcd", repeat=3)]
+    passage = rng.choices(some, k=30)
+    texts = [" ".join([*rng.choices(some, weights=range(1, 65), k=rng.randrange(1, 40)), *(passage if i % 5 == 0 else []), f"once{i}"]) for i in range(80)] + ["a", "", None, " ".join(passage) + " new words"]
+    docs = spark.createDataFrame([(i if i else None, t, i % 7 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    got = {r.doc_id: r.score for r in score_texts(docs, F.col("learn")).collect()}
+    tokens = {i if i else -1: [*(t or "").split(), None] for i, t in enumerate(texts)}
+    want = brute_scores(tokens, [i for i in tokens if (i if i > 0 else 0) % 7 != 0], rare)
+    assert got.keys() == want.keys()
+    for i, score in want.items():
+        assert math.isclose(got[i], score, rel_tol=1e-3, abs_tol=2e-3 * len(tokens[i])), (i, got[i], score)
+
+
 def test_next_word_probabilities_sum_to_one(spark):
     from tesserae.llm.suffix_tree import START_HASH, U, build_tree
 
