@@ -17,8 +17,11 @@ least 4/5 share at least o(x) = ceil(4/5 |x|) tokens.
    |x| - o(x) + 1. Rare tokens are class 1 and are indexed singly, frequent ones
    are class 2 or 3 and are indexed by all their combinations of 2 or 3, which
    few documents share.
-5. Documents that share a signature, whose sizes and tokens from there on allow a
-   link, are verified on their shared tokens, and all links form the components.
+5. Documents that share a signature are gone through by size, so that only sizes
+   and numbers of tokens from there on that allow a link ever meet; a sketch of
+   their tokens (parities of 128 classes) must allow it too. What is left is
+   verified on the shared tokens, and all links form the components. A signature
+   with more than `GROUP_ROWS` documents is dealt to many tasks in blocks.
 
 Why a common signature is sure: take the document whose prefix ends first in
 the global order, x. All tokens of its prefix that y has are in y's prefix. If
@@ -27,8 +30,11 @@ lack |x| - o(x) + 1 of x's tokens, too many to be linked. (Sets of up to 3 token
 link only with equal sets.)
 
 Null and wordless texts have no shingles and are their own components. A text
-of 1 to 4 words has one shingle, all of it. Rows with one doc_id count as one
-document. Tokens are compared by 64 bits of hash.
+of 1 to 4 words has one shingle, all of it. Links are between sets, whatever the
+doc_ids of their rows: null ones count as -1 and repeated ones may have several
+texts. Rows come once each. Tokens are compared by the 48 bits of hash, and the
+bucket's beside them, that `shared` gives back. Columns other than doc_id and text
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,17 +159,99 @@ def signatures(token: np.ndarray, df: np.ndarray, n: int, percent: int = PERCENT
     return np.concatenate(made), np.concatenate(most)
 
 
+def sketch(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of tokens, the parity of how many are in each of 128 classes."""
+    word = mix(token.astype(np.int64).view(np.uint64) ^ ORDER_CODE[55])
+    bit = U(1) << (word & U(63))
+    low = word & U(64) > 0
+    out = []
+    for mask in (low, ~low):
+        sums = np.zeros(len(token) + 1, np.uint64)
+        np.bitwise_xor.accumulate(np.where(mask, bit, U(0)), out=sums[1:])
+        out.append((sums[first[1:]] ^ sums[first[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def _index(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                who, n, comp, pairs = (batch[c][i].as_py() for c in ("id", "n", "comp", "ranked"))
-                sig, most = signatures(np.array([p["t"] for p in pairs], np.int64), np.array([p["df"] for p in pairs], np.int64), n, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.array(np.full(len(sig), v, np.int64)) for v in (who, n, comp)), pa.array(most)], ["sig", "id", "n", "comp", "most"])
+            lists = batch["ranked"]
+            first = lists.offsets.to_numpy()
+            token, df = (pc.struct_field(lists.values, k).to_numpy() for k in ("t", "df"))
+            who, n, comp = (batch[c].to_numpy() for c in ("id", "n", "comp"))
+            s0, s1 = sketch(token[first[0] : first[-1]], first - first[0])
+            made = [signatures(token[i:j], df[i:j], m, percent) for i, j, m in zip(first, first[1:], n.tolist())]
+            size = [len(sig) for sig, _ in made]
+            if not sum(size):
+                continue
+            columns = [np.concatenate([sig for sig, _ in made]), np.repeat(who, size), np.repeat(n, size), np.repeat(comp, size), np.concatenate([most for _, most in made])]
+            columns += [np.repeat(x, size) for x in (np.diff(first).astype(np.int64), s0, s1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "id", "n", "comp", "most", "k", "s0", "s1"])
 
     return run
 
 
+INDEX_SCHEMA = "sig long, id long, n long, comp long, most long, k long, s0 long, s1 long"
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of some thousand rows that end with a group's last row."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy() for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if not cut and kept and any(kept[-1][k][kept[-1].num_rows - 1].as_py() != batch[k][0].as_py() for k in keys):
+            yield pa.Table.from_batches(kept)
+            kept = []
+        if cut:
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)])
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _meet(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates among rows that come sorted by group (sig, i, j) and then by n: each with those after it as long as sizes allow."""
+    whole = 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["sig", "i", "j"]):
+            sig, i, j, side, who, n, comp, most, k = (table[c].to_numpy() for c in ("sig", "i", "j", "side", "id", "n", "comp", "most", "k"))
+            s0, s1 = (table[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))
+            x, step, a, b = np.arange(len(n)), 0, [], []
+            while len(x):
+                step += 1
+                x = x[x + step < len(n)]
+                y = x + step
+                on = (sig[x] == sig[y]) & (i[x] == i[y]) & (j[x] == j[y]) & (n[y] * percent <= n[x] * 100) & ((n[x] + n[y]) * percent <= most[x] * whole)
+                x, y = x[on], y[on]
+                need = -(-(n[x] + n[y]) * percent // whole)
+                able = (comp[x] != comp[y]) & ((side[x] != side[y]) | (i[x] == j[x])) & (np.minimum(most[x], most[y]) >= need)
+                p, q, need = x[able], y[able], need[able]
+                near = np.bitwise_count(s0[p] ^ s0[q]).astype(np.int64) + np.bitwise_count(s1[p] ^ s1[q]) <= k[p] + k[q] - 2 * need
+                a.append(np.minimum(who[p], who[q])[near])
+                b.append(np.maximum(who[p], who[q])[near])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+    return run
+
+
+def candidates(index: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: documents of different components that share a signature, where sizes, places and sketches allow a link; each once."""
+    sized = index.groupBy("sig").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    crossing = sized.where("rows > 1 and lo < hi").select("sig", "least", F.ceil(F.col("rows") / GROUP_ROWS).cast("int").alias("blocks"))
+    rows = index.join(crossing, "sig").where(F.col("most") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*index.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "id").mapInArrow(_meet(percent), "a long, b long").distinct()
+
+
 def cross_links(reps: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: every link between representatives of different components."""
     held = reps.join(comp, "id", "left").select("id", "n", "tokens", F.coalesce("component", "id").alias("comp"))
@@ -170,12 +259,8 @@ def cross_links(reps: DataFrame, comp: DataFrame, percent: int = PERCENT) -> Dat
     crossing = each.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "df")
     ranked = each.join(crossing, "t").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ranked"))
     able = ranked.where((F.col("n") > 3) & (F.size("ranked") * 100 >= F.col("n") * percent))
-    index = write_table(able.mapInArrow(_index(percent), "sig long, id long, n long, comp long, most long"), "signatures")
-    x, y = index.alias("x"), index.alias("y")
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    near = near & (F.least("x.most", "y.most") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    index = write_table(able.mapInArrow(_index(percent), INDEX_SCHEMA), "signatures")
+    pairs = write_table(candidates(index, percent), "candidates")
     a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
@@ -187,13 +272,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     def able(n: np.ndarray, shared: np.ndarray) -> np.ndarray:
         return (n > 0) & (shared >= needed(n, percent))
 
-    sets = write_table(shared_tokens(docs, shingle_sets(width), able, bucket_bits(docs)), "sets")
-    alike = write_table(sets.where("tokens is not null").groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("id")), "alike")
-    reps = sets.where("tokens is not null").join(alike, ["n", "d0", "d1"]).where("doc_id = id").select("id", "n", "tokens").dropDuplicates(["id", "n"])
-    reps = write_table(reps, "representatives")
+    sets = write_table(shared_tokens(docs, shingle_sets(width), able, bucket_bits(docs)).withColumn("row", F.monotonically_increasing_id()), "sets")
+    linkable = sets.where("tokens is not null")
+    alike = linkable.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("least"), F.min("row").alias("id"))
+    alike = write_table(alike, "alike")
+    reps = write_table(linkable.join(alike.select("id"), linkable["row"] == alike["id"]).select("id", "n", "tokens"), "representatives")
     early = write_table(early_links(reps, percent), "early-links")
     late = cross_links(reps, components(early), percent)
     comp = components(early.unionByName(late))
-    named = alike.join(comp, "id", "left").select("n", "d0", "d1", F.coalesce("component", "id").alias("component_id"))
+    named = alike.join(comp, "id", "left").select("n", "d0", "d1", "least", F.coalesce("component", "id").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(first, "component").select("n", "d0", "d1", "component_id")
     out = sets.select("doc_id", "n", "d0", "d1").join(named, ["n", "d0", "d1"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

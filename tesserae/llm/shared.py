@@ -3,7 +3,8 @@
 Most tokens (shingles, substrings) of a corpus occur once and can link nothing.
 This finds the others without a row a token. Each slice of documents sorts its
 token hashes and sends, for each hash bucket, one packed row of 64-bit entries:
-48 hash bits beside the bucket's, and the document's place in the slice. A token
+up to 48 hash bits beside the bucket's, and the document's place in the slice. The
+more buckets, the more text a slice has, so a row holds many tokens. A token
 that a slice holds twice is known to be shared there and then: the slice keeps
 its entries and sends one marker, so a token that a third of all documents have
 costs its bucket one entry a slice. A bucket sends back which of a slice's
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .kernels import Slice, U, slices
 from .sampling import row_id
 
-SLICE_BYTES = 2 << 20
+#: Text that is read at once; and for each bucket, at most this many in all, what a slice has. Rows of a slice.
+READ_BYTES = 2 << 20
+SENT_BYTES, MOST_SENT = 1 << 16, 24 << 20
 SLICE_ROWS = 60_000
 BUCKET_BYTES = 8 << 20
 MARKER = 0xFFFF
@@ -37,9 +40,9 @@ Extract = Callable[[Slice], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of buckets: about one for each 8 MB of text, 16 to a million."""
+    """log2 of the number of buckets: about one for each 8 MB of text, 16 at least."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(20, max(4, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))
+    return max(4, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
 
 
 def token_id(bucket: np.ndarray | int, entries: np.ndarray, bits: int) -> np.ndarray:
@@ -59,31 +62,47 @@ def _pack(row: np.ndarray, token: np.ndarray, bits: int) -> tuple[list[tuple[int
     leads[1:] &= ~same
     entries = ((token << U(bits)) & ~U(MARKER)) | np.where(leads, U(MARKER), row)
     sent = ~again | leads
-    edges = (np.arange(1, 1 << bits, dtype=np.uint64)) << U(64 - bits)
 
     def split(mask: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
-        cut = [0, *np.searchsorted(token[mask], edges), int(mask.sum())]
-        values = values[mask]
-        return [(b, values[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+        bucket, values = (token[mask] >> U(64 - bits)).astype(np.int64), values[mask]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        return [(b, values[i:j].tobytes()) for b, i, j in zip(bucket[first].tolist(), first, np.append(first[1:], len(bucket)))]
 
     return split(sent, entries), split(again, ((token << U(bits)) & ~U(MARKER)) | row)
 
 
 def _deal(extract: Extract, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    most = min(MOST_SENT, max(READ_BYTES, SENT_BYTES << bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, rows, size = TaskContext.get().partitionId(), 0, 0, 0
+        heads, row_of, token_of = [], [], []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            nonlocal made, rows, size
+            name = (part << 24) | made
+            made, rows, size = made + 1, 0, 0
+            sent, local = _pack(np.concatenate(row_of), np.concatenate(token_of), bits)
+            out = [(-name - 1, -1, np.concatenate(heads, axis=1).tobytes()), *((-name - 1, b, p) for b, p in local), *((b, b, p) for b, p in sent)]
+            for x in (heads, row_of, token_of):
+                x.clear()
+            for i in range(0, len(out), 4096):
+                grp, bucket, payload = zip(*out[i : i + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array([name] * len(grp), pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], ["grp", "slice", "bucket", "payload"])
+
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for i in range(0, batch.num_rows, SLICE_ROWS):
-                for s in slices(batch["text"].slice(i, SLICE_ROWS), SLICE_BYTES):
-                    name = (part << 24) | made
-                    made += 1
+                for s in slices(batch["text"].slice(i, SLICE_ROWS), READ_BYTES):
+                    if rows and (rows + s.last - s.first > SLICE_ROWS or size > most):
+                        yield from give()
                     row, token, n, d0, d1 = extract(s)
-                    sent, local = _pack(row, token, bits)
-                    head = b"".join(np.ascontiguousarray(x).astype(np.int64).tobytes() for x in (ids[i + s.first : i + s.last], n, d0.view(np.int64), d1.view(np.int64)))
-                    rows = [(-name - 1, -1, head), *((-name - 1, b, p) for b, p in local), *((b, b, p) for b, p in sent)]
-                    grp, bucket, payload = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], ["grp", "slice", "bucket", "payload"])
+                    heads.append(np.stack([np.ascontiguousarray(x).astype(np.int64) for x in (ids[i + s.first : i + s.last], n, d0.view(np.int64), d1.view(np.int64))]))
+                    row_of.append(row + rows)
+                    token_of.append(token)
+                    rows, size = rows + s.last - s.first, size + len(s.data)
+        if rows:
+            yield from give()
 
     return run
 

@@ -153,6 +153,35 @@ def test_jaccard(docs, none, rows, monkeypatch, single, pair):
         assert J.jaccard_components(none).count() == 0
 
 
+def test_jaccard_in_blocks_and_without_pivots(docs, rows, monkeypatch):
+    """Every signature over two documents is dealt in blocks, and no link is found early."""
+    monkeypatch.setattr(J, "GROUP_ROWS", 2)
+    monkeypatch.setattr(J, "PIVOTS", 0)
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.jaccard_components(docs)).items()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_of_null_and_repeated_ids(spark):
+    """Different texts of one id, and of rows without, keep their own links."""
+    rng = random.Random(11)
+    a, b, c = (" ".join(f"{k}{rng.random()}" for _ in range(40)) for k in "abc")
+    near = [t + " more" for t in (a, b, c)]
+    data = [(None, a), (None, b), (5, near[0]), (6, near[1]), (7, c), (7, "x y z"), (8, near[2]), (9, "x y z"), (None, None), (4, "")]
+    got = J.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(-1, -1), (-1, -1), (-1, -1), (4, 4), (5, -1), (6, -1), (7, 7), (7, 7), (8, 7), (9, 7)]
+
+
+def test_jaccard_sketch():
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(500, k, replace=False) for k in (0, 1, 40, 300)]
+    first = np.cumsum([0, *map(len, sets)])
+    s0, s1 = J.sketch(np.concatenate(sets).astype(np.int64), first)
+    for x in range(4):
+        for y in range(4):
+            apart = sum(int(np.bitwise_count(np.uint64(s[x] ^ s[y] & -1) if s[x] ^ s[y] >= 0 else np.int64(s[x] ^ s[y]).view(np.uint64))) for s in (s0, s1))
+            assert apart <= len(set(sets[x]) ^ set(sets[y])) and (x != y or apart == 0)
+
+
 def test_jaccard_chain_of_near_copies(spark):
     """Neighbours link, ends don't: one component through the links alone."""
     base = [f"w{i}" for i in range(200)]
