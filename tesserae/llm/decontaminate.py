@@ -1,15 +1,19 @@
 """Benchmark decontamination with DataFrame operations only.
 
 The windows of the test items (10 consecutive words; a shorter item is one
-window as a whole) form a hash set that goes to every task. Each document's
-word windows are hashed and looked up in it while the table is scanned once;
-only documents with a hash in the set go on, and their windows are compared as
-words with the items'. A word inside any occurrence of a window is hit.
-
-The set has a checked size (`MAX_SET`); a larger benchmark is joined by window
-hash instead, with the same result. Null texts and texts without words have no
-windows and are clean. Repeated rows are separate documents. Columns other than
-doc_id and text, or item_id and text, are not read.
+window as a whole) form a hash set that goes to every task as a bitmap, twice:
+of each window's first and last word, which is a cheap test, and of all its
+words. Each document's windows are looked up while the table is scanned once;
+only windows whose bits are set go on and are compared as words with the items'.
+A word inside any occurrence of a window is hit.
+
+The bitmaps have `BITS` bits for each window, at most `MOST_BITS` in all, so their
+size is bounded whatever the benchmark: past that they only let more windows
+through to the comparison. Null texts and texts without words have no windows and
+are clean; so is every document where the benchmark is empty. Repeated rows, and
+rows without or with the same doc_id (-1 for null), are separate documents; a
+null item_id is not among the items. Columns other than doc_id and text, or
+item_id and text, are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from .sampling import row_id
 from .storage import write_table
 
 WINDOW = 10
-#: Window hashes that travel with the plan; a larger set is joined.
-MAX_SET = 50_000
+#: Bits of a bitmap for each window, and at most in all (8 MiB).
+BITS, MOST_BITS = 16, 1 << 26
 #: A word is a run of none of these, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z became a-z, and what stands between words.
@@ -37,70 +41,63 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
 
 
-def folded(text: Column) -> Column:
-    """As many words at the same places, all letters in lower case: cheaper, and equal wherever words() is equal."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def hashed(words: Column) -> Column:
+    """A hash of each word; equal words in words() have equal ones, as letter case is settled word by word."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, win (its words), hash (of its folded words), each once."""
-    text = F.coalesce("text", F.lit(""))
-    items = benchmark.select("item_id", words(text).alias("ws"), folded(text).alias("fs"))
+    """item_id, size, win (its words), ends and key (hashes of its first and last word, and of all), each once."""
+    items = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("ws")).withColumn("hs", hashed(F.col("ws")))
     size = F.least(F.size("ws"), F.lit(window))
     at = F.when(F.size("ws") > 0, F.sequence(F.lit(1), F.size("ws") - size + 1)).otherwise(F.expr("array()").cast("array<int>"))
-    each = items.select("item_id", "ws", "fs", size.alias("size"), F.explode(at).alias("at"))
+    each = items.select("item_id", "ws", "hs", size.alias("size"), F.explode(at).alias("at"))
     win = F.concat_ws(" ", F.slice("ws", F.col("at"), F.col("size")))
-    key = F.xxhash64(F.transform(F.slice("fs", F.col("at"), F.col("size")), lambda w: F.xxhash64(w)))
-    return each.select("item_id", "size", win.alias("win"), key.alias("hash")).distinct()
+    ends = _ends(F.col("hs"), F.col("at") - 1, F.col("size"))
+    return each.select("item_id", "size", win.alias("win"), ends.alias("ends"), _whole(F.col("hs"), F.col("at"), F.col("size")).alias("key")).distinct()
+
+
+def _ends(hs: Column, i: Column, size: Column) -> Column:
+    """Of the first and last word of the window of `size` words at i, counted from 0."""
+    return F.get(hs, i).bitwiseXOR(F.shiftright(F.get(hs, i + size - 1), 1))
 
 
-def _starts(hashes: str, size: int) -> Column:
-    """1-based starts of all windows of `size` words."""
-    n = F.size(hashes)
-    return F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.expr("array()").cast("array<int>"))
+def _whole(hs: Column, at: Column, size: Column) -> Column:
+    """Of the window at `at`, counted from 1."""
+    return F.xxhash64(F.slice(hs, at, size))
 
 
-def _key(hashes: str, at: Column, size: int) -> Column:
-    return F.xxhash64(F.slice(F.col(hashes), at, F.lit(size)))
+def _bitmap(keys: DataFrame, key: str, words_of: int) -> Column:
+    """array<long> with a bit set for each key: a scalar that the scan gets whole."""
+    set_bits = keys.select(_word(F.col(key), words_of).alias("id"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    dense = keys.sparkSession.range(words_of).join(set_bits, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return dense.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("all")).select(F.transform("all", lambda x: x["bits"])).scalar()
 
 
-def _hits(hashes: str, size: int, keys: list[int]) -> Column:
-    """size and start of each window whose hash is among keys; the set is built once a task."""
-    hit = F.filter(_starts(hashes, size), lambda i: _key(hashes, i, size).isin(keys))
-    return F.transform(hit, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at")))
+def _word(key: Column, words_of: int) -> Column:
+    return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words_of - 1).cast("long"))
 
 
-def _hashed(hashes: str, size: int) -> Column:
-    return F.transform(_starts(hashes, size), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), _key(hashes, i, size).alias("hash")))
+def _set(bitmap: Column, key: Column, words_of: int) -> Column:
+    return F.getbit(F.get(bitmap, _word(key, words_of).cast("int")), key.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """rid, doc_id, n_words, and found: size, start and words of each window whose hash an item's window has."""
-    sets: dict[int, list[int]] = {}
-    small = windows.select("size", "hash").distinct()
-    if small.count() <= MAX_SET:
-        for size, key in small.collect():
-            sets.setdefault(size, []).append(key)
-    else:
-        sets = {r[0]: [] for r in windows.select("size").distinct().collect()}
+    """rid, doc_id, n_words, and found: size, start and words of each window whose bits are set."""
+    sizes = {r[0]: r[1] for r in windows.groupBy("size").agg(F.count("*")).collect()}  # one for each size up to the window's
+    words_of = 1 << max(0, min(MOST_BITS // 64, -(-BITS * max(1, sum(sizes.values())) // 64)).bit_length() - 1)
     text = F.coalesce("text", F.lit(""))
-    marked = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), text.alias("text"))
-    marked = marked.withColumn("hs", F.transform(folded(F.col("text")), lambda w: F.xxhash64(w)))
-    found = F.expr("array()").cast("array<struct<size:int,at:int>>")
-    joined = [s for s, keys in sets.items() if not keys]
-    for size, keys in sorted(sets.items()):
-        if keys:
-            found = F.concat(found, _hits("hs", size, keys))
-    marked = marked.select("rid", "doc_id", "text", F.size("hs").alias("n_words"), found.alias("found"), *(["hs"] if joined else []))
-    if joined:
-        marked = write_table(marked, "hashed")
-        each = F.flatten(F.array(*(_hashed("hs", s) for s in joined)))
-        hit = marked.select("rid", F.explode(each).alias("w")).select("rid", "w.*").join(small, ["size", "hash"], "left_semi")
-        hit = hit.groupBy("rid").agg(F.collect_list(F.struct("size", "at")).alias("hit"))
-        marked = marked.join(hit, "rid", "left").withColumn("found", F.coalesce("hit", "found"))
-    marked = marked.withColumn("ws", F.when(F.size("found") > 0, words(F.col("text"))))
-    win = F.transform("found", lambda f: F.struct(f["size"].alias("size"), f["at"].alias("at"), F.concat_ws(" ", F.slice(F.col("ws"), f["at"], f["size"])).alias("win")))
-    return marked.select("rid", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.when(F.size("ws") > 0, win).alias("found"))
+    marked = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0)).alias("ws"))
+    marked = marked.withColumn("hs", hashed(F.col("ws"))).withColumns({"by_ends": _bitmap(windows, "ends", words_of), "by_key": _bitmap(windows, "key", words_of)})
+    found = F.expr("array()").cast("array<struct<size:int,at:int,win:string>>")
+    for n in sorted(sizes):
+        size = F.lit(n)
+        ends = F.transform("hs", lambda h, i: F.when((i <= F.size("hs") - size) & _set(F.col("by_ends"), _ends(F.col("hs"), i, size), words_of), i + 1))  # noqa: B023
+        hit = F.filter(F.array_compact(ends), lambda at: _set(F.col("by_key"), _whole(F.col("hs"), at, size), words_of))  # noqa: B023
+        win = lambda at: F.translate(F.concat_ws(" ", F.slice("ws", at, size)), string.ascii_uppercase, string.ascii_lowercase)  # noqa: B023, E731
+        found = F.concat(found, F.transform(hit, lambda at: F.struct(size.alias("size"), at.alias("at"), win(at).alias("win"))))  # noqa: B023
+    marked = marked.select("rid", "doc_id", F.size("ws").cast("long").alias("n_words"), found.alias("found"))
+    return marked.withColumn("found", F.when(F.size("found") > 0, F.col("found")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -120,17 +117,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """docs with a key of each row, written, and the hit words of contaminated rows by that key."""
+    keyed = write_table(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    hits = decontaminate(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, window)
+    return keyed, hits.where("contaminated").select(F.col("doc_id").alias("_row_key"), F.col("hit").alias("_hit"))
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that have no hit, columns as they are. doc_id must be unique."""
-    hits = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_hit_id"))
-    return docs.join(hits, docs["doc_id"] == hits["_hit_id"], "left_anti")
+    """The rows of docs that have no hit, columns as they are, whatever their doc_id."""
+    keyed, hits = _marked(docs, benchmark, window)
+    return keyed.join(hits, "_row_key", "left_anti").drop("_row_key")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without hit words and what follows each up to the next word. doc_id must be unique."""
-    hits = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_hit_id"), F.col("hit").alias("_hit"))
-    both = docs.join(hits, docs["doc_id"] == hits["_hit_id"], "left")
+    """The rows of docs without hit words and what follows each up to the next word, whatever their doc_id."""
+    keyed, hits = _marked(docs, benchmark, window)
+    both = keyed.join(hits, "_row_key", "left")
     parts = F.regexp_extract_all("text", F.lit(RAW_WORD + RAW_GAP), F.lit(0))
     kept = F.array_join(F.filter(parts, lambda w, i: ~F.array_contains(F.col("_hit"), i)), "")
     text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", "^" + RAW_GAP, 0), kept))
-    return both.withColumn("text", text).drop("_hit_id", "_hit")
+    return both.withColumn("text", text).drop("_row_key", "_hit")

@@ -263,20 +263,33 @@ def brute_hits(rows, items):
     return out
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
+@pytest.mark.parametrize("most", [1 << 26, 64])
 def test_decontaminate(docs, none, rows, benchmark, monkeypatch, most):
-    """With the hash set in the plan, and joined."""
-    monkeypatch.setattr(D, "MAX_SET", most)
+    """With bitmaps that tell windows apart, and with full ones."""
+    monkeypatch.setattr(D, "MOST_BITS", most)
     got = {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in by_id(D.decontaminate(docs, benchmark)).items()}
     assert got == brute_hits(rows, [tuple(r) for r in benchmark.collect()])
     assert D.decontaminate(none, benchmark).count() == 0
     assert D.decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_with_a_large_benchmark(spark):
+    """Some 200,000 windows, and letters whose lower case depends on their neighbours."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    items = [(i, " ".join(rng.choices(words, k=200))) for i in range(1050)] + [(2000, "ΟΔΟΣ Α ΟΔΟΣ Β ΟΔΟΣ Γ ΟΔΟΣ Δ ΟΔΟΣ Ε")]
+    texts = [(i, " ".join(rng.choices(words, k=300))) for i in range(40)] + [(100 + i, "x " + items[i * 7][1][50:400]) for i in range(40)] + [(500, "ΟΔΟΣ.Α'ΟΔΟΣ-Β ΟΔΟΣ.Γ ΟΔΟΣ Δ,ΟΔΟΣ Ε")]
+    got = by_id(D.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {i for i, r in got.items() if r.contaminated} == {i for i, _ in texts if i >= 100} and all(r.n_items == 1 for i, r in got.items() if i >= 100)
+
+
 def test_decontaminate_removes(spark, benchmark):
     docs = spark.createDataFrame([(1, "One, a B c d! two"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert [r.doc_id for r in D.remove_documents(docs, benchmark).orderBy("doc_id").collect()] == [2, 3]
     assert {r.doc_id: r.text for r in D.remove_spans(docs, benchmark).collect()} == {1: "One, two", 2: "clean", 3: None}
+    same = spark.createDataFrame([(None, "a b c d", 1), (None, "clean", 2), (4, "a b c d", 3), (4, "clean too", 4)], "doc_id long, text string, hit int")
+    assert sorted(r.hit for r in D.remove_documents(same, benchmark).collect()) == [2, 4]
+    assert {r.hit: r.text for r in D.remove_spans(same, benchmark).collect()} == {1: "", 2: "clean", 3: "", 4: "clean too"}
 
 
 def brute_repeats(rows):
