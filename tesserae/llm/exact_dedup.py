@@ -5,7 +5,8 @@ becomes one index row: a minimal perfect hash (levelled bit arrays with ranks)
 whose slots hold the whole 32-byte digest, the winner's doc_id and the group's
 size. A document is routed to its digest's bucket, hashed to a slot, and counts
 as a repeat only if all 32 digest bytes in the slot agree. Documents that are
-not in the history are grouped among themselves.
+not in the history are grouped among themselves. A table that is its own history
+has in the index the digests that several of its rows share.
 
 Texts are equal when they agree after `[\\x20\\x09-\\x0D]` is deleted; null
 counts as empty. Of equal texts the row with most code points in its original
@@ -136,7 +137,7 @@ def lookup(marked: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
     rows = marked.select(bucket, "doc_id", "digest", "n_chars")
     hot = rows.groupBy("bucket").count().where(F.col("count") > HOT_ROWS).select("bucket", F.ceil(F.col("count") / BUCKET_KEYS).cast("int").alias("copies"))
     copies = F.coalesce("copies", F.lit(1))
-    left = rows.join(hot, "bucket", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id"), copies).cast("int")).drop("copies")
+    left = rows.join(hot, "bucket", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), copies).cast("int")).drop("copies")
     right = index.join(hot, "bucket", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
     return left.groupBy("bucket", "copy").cogroup(right.groupBy("bucket", "copy")).applyInArrow(_lookup, FOUND_SCHEMA)
 
@@ -144,21 +145,17 @@ def lookup(marked: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
-    history: documents seen before, with doc_id and text. Without one, docs is
-    its own history: the winners of its distinct digests are what the slots
-    locate. With one, rows that the history holds are repeats (kept false,
-    keep_id and group_size from the history); the others group among
-    themselves.
+    history: documents seen before, with doc_id and text; rows that it holds are
+    repeats (kept false, keep_id and group_size from it). Without one, docs is
+    its own history, and of the rows that share a digest the winner is kept.
     """
     marked = write_table(digests(docs), "digests")
     past = marked if history is None else write_table(digests(history), "history")
     n_buckets = max(1, -(-past.count() // BUCKET_KEYS))
-    found = lookup(marked, build_index(winners(past), n_buckets), n_buckets)
-    if history is not None:
-        found = write_table(found, "found")
-        fresh = found.where(~F.col("member")).select("doc_id", "digest", "n_chars")
-        own = fresh.join(winners(fresh), "digest").select("doc_id", "digest", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
-        found = found.where("member").select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept")).unionByName(own)
-    else:
-        found = found.withColumn("kept", F.col("doc_id") == F.col("keep_id"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    best = winners(past) if history is not None else winners(past).where("group_size > 1")
+    found = write_table(lookup(marked, build_index(best, n_buckets), n_buckets), "found")
+    stays = F.lit(False) if history is not None else F.col("doc_id") == F.col("keep_id")
+    repeats = found.where("member").select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"))
+    fresh = found.where(~F.col("member")).select("doc_id", "digest", "n_chars")
+    own = fresh.join(winners(fresh), "digest").select("doc_id", "digest", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
+    return repeats.unionByName(own).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import ASCII_LOWER, ORDER_CODE, U, Slice, mix, prefix_sums, range_hash, row_sums, shingles, words
-from .shared import bucket_bits, shared_tokens
+from .shared import bucket_bits, shared_tokens, text_bytes
 from .storage import write_table
 
 WIDTH = 5
@@ -272,7 +272,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     def able(n: np.ndarray, shared: np.ndarray) -> np.ndarray:
         return (n > 0) & (shared >= needed(n, percent))
 
-    sets = write_table(shared_tokens(docs, shingle_sets(width), able, bucket_bits(docs)).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = write_table(shared_tokens(docs, shingle_sets(width), able, bucket_bits(text_bytes(docs))).withColumn("row", F.monotonically_increasing_id()), "sets")
     linkable = sets.where("tokens is not null")
     alike = linkable.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("least"), F.min("row").alias("id"))
     alike = write_table(alike, "alike")

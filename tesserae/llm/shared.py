@@ -39,10 +39,14 @@ SHARED_SCHEMA = "doc_id long, n long, d0 long, d1 long, tokens array<long>"
 Extract = Callable[[Slice], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of buckets: about one for each 8 MB of text, 16 at least."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def bucket_bits(size: int) -> int:
+    """log2 of the number of buckets for so many bytes of text: about one for each 8 MB, 16 at least."""
+    return max(4, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
 
 
 def token_id(bucket: np.ndarray | int, entries: np.ndarray, bits: int) -> np.ndarray:

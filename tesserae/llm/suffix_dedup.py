@@ -26,9 +26,10 @@ that: its windows are counted by digest instead, which partial counts reduce
 before any shuffle, and the repeated digests' windows are found by a join whose
 large side can be split.
 
-docs is read more than once and must give its rows in the same order, as a table
-does. Null texts are empty; texts under LENGTH bytes keep everything. Repeated rows
-are copies of each other, whatever their doc_id.
+Texts are written once with a key of each row, which all steps read. Null texts
+are empty; texts under LENGTH bytes keep everything. Repeated rows are copies of
+each other, whatever their doc_id; a null one counts as -1. Columns other than
+doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Slice, U, prefix_sums, range_hash, slices
 from .sampling import row_id
-from .shared import bucket_bits, shared_tokens
+from .shared import bucket_bits, shared_tokens, text_bytes
 from .storage import write_table
 
 LENGTH = 200
@@ -55,6 +56,8 @@ RUN_SEGMENTS = 8192
 #: Segments of one leading token that one task compares.
 HOT_SEGMENTS = 50_000
 PLACE_BITS = 24
+#: Text for each partition of segments.
+PART_BYTES = 16 << 20
 
 SEGMENT_SCHEMA = "rid long, token binary, at int, n int, segment binary"
 WINDOW_SCHEMA = "rid long, begin int, digest binary"
@@ -268,9 +271,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null where all are) for every row of docs."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.coalesce("text", F.lit("")).alias("text"))
-    bits = max(4, bucket_bits(docs) - 3)
+    rows = write_table(docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.coalesce("text", F.lit("")).alias("text")), "rows")
+    size = text_bytes(rows)
+    bits = max(4, bucket_bits(size) - 3)
     named = rows.select(F.col("rid").alias("doc_id"), "text")
     sets = write_table(shared_tokens(named, _extract, lambda n, shared: shared > 0, bits), "leading").withColumnRenamed("doc_id", "rid")
     held = sets.where("tokens is not null")
@@ -289,7 +292,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         again = windows.groupBy("digest").count().where("count > 1").select("digest")
         found.append(windows.join(again, "digest", "left_semi").select("rid", "begin", (F.col("begin") + LENGTH).alias("stop")))
     segments = texts.join(bring, "rid").mapInArrow(_segments(bits), SEGMENT_SCHEMA)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(8, -(-size // PART_BYTES))
     spans = segments.repartitionByRange(parts, "token").sortWithinPartitions("token").mapInArrow(_sorted_runs, SPAN_SCHEMA)
     for more in [copies.select("rid", F.lit(0).alias("begin"), F.lit(-1).alias("stop")), *found]:
         spans = spans.unionByName(more)
