@@ -586,6 +586,122 @@ def test_toxicity(labelled, none):
     assert score_toxicity(docs, labels.limit(0), F.lit(True)).count() == 403
 
 
+def test_label_model_against_brute_force():
+    """Expected counts and posteriors by plain loops; a voter that copies another hangs on it and counts once."""
+    from tesserae.llm import toxicity as T
+
+    rng = np.random.default_rng(4)
+    toxic = rng.random(600) < 0.3
+    vote = np.stack([rng.random(600) < np.where(toxic, a, b) for a, b in ((0.8, 0.05), (0.6, 0.1), (0.7, 0.02))], axis=1).astype(np.uint8)
+    vote = np.concatenate([vote, vote[:, :1] ^ (rng.random((600, 1)) < 0.02)], axis=1)
+    parent = T.dependences(vote, toxic.astype(float))
+    assert {(v, int(p)) for v, p in enumerate(parent) if p >= 0} in ({(0, 3)}, {(3, 0)})
+    q, weight = rng.random(600), rng.integers(1, 5, 600).astype(float)
+    want = np.zeros((2, 4, 2, 2))
+    for row, p, w in zip(vote, q, weight):
+        for v in range(4):
+            u = row[parent[v]] if parent[v] >= 0 else 0
+            want[1, v, u, row[v]] += w * p
+            want[0, v, u, row[v]] += w * (1 - p)
+    got = T.count_votes(vote, parent, q, weight)
+    assert np.allclose(got, want)
+    model = T.LabelModel(parent, got, 0.2)
+    for row in itertools.product((0, 1), repeat=4):
+        joint = []
+        for y, prior in ((0, 0.8), (1, 0.2)):
+            p = prior
+            for v in range(4):
+                u = row[parent[v]] if parent[v] >= 0 else 0
+                p *= (want[y, v, u, row[v]] + T.SMOOTHING) / (want[y, v, u].sum() + 2 * T.SMOOTHING)
+            joint.append(p)
+        assert math.isclose(model.posterior(np.array([row]))[0], joint[1] / sum(joint), rel_tol=1e-9)
+
+
+def test_label_model_counts_all_documents(spark):
+    """The rounds over patterns in tables give what they give on the rows themselves."""
+    from tesserae.llm import toxicity as T
+
+    rng = np.random.default_rng(6)
+    vote = (rng.random((300, 9)) < 0.3).astype(np.uint8)
+    labels = np.where(rng.random(300) < 0.5, (vote[:, 0] | vote[:, 1]).astype(int), -1)
+    kinds, count = np.unique(np.packbits(vote, axis=1), axis=0, return_counts=True)
+    patterns = spark.createDataFrame([(bytearray(k.tobytes()), int(n)) for k, n in zip(kinds, count)], "pattern binary, count long").repartition(3)
+    model = T.fit_label_model(patterns, vote, labels, 0.4)
+    guess = np.where(labels >= 0, labels, vote[:, -2] * 0.7 + 0.05).astype(float)
+    parent, one = T.dependences(vote, guess), np.ones(300)
+    want = T.LabelModel(parent, T.count_votes(vote, parent, guess, one), 0.4)
+    for _ in range(T.EM_ROUNDS):
+        want = T.LabelModel(parent, T.count_votes(vote, parent, guess, one) + T.count_votes(vote, parent, want.posterior(vote), one), 0.4)
+    assert np.allclose(model.log, want.log)
+
+
+def test_quality_training_against_plain_gradient_descent(monkeypatch):
+    """One pass over single documents, with dictionaries instead of arrays."""
+    from tesserae.llm import quality as Q
+
+    monkeypatch.setattr(Q, "EPOCHS", 1)
+    monkeypatch.setattr(Q, "BATCH", 1)
+    texts, y = ["good words here", "bad bad", "other good", "x"], np.array([1, 0, 1, 0])
+    weights, bias = Q.train(pa.array(texts), y)
+    rng = np.random.default_rng(Q.SEED)
+    index, share, bound = Q._sparse(pa.array(texts))
+    table = rng.uniform(-1 / Q.DIM, 1 / Q.DIM, (Q.FAMILIES << Q.GRAM_BITS, Q.DIM)).astype(np.float32)
+    top, b = np.zeros((Q.DIM, 2)), np.zeros(2)
+    for step, i in enumerate(rng.permutation(4)):
+        bag = list(zip(index[bound[i] : bound[i + 1]].tolist(), share[bound[i] : bound[i + 1]].tolist()))
+        mean = sum(table[k].astype(float) * w for k, w in bag)
+        z = mean @ top + b
+        p = np.exp(z) / np.exp(z).sum()
+        error, rate = np.eye(2)[y[i]] - p, Q.RATE * (1 - step / 4)
+        back = top @ error
+        top, b = top + rate * np.outer(mean, error), b + rate * error
+        for k, w in bag:
+            table[k] += rate * w * back
+    assert np.allclose(weights, table @ (top[:, 1] - top[:, 0]), atol=1e-4) and math.isclose(bias, b[1] - b[0], abs_tol=1e-4)
+
+
+def test_scores_do_not_depend_on_neighbouring_rows(labelled):
+    docs, labels = labelled
+    labels = labels.unionByName(labels.limit(1).selectExpr("doc_id", "7 as quality", "7 as toxic"))
+    for score in (lambda d: classify(d, labels, "quality", F.lit(True)), lambda d: score_toxicity(d, labels, F.lit(True))):
+        together, apart = ({(r.doc_id, round(r.score, 9)) for r in score(d).collect()} for d in (docs.coalesce(1), docs.repartition(50)))
+        assert together == apart
+
+
+def test_language_inference_against_brute_force():
+    """Proportions by plain expectation-maximisation, and the set by its penalised likelihood."""
+    from tesserae.llm import langid as L
+
+    rng = np.random.default_rng(8)
+    like = rng.normal(-20, 4, (60, 4))
+    like[:30, 1] += 8
+    first = np.array([0, 25, 40, 41, 60])
+    got = L.infer(like, first)
+
+    def em(rows, able):
+        share = [1 / len(able)] * len(able)
+        for _ in range(L.ROUNDS if len(able) > 1 else 0):
+            parts = [[s * math.exp(row[k]) for s, k in zip(share, able)] for row in rows]
+            share = [sum(p[i] / sum(p) for p in parts) / len(rows) for i in range(len(able))]
+        return share
+
+    for r in range(4):
+        rows = like[first[r] : first[r + 1]]
+        order = np.argsort([-x for x in em(rows, range(4))], kind="stable")
+        best, best_score = None, -math.inf
+        for size in range(1, 5):
+            able = order[:size].tolist()
+            share = [1 / size] * size
+            for _ in range(L.ROUNDS if size > 1 else 0):
+                parts = [[s * math.exp(row[k]) for s, k in zip(share, able)] for row in rows]
+                share = [sum(p[i] / sum(p) for p in parts) / len(rows) for i in range(size)]
+            score = sum(math.log(sum(s * math.exp(row[k]) for s, k in zip(share, able))) for row in rows) - L.PENALTY * math.log(len(rows) + 1) * (size - 1)
+            if score <= best_score:
+                break
+            best, best_score = dict(zip(able, share)), score
+        assert all(math.isclose(got[r, k], best.get(k, 0.0), abs_tol=1e-6) for k in range(4))
+
+
 def luhn(digits):
     total = 0
     for i, d in enumerate(reversed([int(c) for c in digits if c.isdigit()])):
