@@ -8,6 +8,7 @@ left join must miss.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import partial
 
@@ -20,8 +21,9 @@ from .functions import scalar as S
 from .functions.metainfo import bencode, decode_metainfo, encode_metainfo, flat_trackers
 from .functions.metainfo import total_size as metainfo_size
 from .operators import backfill, lookups, mutations, policy, stateful, stats
-from .operators.ingest import classify
+from .operators.ingest import classify, ingest
 from .plans.listing import Catalogue, ListingRequest, Sorting, listing, specify, total
+from .schemas import TABLES, empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,7 +405,21 @@ def policy_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.allowed(policy.roles(requests, users), policy.default_policy(spark)).select("user_id", "role", "action")
 
 
-@query()
+_QUOTA_STEPS = """
+    WITH RECURSIVE u AS (
+        SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS "at", event_id AS use_id, CAST(round(value) AS BIGINT) AS size,
+               row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+    f AS (
+        SELECT user_id, "at", use_id, size, k, true AS allowed, size AS used, "at" AS start FROM u WHERE k = 1
+        UNION ALL
+        SELECT user_id, "at", use_id, size, k, base < 200, CASE WHEN base < 200 THEN base + size ELSE base END, start FROM (
+            SELECT u.user_id, u."at", u.use_id, u.size, u.k, CASE WHEN u."at" - f.start > 86400 THEN 0 ELSE f.used END AS base,
+                   CASE WHEN u."at" - f.start > 86400 THEN u."at" ELSE f.start END AS start
+            FROM f JOIN u ON u.user_id = f.user_id AND u.k = f.k + 1))
+    SELECT user_id, "at", use_id, size, allowed, used FROM f"""
+
+
+@query(_QUOTA_STEPS)
 def quota_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = read(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("use_id"), F.round("value").cast("long").alias("size"))
     return stateful.quota_fold(uses, 200, 86_400)
@@ -559,3 +575,217 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     twice = part.groupBy("p_name").count().where("count > 1")
     return part.join(twice.select("p_name"), "p_name", "left_semi").withColumn("repeats", F.lit(True))
+
+
+# Awkward texts, tokens and numbers
+
+
+@query(r"""
+    SELECT c_custkey, regexp_full_match(c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) ELSE '' END, '[A-Za-z0-9_-]{1,20}') AS username,
+           c_custkey % 2 <> 0 AS info_hash, c_custkey % 2 <> 0 AS hex, c_custkey % 3 <> 0 AS name, c_mktsegment || '|' || c_name AS items, c_name AS token
+    FROM customer""")
+def awkward_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabs, newlines and no-break spaces around names, hashes, lists and tokens."""
+    end = F.when(F.col("c_custkey") % 2 == 0, "\n").otherwise("")
+    name = F.when(F.col("c_custkey") % 3 == 0, "\t\n   ").otherwise(F.concat(F.lit("\t"), "c_name"))
+    items = S.csv_items(F.concat(F.lit("\t"), "c_mktsegment", F.lit("\n, "), "c_name", F.lit(" \r\n")))
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey", S.is_username(F.concat("c_name", end)).alias("username"), S.is_info_hash(F.concat(F.sha1("c_name"), end)).alias("info_hash"),
+        S.parse_hex(F.concat(F.sha1("c_name"), end)).isNotNull().alias("hex"), S.is_name(name).alias("name"), F.array_join(items, "|").alias("items"), S.bearer_token(F.concat(F.lit("Bearer \t"), "c_name", F.lit("\n"))).alias("token"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN event_id < 3600 THEN 9223372036854775807 ELSE 9223372036854775807 - event_id + 3600 END AS later FROM events")
+def saturating_add_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", S.saturating_add(F.lit((1 << 63) - 1) - F.col("event_id"), 3600).alias("later"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN e < 0 THEN -1 WHEN e < 604800 THEN 1000 + 1209600 ELSE 1000 + e END AS expiry
+    FROM (SELECT event_id, (event_id % 1000) * 2000 - 1000 AS e FROM events)""")
+def token_renewal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(S.token_expiry((F.col("event_id") % 1000) * 2000, F.lit(1000)), F.lit(-1)).alias("expiry"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN -1 ELSE 2 * event_id END AS total FROM events""")
+def tag_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing, malformed and good JSON arrays of ids."""
+    k = F.col("event_id")
+    text = F.when(k % 3 == 0, "").when(k % 3 == 1, "[1,").otherwise(F.concat(F.lit("["), k.cast("string"), F.lit(", "), k.cast("string"), F.lit("]")))
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(F.aggregate(S.tag_ids(text), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(-1)).alias("total"))
+
+
+_GUEST = "get_about get_license get_categories get_image get_public_settings get_site_name get_tags get_torrent get_torrent_info list_torrents"
+_USER = "add_torrent get_canonical_info_hash change_password"
+_ADMIN = "add_category delete_category get_settings get_secret_settings add_tag delete_tag delete_torrent ban_user"
+
+
+@query(f"""
+    WITH r AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'guest' WHEN c_acctbal < 0 THEN 'admin' ELSE 'registered' END AS role FROM customer),
+    a AS (SELECT unnest(string_split('{_GUEST} {_USER} {_ADMIN}', ' ')) AS action)
+    SELECT user_id, role, action FROM r, a
+    WHERE contains(' {_GUEST} ', ' ' || action || ' ') OR (role <> 'guest' AND contains(' {_USER} ', ' ' || action || ' ')) OR role = 'admin'""")
+def policy_every_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action asked for by guests, users and administrators."""
+    customers = read(spark, sf_dir, "customer")
+    users = customers.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("administrator"))
+    requests = customers.select(F.col("c_custkey").alias("user_id"), F.explode(F.split(F.lit(f"{_GUEST} {_USER} {_ADMIN} unknown"), " ")).alias("action"))
+    return policy.allowed(policy.roles(requests, users), policy.default_policy(spark)).select("user_id", "role", "action")
+
+
+# Children, groups and links
+
+
+@query("SELECT l_orderkey AS torrent_id, string_agg(l_returnflag, ';' ORDER BY l_linenumber, l_returnflag) AS tiers, count(*) AS n FROM lineitem GROUP BY 1")
+def child_announce_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("torrent_id"), F.col("l_linenumber").alias("announce_url_id"), F.col("l_returnflag").alias("tracker_url"))
+    out = lookups.announce_tiers(urls)
+    return out.select("torrent_id", F.array_join(F.flatten("announce_list"), ";").alias("tiers"), F.size("announce_list").cast("long").alias("n"))
+
+
+@query("""
+    SELECT l_orderkey AS torrent_id, string_agg(l_linestatus, ';' ORDER BY l_linenumber, l_linestatus) AS http_seeds,
+           string_agg(l_linestatus || ':' || l_suppkey, ';' ORDER BY l_linenumber, l_linestatus, l_suppkey) AS nodes
+    FROM lineitem GROUP BY 1""")
+def child_seeds_and_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").withColumns({"torrent_id": F.col("l_orderkey"), "http_seed_id": F.col("l_linenumber"), "node_id": F.col("l_linenumber"), "seed_url": F.col("l_linestatus"), "node_ip": F.col("l_linestatus"), "node_port": F.col("l_suppkey")})
+    both = lookups.http_seeds(lines).join(lookups.dht_nodes(lines), "torrent_id")
+    nodes = F.array_join(F.transform("nodes", lambda n: F.concat(n["ip"], F.lit(":"), n["port"].cast("string"))), ";")
+    return both.select("torrent_id", F.array_join("http_seeds", ";").alias("http_seeds"), nodes.alias("nodes"))
+
+
+@query("SELECT coalesce(bool_or(c_mktsegment = 'BUILDING' AND lower(sha1(c_name)) = lower((SELECT sha1(min(c_name)) FROM customer))), false) AS member FROM customer")
+def group_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer")
+    groups = customer.select(F.sha1("c_name").alias("info_hash"), F.lower("c_mktsegment").alias("canonical_info_hash"))
+    return lookups.in_group(groups, "BUILDING", hashlib.sha1(b"Customer#000000001").hexdigest().upper())
+
+
+@query("""
+    SELECT DISTINCT l_orderkey AS torrent_id, l_linenumber::BIGINT AS tag_id FROM lineitem WHERE l_linenumber <= 2
+    UNION SELECT o_orderkey, 1 FROM orders""")
+def tag_links_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("torrent_id"), F.col("l_linenumber").cast("long").alias("tag_id")).distinct()
+    return mutations.link_tags(links, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("torrent_id"), F.lit(1).cast("long").alias("tag_id")))
+
+
+@query("SELECT DISTINCT l_orderkey AS torrent_id, l_linenumber::BIGINT AS tag_id FROM lineitem WHERE NOT (l_orderkey = 7 AND l_linenumber = 2)")
+def tag_links_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("torrent_id"), F.col("l_linenumber").cast("long").alias("tag_id")).distinct()
+    return mutations.unlink_tags(links, 7, 2)
+
+
+@query("SELECT c_custkey AS user_id, 'no reason' AS reason, '9999-01-01 00:00:00' AS date_expiry, count(*) OVER () AS ids FROM customer WHERE c_acctbal < 0")
+def bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    out = mutations.ban_users(empty(spark, "user_bans"), users)
+    ids = out.agg(F.countDistinct("ban_id").alias("ids"))
+    return out.select("user_id", "reason", S.timestamp_text(F.col("date_expiry")).alias("date_expiry")).crossJoin(F.broadcast(ids))  # one row
+
+
+@query()
+def cached_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 40 images through 16 caches, with quotas of their readers."""
+    kind = F.when(F.col("event_id") % 11 == 0, "text/html").otherwise("image/png")
+    reads = read(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("at"), "user_id", (F.col("event_id") % 40).cast("string").alias("key"), F.round("value").cast("long").alias("size"), kind.alias("content_type"))
+    return stateful.read_fold(reads, 1000, 100, 500, 3600)
+
+
+# Whole mutations
+
+
+@query("""
+    SELECT c_name AS username, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name || '@x.org' END AS email, false AS email_verified,
+           sha1(c_name) AS password_hash, count(*) OVER () AS ids, 1::BIGINT AS administrators
+    FROM customer""")
+def inserted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = read(spark, sf_dir, "customer").select(F.col("c_name").alias("username"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.concat("c_name", F.lit("@x.org"))).alias("email"), F.sha1("c_name").alias("password_hash"))
+    out = mutations.insert_users({t: empty(spark, t) for t in ("users", "user_authentication", "user_profiles")}, new, F.lit("2024-06-01 12:00:00"))
+    counts = out["users"].agg(F.countDistinct("user_id").alias("ids"), F.count(F.when(F.col("administrator"), 1)).alias("administrators"))
+    both = out["user_profiles"].join(out["user_authentication"], "user_id")
+    return both.select("username", "email", "email_verified", "password_hash").crossJoin(F.broadcast(counts))  # one row
+
+
+_INFO_HASH = "sha1('d6:lengthi' || {0} || 'e4:name' || length({0}::VARCHAR) || ':' || {0} || '12:piece lengthi16384e6:pieces20:pppppppppppppppppppp' || 'e')"
+
+
+@query(f"SELECT doc_id, {_INFO_HASH.format('doc_id')} AS info_hash, {_INFO_HASH.format('doc_id')} AS original_info_hash FROM documents")
+def known_info_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of documents whose bytes SQL writes out."""
+    return read(spark, sf_dir, "documents").select("doc_id", decode_metainfo(sample_document("doc_id")).alias("d")).select("doc_id", "d.info_hash", "d.original_info_hash")
+
+
+@query(f"""
+    SELECT k::VARCHAR AS name, k AS size, k AS length, '' AS path, 'udp://t' AS tracker_url, 'title' AS title, {_INFO_HASH.format('k')} AS info_hash, {_INFO_HASH.format('k')} AS canonical_info_hash, n AS ids
+    FROM (SELECT DISTINCT doc_id // 2 AS k FROM documents), (SELECT count(DISTINCT doc_id // 2) AS n FROM documents)""")
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document uploaded twice: one of both goes in, with its file, tracker, title and hash group."""
+    d = read(spark, sf_dir, "documents").select("doc_id", decode_metainfo(sample_document(F.expr("doc_id div 2"))).alias("d"))
+    uploads = d.select("d.*", F.lit("title").alias("title"), F.lit("").alias("description"), F.lit(1).cast("long").alias("category_id"), F.array(F.lit(7).cast("long")).alias("tag_ids"), F.lit(1).cast("long").alias("uploader_id"))
+    tables, _ = ingest({t: empty(spark, t) for t in TABLES}, uploads, F.lit("2024-06-01 12:00:00"))
+    both = tables["torrents"].join(tables["torrent_files"], "torrent_id").join(tables["announce_urls"], "torrent_id").join(tables["torrent_info"], "torrent_id").join(tables["info_hashes"], "info_hash")
+    ids = tables["torrents"].agg(F.countDistinct("torrent_id").alias("ids"))
+    return both.select("name", "size", "length", "path", "tracker_url", "title", "info_hash", "canonical_info_hash").crossJoin(F.broadcast(ids))  # one row
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as torrents and their lines as files."""
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    torrents = orders.select(F.col("o_orderkey").alias("torrent_id"), F.col("o_orderpriority").alias("name"), F.lit("6162").alias("pieces"), F.lit(5).cast("long").alias("piece_length"), F.lit(0).cast("short").alias("private"), F.lit(None).cast("string").alias("root_hash"), F.lit("s").alias("source"), (F.col("o_orderkey") % 2 == 0).alias("multi_file"))
+    files = lines.select(F.col("l_orderkey").alias("torrent_id"), F.col("l_linenumber").cast("long").alias("file_id"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("path"), F.col("l_quantity").cast("long").alias("length"), F.lit(None).cast("string").alias("md5sum"))
+    return torrents, files
+
+
+@query("""
+    WITH f AS (
+        SELECT l_orderkey AS torrent_id, count(*) AS n, string_agg(l_returnflag || '/' || l_linestatus, ';' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS files,
+               string_agg(l_returnflag, ';' ORDER BY l_linenumber, l_returnflag) FILTER (l_linenumber <= 2) AS trackers,
+               string_agg(l_linestatus || ':' || l_suppkey, ';' ORDER BY l_linestatus, l_suppkey) FILTER (l_linenumber = 1) AS nodes
+        FROM lineitem GROUP BY 1),
+    g AS (SELECT l_orderkey AS torrent_id, string_agg(flag, ';' ORDER BY flag) AS tags FROM (SELECT DISTINCT l_orderkey, l_returnflag AS flag FROM lineitem) GROUP BY 1)
+    SELECT o_orderkey AS torrent_id, o_orderstatus AS title, CASE WHEN n = 1 THEN o_orderpriority ELSE coalesce(files, '') END AS files,
+           coalesce(trackers, '') AS trackers, '' AS http_seeds, coalesce(nodes, '') AS nodes, coalesce(tags, '') AS tags
+    FROM orders LEFT JOIN f ON o_orderkey = f.torrent_id LEFT JOIN g ON o_orderkey = g.torrent_id""")
+def whole_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    torrents, files = _parts(spark, sf_dir)
+    lines = read(spark, sf_dir, "lineitem").withColumn("torrent_id", F.col("l_orderkey"))
+    info = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("torrent_id"), F.col("o_orderstatus").alias("title"))
+    urls = lines.where("l_linenumber <= 2").select("torrent_id", F.col("l_linenumber").alias("announce_url_id"), F.col("l_returnflag").alias("tracker_url"))
+    nodes = lines.where("l_linenumber = 1").select("torrent_id", F.col("l_linenumber").alias("node_id"), F.col("l_linestatus").alias("node_ip"), F.col("l_suppkey").alias("node_port"))
+    links = lines.select("torrent_id", F.ascii("l_returnflag").cast("long").alias("tag_id")).distinct()
+    tags = lines.select(F.ascii("l_returnflag").cast("long").alias("tag_id"), F.col("l_returnflag").alias("name")).distinct()
+    out = lookups.details(torrents.select("torrent_id", "name"), info, files, urls, empty(spark, "http_seeds"), nodes, links, tags)
+    shown = F.array_join(F.transform("files", lambda f: F.array_join(f["path"], "/")), ";")
+    at = F.array_join(F.transform("nodes", lambda n: F.concat(n["ip"], F.lit(":"), n["port"].cast("string"))), ";")
+    return out.select("torrent_id", "title", shown.alias("files"), F.array_join("trackers", ";").alias("trackers"), F.array_join("http_seeds", ";").alias("http_seeds"), at.alias("nodes"), F.array_join("tags", ";").alias("tags"))
+
+
+@query("""
+    SELECT o_orderkey AS torrent_id, o_orderpriority AS name, o_orderkey % 2 = 0 AS listed,
+           CASE WHEN o_orderkey % 2 = 0 THEN total ELSE first END AS size, CASE WHEN o_orderkey % 2 <> 0 THEN path END AS path
+    FROM orders LEFT JOIN (
+        SELECT l_orderkey, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS total,
+               (array_agg(CAST(trunc(l_quantity) AS BIGINT) ORDER BY l_linenumber, l_returnflag, l_linestatus, trunc(l_quantity)))[1] AS first,
+               (array_agg(l_returnflag || '/' || l_linestatus ORDER BY l_linenumber, l_returnflag, l_linestatus, trunc(l_quantity)))[1] AS path
+        FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE total IS NOT NULL""")
+def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Info structs of one and of many files, with their sizes."""
+    torrents, files = _parts(spark, sf_dir)
+    out = lookups.hydrate(torrents, files)
+    return out.select("torrent_id", "info.name", F.col("info.files").isNotNull().alias("listed"), metainfo_size(F.col("info")).alias("size"), F.array_join("info.path", "/").alias("path")).where("size is not null")
+
+
+@query("""
+    SELECT o_orderkey AS torrent_id, o_custkey AS uploader_id, sha1(o_orderkey::VARCHAR) AS info_hash, o_orderkey AS size, o_orderkey::VARCHAR AS name, '' AS path, o_orderkey AS length,
+           'udp://t' AS tracker_url, o_orderstatus AS title, make_timestamp((o_orderkey * 1000)::BIGINT * 1000000) AS date_uploaded
+    FROM orders JOIN customer ON o_custkey = c_custkey""")
+def upgraded_torrents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Torrents of the first catalogue with their documents, in the new one's tables."""
+    customer = read(spark, sf_dir, "customer").select(F.col("c_name").alias("username"), F.col("c_custkey").alias("user_id"))
+    orders = read(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("user_id"))
+    old = orders.select(F.col("o_orderkey").alias("torrent_id"), F.col("username").alias("uploader"), F.lit(1).cast("long").alias("category_id"), F.upper(F.sha1(F.col("o_orderkey").cast("string"))).alias("info_hash"), F.col("o_orderkey").alias("file_size"), (F.col("o_orderkey") * 1000).alias("upload_date"), F.col("o_orderstatus").alias("title"), F.lit("").alias("description"))
+    documents = old.select("torrent_id", decode_metainfo(sample_document("torrent_id"))["torrent"].alias("torrent"))
+    out = backfill.upgrade_torrents(old, customer, documents)
+    both = out["torrents"].join(out["torrent_files"], "torrent_id").join(out["announce_urls"], "torrent_id").join(out["torrent_info"], "torrent_id")
+    return both.select("torrent_id", "uploader_id", "info_hash", "size", "name", "path", "length", "tracker_url", "title", "date_uploaded")

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+#: Seconds that a token is good for, and of its last ones in which it is renewed.
+TOKEN_SECONDS, RENEW_SECONDS = 1_209_600, 604_800
 
 
 def upper_hex(c: Column) -> Column:
@@ -19,7 +21,7 @@ def info_hash_text(c: Column) -> Column:
 
 
 def is_info_hash(c: Column) -> Column:
-    return c.rlike("^[0-9a-fA-F]{40}$")
+    return c.rlike(r"\A[0-9a-fA-F]{40}\z")
 
 
 def parse_info_hash(c: Column) -> Column:
@@ -29,16 +31,46 @@ def parse_info_hash(c: Column) -> Column:
 
 def parse_hex(c: Column) -> Column:
     """Bytes of an even number of hex digits; null for anything else."""
-    return F.when(c.rlike("^(?:[0-9a-fA-F]{2})*$"), F.unhex(c))
+    return F.when(c.rlike(r"\A(?:[0-9a-fA-F]{2})*+\z"), F.unhex(c))
 
 
 def sha1_text(c: Column) -> Column:
     return F.sha1(c.cast("binary"))
 
 
+def info_hash_order(c: Column) -> Column:
+    """What hashes in hex are ordered by: their bytes."""
+    return F.unhex(c)
+
+
+def trimmed(c: Column) -> Column:
+    """Without any white space at both ends: tabs, newlines and Unicode's too."""
+    return F.regexp_replace(c, r"\A\p{IsWhite_Space}++|\p{IsWhite_Space}++\z", "")
+
+
 def csv_items(c: Column) -> Column:
     """Trimmed items of a comma-separated parameter; null for a blank one. Empty items stay."""
-    return F.when(F.trim(c) != "", F.transform(F.split(c, ","), lambda x: F.trim(x)))
+    return F.when(trimmed(c) != "", F.transform(F.split(c, ","), trimmed))
+
+
+def tag_ids(c: Column) -> Column:
+    """A JSON array of ids; none for a missing or empty text, null for anything that is no such array."""
+    return F.when(F.coalesce(c, F.lit("")) == "", F.expr("array()").cast("array<bigint>")).otherwise(F.from_json(c, "array<bigint>"))
+
+
+def bearer_token(header: Column) -> Column:
+    """The token of an authorization header: what stands between the first word Bearer and the next, trimmed; null without one."""
+    return trimmed(F.get(F.split(header, "Bearer"), F.lit(1)))
+
+
+def token_expiry(expiry: Column, now: Column) -> Column:
+    """When a token, checked now, runs out: two weeks from now if less than one is left, null if it has run out."""
+    return F.when((expiry >= now) & (expiry - now < RENEW_SECONDS), now + TOKEN_SECONDS).when(expiry >= now, expiry)
+
+
+def now_seconds() -> Column:
+    """The present as epoch seconds, one value a query."""
+    return F.unix_timestamp()
 
 
 def blank_to_null(c: Column) -> Column:
@@ -80,7 +112,7 @@ def path_text(parts: Column) -> Column:
 
 def is_name(c: Column) -> Column:
     """Not blank."""
-    return F.trim(c) != ""
+    return trimmed(c) != ""
 
 
 def is_title(c: Column) -> Column:
@@ -90,13 +122,13 @@ def is_title(c: Column) -> Column:
 
 def is_username(c: Column) -> Column:
     """1 to 20 of A-Z a-z 0-9 - _"""
-    return c.rlike("^[A-Za-z0-9_-]{1,20}$")
+    return c.rlike(r"\A[A-Za-z0-9_-]{1,20}\z")
 
 
 def is_email(c: Column) -> Column:
     """A common form of address whose domain has a dot and at least four characters."""
     domain = F.substring_index(c, "@", -1)
-    return c.rlike(r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*$") & domain.contains(".") & (F.length(domain) >= 4)
+    return c.rlike(r"\A[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*+\z") & domain.contains(".") & (F.length(domain) >= 4)
 
 
 def is_password(c: Column, confirm: Column, least: int = 6, most: int = 64) -> Column:

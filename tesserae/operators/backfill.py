@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metainfo import flat_trackers
 from ..functions.scalar import epoch_text
+from .mutations import child_id
 
 
 def rename_duplicates(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -72,14 +73,17 @@ def upgrade_keys(old: DataFrame) -> DataFrame:
 def upgrade_torrents(old: DataFrame, users: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     """torrents, torrent_info, torrent_files and announce_urls of the first catalogue's torrents.
 
-    documents: torrent_id and the decoded document of each. The uploader's name
-    must be among users(username, user_id). Child ids number a torrent's
-    children from its id times 2**20.
+    documents: torrent_id and the decoded document of each; raises if one has
+    none. The uploader's name must be among users(username, user_id). Child ids
+    number a torrent's children from its id times 2**20.
     """
+    bare = old.join(documents, "torrent_id", "left_anti").select("torrent_id").limit(1).collect()
+    if bare:
+        raise LookupError(f"no document for torrent {bare[0][0]}")
     rows = attach_dimension(old.withColumnRenamed("uploader", "username"), users, "username", "user_id").join(documents, "torrent_id")
     info = F.col("torrent.info")
     files = F.coalesce(info["files"], F.array(F.struct(F.coalesce(info["path"], F.array(F.lit(""))).alias("path"), info["length"].alias("length"), info["md5sum"].alias("md5sum"))))
-    child = (F.col("torrent_id") * (1 << 20) + F.col("pos")).cast("long")
+    child = child_id(F.col("torrent_id"), F.col("pos"))
     none = F.lit(None).cast("string")
     return {
         "torrents": rows.select(
@@ -103,11 +107,14 @@ def upgrade_categories(old: DataFrame, current: DataFrame) -> DataFrame:
     return old.select("category_id", "name")
 
 
-def upgrade(old: dict[str, DataFrame], documents: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """All tables of a new catalogue from the first one's: categories, users, tracker_keys, torrents; nothing of the new one stays."""
+def upgrade(old: dict[str, DataFrame], documents: DataFrame, now: Column, current: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of a new catalogue from the first one's: categories, users, tracker_keys, torrents; nothing of the new one stays.
+
+    current: the new catalogue's categories, whose names must have the same ids.
+    """
     users = upgrade_users(old["users"], now)
     names = old["users"].select("username", "user_id")
     return {
-        "categories": upgrade_categories(old["categories"], old["categories"].limit(0)), **users, "tracker_keys": upgrade_keys(old["tracker_keys"]),
+        "categories": upgrade_categories(old["categories"], old["categories"].limit(0) if current is None else current), **users, "tracker_keys": upgrade_keys(old["tracker_keys"]),
         **upgrade_torrents(old["torrents"], names, documents),
     }

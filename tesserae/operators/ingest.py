@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metainfo import flat_trackers, public_tiers, total_size
 from ..functions.scalar import is_title
-from .mutations import Tables, numbered
+from .mutations import Tables, child_id, numbered
 
 
 def classify(uploads: DataFrame, groups: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def ingest(tables: Tables, uploads: DataFrame, now: Column) -> tuple[Tables, Dat
     rows = numbered(new, tables["torrents"], "torrent_id", "info_hash")
     info, doc = F.col("torrent.info"), F.col("torrent")
     files = F.coalesce(info["files"], F.array(F.struct(F.coalesce(info["path"], F.array(F.lit(""))).alias("path"), info["length"].alias("length"), info["md5sum"].alias("md5sum"))))
-    child = (F.col("torrent_id") * (1 << 20) + F.col("pos")).cast("long")
+    child = child_id(F.col("torrent_id"), F.col("pos"))
 
     def exploded(values: Column, key: str, *columns: Column) -> DataFrame:
         return rows.select("torrent_id", F.posexplode(values).alias("pos", "v")).select(child.alias(key), "torrent_id", *columns)

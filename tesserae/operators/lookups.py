@@ -64,6 +64,21 @@ def children(df: DataFrame, parent: str, value: Column, order: str, name: str) -
     return df.groupBy(parent).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
 
 
+def announce_tiers(urls: DataFrame) -> DataFrame:
+    """Each torrent's announce URLs, every one as a tier of its own."""
+    return children(urls, "torrent_id", F.array("tracker_url"), "announce_url_id", "announce_list")
+
+
+def http_seeds(seeds: DataFrame) -> DataFrame:
+    """Each torrent's HTTP seeds."""
+    return children(seeds, "torrent_id", F.col("seed_url"), "http_seed_id", "http_seeds")
+
+
+def dht_nodes(nodes: DataFrame) -> DataFrame:
+    """Each torrent's nodes as ip and port."""
+    return children(nodes, "torrent_id", F.struct(F.col("node_ip").alias("ip"), F.col("node_port").alias("port")), "node_id", "nodes")
+
+
 def details(torrents: DataFrame, info: DataFrame, files: DataFrame, urls: DataFrame, seeds: DataFrame, nodes: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
     """Torrents with title, description, files, trackers, http_seeds, nodes and tags as arrays; arrays of absent children are empty.
 
@@ -73,8 +88,8 @@ def details(torrents: DataFrame, info: DataFrame, files: DataFrame, urls: DataFr
     parts = [
         children(files, "torrent_id", F.struct(path_parts(F.col("path")).alias("path"), "length", "md5sum"), "file_id", "files"),
         children(urls, "torrent_id", F.col("tracker_url"), "announce_url_id", "trackers"),
-        children(seeds, "torrent_id", F.col("seed_url"), "http_seed_id", "http_seeds"),
-        children(nodes, "torrent_id", F.struct(F.col("node_ip").alias("ip"), F.col("node_port").alias("port")), "node_id", "nodes"),
+        http_seeds(seeds),
+        dht_nodes(nodes),
         children(links.join(tags, "tag_id"), "torrent_id", F.col("name"), "tag_id", "tags"),
     ]
     out = torrents.join(info, "torrent_id")

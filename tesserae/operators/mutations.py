@@ -15,6 +15,12 @@ from ..schemas import CHILDREN, PRIMARY_KEYS
 from ..sources.tables import NotFound
 
 Tables = dict[str, DataFrame]
+#: Rows that one task ranks when ids are given, on average.
+GROUP_ROWS = 250_000
+#: Children that a parent may have for their ids, and the bits of a child's place in them.
+CHILD_BITS = 20
+#: When bans end, and their reason.
+BAN_UNTIL, BAN_REASON = "9999-01-01 00:00:00", "no reason"
 
 
 class Duplicate(ValueError):
@@ -34,18 +40,24 @@ def numbered(new: DataFrame, table: DataFrame, key: str, *order: str) -> DataFra
     """new with ids after the table's largest.
 
     Ranks are global, in two levels: counts of hash groups, then ranks within
-    them, so no task ranks all rows.
+    them, so no task ranks all rows; the number of groups follows from the rows.
     """
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    groups = 64
+    groups = max(64, new.count() // GROUP_ROWS)
     salted = new.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     sizes = salted.groupBy("_group").count()
-    before = sizes.select("_group", (F.sum("count").over(Window.orderBy("_group")) - F.col("count")).alias("_before"))  # 64 rows
+    before = sizes.select("_group", (F.sum("count").over(Window.orderBy("_group")) - F.col("count")).alias("_before"))  # a row a group
     rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
     out = salted.withColumn("_rank", rank).join(F.broadcast(before), "_group").crossJoin(F.broadcast(top))  # one row
     return out.withColumn(key, F.col("top") + F.col("_before") + F.col("_rank")).drop("_group", "_before", "_rank", "top")
 
 
+def child_id(parent: Column, place: Column) -> Column:
+    """An id from a parent's and a child's place (from 0) among its own; a query fails where they don't fit."""
+    fits = (place < 1 << CHILD_BITS) & (parent < 1 << (63 - CHILD_BITS))
+    return F.when(fits, F.shiftleft(parent.cast("long"), CHILD_BITS) + place).otherwise(F.raise_error(F.lit("too many children for their ids")).cast("long"))
+
+
 def insert(table: DataFrame, new: DataFrame, key: str, unique: tuple[str, ...], *order: str) -> DataFrame:
     """table with new rows under new ids."""
     check_unique(table, new, *unique)
@@ -67,6 +79,23 @@ def insert_users(tables: Tables, new: DataFrame, now: Column) -> Tables:
     }
 
 
+def ban_users(bans: DataFrame, users: DataFrame) -> DataFrame:
+    """bans with one more for each of users(user_id), that never ends."""
+    new = users.select("user_id", F.lit(BAN_REASON).alias("reason"), F.lit(BAN_UNTIL).cast("timestamp_ntz").alias("date_expiry"))
+    return insert(bans, new, "ban_id", (), "user_id")
+
+
+def add_tracker_keys(keys: DataFrame, new: DataFrame) -> DataFrame:
+    """keys with new(user_id, tracker_key, date_expiry)."""
+    return insert(keys, new, "tracker_key_id", (), "user_id", "tracker_key")
+
+
+def add_to_groups(groups: DataFrame, new: DataFrame) -> DataFrame:
+    """groups with new(info_hash, canonical_info_hash), whose originals are known; an info_hash is in one group."""
+    check_unique(groups, new, "info_hash")
+    return groups.unionByName(new.select("info_hash", "canonical_info_hash", F.lit(True).alias("original_is_known")))
+
+
 def update(table: DataFrame, key: str, value: object, changes: dict[str, Column], unique: tuple[str, ...] = (), must_exist: bool = True) -> DataFrame:
     """table with columns of one key's row changed."""
     mine = F.col(key) == F.lit(value)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = (1 << 63) - 1
+#: The types of images that may be cached.
+IMAGE_TYPES = ("image/jpeg", "image/png")
 
 
 @dataclass
@@ -43,24 +45,54 @@ class ByteCache:
     capacity: int
     entry_limit: int
     entries: OrderedDict[str, int] = field(default_factory=OrderedDict)
-
-    def total(self) -> int:
-        return sum(self.entries.values())
+    held: int = 0
 
     def put(self, key: str, size: int) -> bool:
         """Store an entry; one that is too large is refused, and its older version stays only if it is over the limit."""
         if size > self.entry_limit:
             return False
-        self.entries.pop(key, None)
+        self.held -= self.entries.pop(key, 0)
         if size > self.capacity:
             return False
-        room = self.capacity - self.total()
-        while room < size:
-            room += self.entries.popitem(last=False)[1]
+        while self.capacity - self.held < size:
+            self.held -= self.entries.popitem(last=False)[1]
         self.entries[key] = size
+        self.held += size
         return True
 
 
+@dataclass
+class CachedReads:
+    """Reads through a cache: a hit costs nothing and changes no order; a miss is fetched if the user's quota is not used up.
+
+    A quota's period is looked at only when a fetched entry is added to it.
+    """
+
+    capacity: int
+    entry_limit: int
+    most: int
+    period: int
+    cache: ByteCache = field(init=False)
+    quotas: dict[int, Quota] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.cache = ByteCache(self.capacity, self.entry_limit)
+
+    def read(self, now: int, user: int, key: str, size: int, type_ok: bool) -> str:
+        if key in self.cache.entries:
+            return "hit"
+        quota = self.quotas.get(user)
+        if quota and quota.used >= quota.most:
+            return "quota met"
+        if not type_ok:
+            return "no image"
+        if not self.cache.put(key, size):
+            return "too big"
+        quota = self.quotas.setdefault(user, Quota(self.most, self.period, 0, now))
+        quota.take(now, size)
+        return "fetched"
+
+
 def quota_fold(uses: DataFrame, most: int, period: int) -> DataFrame:
     """uses(user_id, at seconds, use_id, size) with `allowed` and the user's `used` bytes after it."""
 
@@ -96,6 +128,24 @@ def cache_fold(puts: DataFrame, capacity: int, entry_limit: int) -> DataFrame:
     return rows.mapInPandas(run, "cache long, at long, key string, size long, stored boolean")
 
 
+def read_fold(reads: DataFrame, capacity: int, entry_limit: int, most: int, period: int) -> DataFrame:
+    """reads(cache, at, user_id, key, size, content_type) with their `outcome`: hit, quota met, no image, too big or fetched."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state = None, CachedReads(capacity, entry_limit, most, period)
+        for frame in frames:
+            outcome = []
+            for which, at, user, key, size, able in zip(*(frame[c] for c in ("cache", "at", "user_id", "key", "size", "able"))):
+                if which != name:
+                    name, state = which, CachedReads(capacity, entry_limit, most, period)
+                outcome.append(state.read(at, user, key, size, able))
+            yield frame.drop(columns="able").assign(outcome=outcome)
+
+    able = F.coalesce(F.col("content_type").isin(*IMAGE_TYPES), F.lit(False)).alias("able")
+    rows = reads.select("cache", "at", "user_id", "key", "size", able).repartition("cache").sortWithinPartitions("cache", "at", "user_id", "key")
+    return rows.mapInPandas(run, "cache long, at long, user_id long, key string, size long, outcome string")
+
+
 def cache_content(puts: DataFrame, capacity: int, entry_limit: int, cache: str = "cache", at: str = "at") -> DataFrame:
     """What each cache holds after these puts of distinct keys: the longest run of last ones that fits.
 
@@ -109,4 +159,4 @@ def cache_content(puts: DataFrame, capacity: int, entry_limit: int, cache: str =
 
 def accepted_types(df: DataFrame, column: str = "content_type") -> DataFrame:
     """Rows of the image types that may be cached."""
-    return df.where(F.col(column).isin("image/jpeg", "image/png"))
+    return df.where(F.col(column).isin(*IMAGE_TYPES))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import service_stats
+
 BATCH = 50
 STALE_SECONDS = 3600
 
@@ -43,6 +47,11 @@ def refresh(stats: DataFrame, entities: DataFrame, fetched: DataFrame | None, tr
     return upsert(stats, refreshed(entities, fetched, tracker_url, now), "torrent_id")
 
 
+def refresh_each(stats: DataFrame, entities: DataFrame, fetch: Callable[[list[str]], list[dict]], tracker_url: str, now: Column) -> DataFrame:
+    """stats after a refresh of all these entities with one request each, on the executors; what the service doesn't know counts 0."""
+    return refresh(stats, entities, service_stats(entities, fetch, batch=1), tracker_url, now)
+
+
 def is_alive(last_seen: Column, now: Column, interval: int, grace: int = 10) -> Column:
     """Whether a periodic task was seen within its interval and the grace seconds."""
     return F.unix_timestamp(now) - F.unix_timestamp(last_seen) <= interval + grace

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .. import schemas
-from ..functions.metainfo import decode_metainfo, encode, synthetic
+from ..functions.metainfo import decode_metainfo, encode, encode_metainfo, synthetic
 
 
 class NotFound(LookupError):
@@ -34,6 +35,18 @@ def connect(spark: SparkSession, url: str) -> Callable[[str], DataFrame]:
     return read
 
 
+def backup(tables: dict[str, DataFrame], url: str) -> None:
+    """Copy tables into a folder that connect() reads; it must not have them yet."""
+    for name, df in tables.items():
+        df.write.parquet(f"{url}/{name}.parquet")
+
+
+def restore(spark: SparkSession, url: str) -> dict[str, DataFrame]:
+    """All tables of a folder, those it doesn't have being empty."""
+    read = connect(spark, url)
+    return {name: read(name) for name in schemas.TABLES}
+
+
 def one(df: DataFrame, what: str) -> dict:
     """The row of a point lookup, for the edge of an application."""
     rows = df.limit(1).collect()
@@ -48,6 +61,13 @@ def metainfo_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decode_metainfo("content").alias("d")).select("path", "d.*")
 
 
+def metainfo_responses(torrents: DataFrame, hash_header: str = "x-info-hash") -> DataFrame:
+    """filename, headers and content of the files of torrents(info_hash, torrent): what a download answers."""
+    name = F.concat("torrent.info.name", F.lit(".torrent"))
+    headers = F.create_map(F.lit("content-type"), F.lit("application/x-bittorrent"), F.lit("content-disposition"), F.concat(F.lit("attachment; filename="), name), F.lit(hash_header), F.col("info_hash"))
+    return torrents.select("info_hash", name.alias("filename"), headers.alias("headers"), encode_metainfo("torrent").alias("content"))
+
+
 STATS_SCHEMA = "info_hash string, seeders long, completed long, leechers long"
 
 
@@ -84,3 +104,14 @@ def synthetic_uploads(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     uuid = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("uuid")
     rows = spark.range(n).select(uuid)
     return rows.select("uuid", F.concat(F.lit("title-"), "uuid").alias("title"), synthetic_document("uuid").alias("content"))
+
+
+def seed_catalogue(spark: SparkSession, n: int, upload: Callable[[DataFrame], None], seconds: float = 0, seed: int = 0) -> None:
+    """Hand n synthetic uploads to `upload`, one at a time with a pause between two; all at once where there is none."""
+    if not seconds:
+        upload(synthetic_uploads(spark, n, seed))
+        return
+    for i in range(n):
+        if i:
+            time.sleep(seconds)
+        upload(synthetic_uploads(spark, n, seed).offset(i).limit(1))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import backfill, lookups, mutations, policy, stateful, stats
 from tesserae.schemas import TABLES, empty
-from tesserae.sources.tables import NotFound, connect, one, parse_stats, service_stats
+from tesserae.functions.metainfo import decode_metainfo
+from tesserae.sources.tables import NotFound, backup, connect, metainfo_responses, one, parse_stats, restore, seed_catalogue, service_stats
 
 
 def now():
@@ -237,3 +238,53 @@ def test_files_and_synthetic_uploads(spark, tmp_path):
     (tmp_path / "bad.torrent").write_bytes(b"junk")
     got = metainfo_files(spark, str(tmp_path))
     assert got.where("error is null").select("info_hash").distinct().count() == 5 and got.where("error is not null").count() == 1
+
+
+def test_new_rows_and_their_limits(spark, tmp_path):
+    bans = mutations.ban_users(empty(spark, "user_bans"), spark.createDataFrame([(7,)], "user_id long"))
+    assert rows(bans, "ban_id", "user_id", "reason", "date_expiry") == [(1, 7, "no reason", dt.datetime(9999, 1, 1))]
+    keys = mutations.add_tracker_keys(empty(spark, "tracker_keys"), spark.createDataFrame([(7, "k", 9)], "user_id long, tracker_key string, date_expiry long"))
+    assert rows(keys) == [(1, 7, "k", 9)]
+    groups = mutations.add_to_groups(empty(spark, "info_hashes"), spark.createDataFrame([("a", "b")], "info_hash string, canonical_info_hash string"))
+    assert rows(groups) == [("a", "b", True)]
+    with pytest.raises(mutations.Duplicate):
+        mutations.add_to_groups(groups, groups.select("info_hash", "canonical_info_hash"))
+    ids = spark.createDataFrame([(3, 5)], "p long, c int").select(mutations.child_id(F.col("p"), F.col("c")).alias("i"))
+    assert ids.first().i == (3 << 20) + 5
+    for p, c in ((3, 1 << 20), (1 << 43, 0)):
+        with pytest.raises(Exception, match="too many children"):
+            spark.createDataFrame([(p, c)], "p long, c int").select(mutations.child_id(F.col("p"), F.col("c"))).collect()
+    tables = {"info_hashes": groups, "tracker_keys": keys}
+    backup(tables, str(tmp_path / "copy"))
+    back = restore(spark, str(tmp_path / "copy"))
+    assert rows(back["info_hashes"]) == rows(groups) and back["users"].count() == 0 and set(back) == set(TABLES)
+
+
+def test_refresh_of_each_and_upgrade_checks(spark):
+    entities = spark.createDataFrame([(1, "a"), (2, "b")], "torrent_id long, info_hash string")
+    after = stats.refresh_each(empty(spark, "tracker_stats"), entities, lambda hs: [{"info_hash": h, "seeders": len(hs), "completed": 0, "leechers": 4} for h in hs if h == "a"], "u", now())
+    assert rows(after, "torrent_id", "seeders", "leechers") == [(1, 1, 4), (2, 0, 0)]
+    old = spark.createDataFrame([(1, "x")], "category_id long, name string")
+    with pytest.raises(ValueError, match="change its id"):
+        backfill.upgrade_categories(old, spark.createDataFrame([(2, "x")], old.schema))
+    torrents = spark.createDataFrame([(1, "u")], "torrent_id long, uploader string")
+    with pytest.raises(LookupError, match="no document for torrent 1"):
+        backfill.upgrade_torrents(torrents, old, spark.createDataFrame([], "torrent_id long, torrent string"))
+
+
+def test_reads_through_a_cache(spark):
+    state = stateful.CachedReads(capacity=10, entry_limit=6, most=12, period=100)
+    steps = [(0, 1, "a", 5, True, "fetched"), (1, 1, "a", 5, True, "hit"), (2, 1, "b", 7, True, "too big"), (3, 1, "c", 5, False, "no image"), (4, 1, "c", 6, True, "fetched"), (5, 1, "a", 5, True, "fetched"), (6, 1, "d", 1, True, "quota met"), (7, 2, "d", 1, True, "fetched"), (500, 1, "e", 1, True, "quota met"), (501, 1, "d", 1, True, "hit")]
+    assert [state.read(*s[:5]) for s in steps] == [s[5] for s in steps] and state.cache.held == sum(state.cache.entries.values())
+    reads = spark.createDataFrame([(1, at, user, key, size, "image/png" if ok else None) for at, user, key, size, ok, _ in steps], "cache long, at long, user_id long, key string, size long, content_type string")
+    assert [r.outcome for r in stateful.read_fold(reads, 10, 6, 12, 100).orderBy("at").collect()] == [s[5] for s in steps]
+
+
+def test_download_answers_and_seeding(spark):
+    seen = []
+    seed_catalogue(spark, 3, lambda df: seen.append(df.select("content", "uuid").collect()), seconds=0.01)
+    assert [len(x) for x in seen] == [1, 1, 1] and len({x[0].uuid for x in seen}) == 3
+    docs = spark.createDataFrame([(bytes(x[0].content),) for x in seen], "content binary").select(decode_metainfo("content").alias("d")).select("d.*")
+    for r in metainfo_responses(docs).collect():
+        assert r.headers["content-type"] == "application/x-bittorrent" and r.headers["content-disposition"] == f"attachment; filename={r.filename}" and r.headers["x-info-hash"] == r.info_hash
+        assert bytes(r.content) in {bytes(x[0].content) for x in seen}
