@@ -62,6 +62,8 @@ MINHASHES = 3
 #: Rows of one minhash group that one task compares; larger groups are salted.
 GROUP_ROWS = 4096
 PIVOTS = 8
+#: Tasks over which a group's rows are spread while they learn its size.
+LANES = 16
 
 
 def needed(n: np.ndarray | int, percent: int = PERCENT):
@@ -129,7 +131,8 @@ def early_links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: verified links between representatives and pivots of their minhash groups."""
     keys = reps.select("id", "tokens").mapInArrow(_minhashes, "key long, id long")
     groups = keys.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / GROUP_ROWS).alias("salts"))
-    dealt = keys.join(groups, "key").select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), "id")
+    groups = groups.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    dealt = keys.withColumn("lane", F.pmod(F.xxhash64("id", F.lit("lane")), F.lit(LANES)).cast("int")).join(groups, ["key", "lane"]).select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), "id")
     rows = reps.join(dealt, "id").select("key", "salt", "n", "id", (F.col("n") - F.size("tokens")).alias("own"), "tokens")
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "own", "n", "id").mapInArrow(_stars(percent), "a long, b long")
 

@@ -128,9 +128,8 @@ def _name(norm: Column, sex: Column, attempt: Column, h: Column) -> Column:
     return F.when(F.regexp_like(norm, cyrillic), made(*SYLLABLES["Cyrillic"])).when(F.regexp_like(norm, greek), made(*SYLLABLES["Greek"])).otherwise(made(*SYLLABLES["Latin"]))
 
 
-def surrogate(kind: Column, norm: Column, sex: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normalised entity at an attempt."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")).cast("binary"), 256)
+def surrogate(kind: Column, norm: Column, sex: Column, attempt: Column, h: Column) -> Column:
+    """The surrogate of a normalised entity at an attempt. h: its keyed hash, as a column, since each letter asks for it."""
     more = F.greatest(attempt - WIDEN, F.lit(0))
     spare = F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: F.when(i > 0, _pick("0123456789", h, -i)).otherwise("")), "")
     top = F.regexp_extract(norm, r"(\.[a-z]+)$", 1)
@@ -210,7 +209,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     all_of = write_table(entities.groupBy("kind", "norm").agg(told.alias("sex")), "entities")
     now = all_of.withColumn("attempt", F.lit(0))
     while True:
-        made = now.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("sex"), F.col("attempt"), key))
+        hashed = now.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.col("attempt").cast("string")).cast("binary"), 256))
+        made = hashed.withColumn("made", surrogate(*(F.col(c) for c in ("kind", "norm", "sex", "attempt", "h")))).drop("h")
         made = write_table(made.withColumn("same", _norm(F.col("kind"), F.col("made"))), "surrogates")
         keeps = made.groupBy("kind", "same").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "same", "first.norm")
         taken = made.select("kind", F.col("same").alias("norm")).join(all_of, ["kind", "norm"], "left_semi").distinct().select("kind", F.col("norm").alias("same"), F.lit(True).alias("taken"))
