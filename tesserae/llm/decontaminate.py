@@ -1,11 +1,12 @@
 """Benchmark decontamination with DataFrame operations only.
 
 The windows of the test items (10 consecutive words; a shorter item is one
-window as a whole) form a hash set that goes to every task as a bitmap, twice:
-of each window's first and last word, which is a cheap test, and of all its
-words. Each document's windows are looked up while the table is scanned once;
-only windows whose bits are set go on and are compared as words with the items'.
-A word inside any occurrence of a window is hit.
+window as a whole) form a hash set that goes to every task as a bitmap, and so do
+the first and last words of the blocks of six words in them. Each document is
+scanned once: every fifth word starts a block, and any window holds one of these
+blocks, so only around blocks whose bit is set are windows looked up in the hash
+set. Those found are compared as words with the items'. A word inside any
+occurrence of a window is hit.
 
 The bitmaps have `BITS` bits for each window, at most `MOST_BITS` in all, so their
 size is bounded whatever the benchmark: past that they only let more windows
@@ -47,18 +48,19 @@ def hashed(words: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, win (its words), ends and key (hashes of its first and last word, and of all), each once."""
+    """item_id, size, win (its words), ends (hashes of its blocks' first and last words) and key (of all its words), each once."""
     items = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("ws")).withColumn("hs", hashed(F.col("ws")))
     size = F.least(F.size("ws"), F.lit(window))
     at = F.when(F.size("ws") > 0, F.sequence(F.lit(1), F.size("ws") - size + 1)).otherwise(F.expr("array()").cast("array<int>"))
     each = items.select("item_id", "ws", "hs", size.alias("size"), F.explode(at).alias("at"))
     win = F.concat_ws(" ", F.slice("ws", F.col("at"), F.col("size")))
-    ends = _ends(F.col("hs"), F.col("at") - 1, F.col("size"))
+    step = F.greatest(F.lit(1), F.floor(F.col("size") / 2).cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), step - 1), lambda o: _ends(F.col("hs"), F.col("at") - 1 + o, F.col("size") - step + 1))
     return each.select("item_id", "size", win.alias("win"), ends.alias("ends"), _whole(F.col("hs"), F.col("at"), F.col("size")).alias("key")).distinct()
 
 
 def _ends(hs: Column, i: Column, size: Column) -> Column:
-    """Of the first and last word of the window of `size` words at i, counted from 0."""
+    """Of the first and last word of the `size` words at i, counted from 0."""
     return F.get(hs, i).bitwiseXOR(F.shiftright(F.get(hs, i + size - 1), 1))
 
 
@@ -82,20 +84,34 @@ def _set(bitmap: Column, key: Column, words_of: int) -> Column:
     return F.getbit(F.get(bitmap, _word(key, words_of).cast("int")), key.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 
+def _found(n: int, words_of: int) -> Column:
+    """size, start and words of each window of n words whose bits are set. The row has n words at least.
+
+    Blocks start at every `step`-th word; a window's first block starts at one of
+    its first `step` words and ends inside it.
+    """
+    step = max(1, n // 2)
+    block, words_in = n - step + 1, F.size("hs")
+    starts = F.filter(F.sequence(F.lit(1), words_in - block + 1, F.lit(step)), lambda p: _set(F.col("by_ends"), _ends(F.col("hs"), p - 1, F.lit(block)), words_of))
+    around = F.flatten(F.transform(starts, lambda p: F.sequence(F.greatest(F.lit(1), p - step + 1), F.least(p, words_in - n + 1))))
+    hit = F.filter(around, lambda at: _set(F.col("by_key"), _whole(F.col("hs"), at, F.lit(n)), words_of))
+
+    def window(at: Column) -> Column:
+        win = F.translate(F.concat_ws(" ", F.slice("ws", at, F.lit(n))), string.ascii_uppercase, string.ascii_lowercase)
+        return F.struct(F.lit(n).alias("size"), at.alias("at"), win.alias("win"))
+
+    return F.transform(hit, window)
+
+
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """rid, doc_id, n_words, and found: size, start and words of each window whose bits are set."""
     sizes = {r[0]: r[1] for r in windows.groupBy("size").agg(F.count("*")).collect()}  # one for each size up to the window's
     words_of = 1 << max(0, min(MOST_BITS // 64, -(-BITS * max(1, sum(sizes.values())) // 64)).bit_length() - 1)
     text = F.coalesce("text", F.lit(""))
     marked = docs.select(F.monotonically_increasing_id().alias("rid"), row_id(), F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0)).alias("ws"))
-    marked = marked.withColumn("hs", hashed(F.col("ws"))).withColumns({"by_ends": _bitmap(windows, "ends", words_of), "by_key": _bitmap(windows, "key", words_of)})
-    found = F.expr("array()").cast("array<struct<size:int,at:int,win:string>>")
-    for n in sorted(sizes):
-        size = F.lit(n)
-        ends = F.transform("hs", lambda h, i: F.when((i <= F.size("hs") - size) & _set(F.col("by_ends"), _ends(F.col("hs"), i, size), words_of), i + 1))  # noqa: B023
-        hit = F.filter(F.array_compact(ends), lambda at: _set(F.col("by_key"), _whole(F.col("hs"), at, size), words_of))  # noqa: B023
-        win = lambda at: F.translate(F.concat_ws(" ", F.slice("ws", at, size)), string.ascii_uppercase, string.ascii_lowercase)  # noqa: B023, E731
-        found = F.concat(found, F.transform(hit, lambda at: F.struct(size.alias("size"), at.alias("at"), win(at).alias("win"))))  # noqa: B023
+    marked = marked.withColumn("hs", hashed(F.col("ws"))).withColumns({"by_ends": _bitmap(windows.select(F.explode("ends").alias("ends")), "ends", words_of), "by_key": _bitmap(windows, "key", words_of)})
+    none = F.expr("array()").cast("array<struct<size:int,at:int,win:string>>")
+    found = F.concat(none, *(F.when(F.size("hs") >= n, _found(n, words_of)).otherwise(none) for n in sorted(sizes)))
     marked = marked.select("rid", "doc_id", F.size("ws").cast("long").alias("n_words"), found.alias("found"))
     return marked.withColumn("found", F.when(F.size("found") > 0, F.col("found")))
 
