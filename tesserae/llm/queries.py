@@ -128,22 +128,6 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
     """,
-    "op6_suffix_dedup": r"""
-        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        w AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS win FROM t, unnest(range(0, length(h) // 2 - 199)) AS u(i)),
-        again AS (SELECT doc_id, i FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)),
-        starts AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new FROM again),
-        runs AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
-        spans AS (SELECT doc_id, min(i) AS b, max(i) + 200 AS e FROM runs GROUP BY doc_id, run),
-        gaps AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS p FROM spans),
-        kept AS (
-            SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last,
-                   string_agg(substr(h, (2 * p + 1)::BIGINT, (2 * (b - p))::BIGINT), '' ORDER BY b) AS ahead
-            FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
-        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-               sha256(unhex(coalesce(ahead || substr(h, (2 * last + 1)::BIGINT), h))) AS kept_sha256
-        FROM t LEFT JOIN kept USING (doc_id)
-    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
