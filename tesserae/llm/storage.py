@@ -48,7 +48,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     rows = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
