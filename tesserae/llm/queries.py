@@ -16,6 +16,7 @@ from .packing import best_fit_packing
 from .pii import replace_pii
 from .quality import classify
 from .sampling import fold
+from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
 from .suffix_tree import score_texts
 from .toxicity import score_toxicity
@@ -81,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), moved, F.col("vec_id") % 100 == 0)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLES: dict[str, str] = {
