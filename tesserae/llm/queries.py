@@ -14,6 +14,7 @@ from .langid import identify
 from .negatives import hard_negatives
 from .packing import best_fit_packing
 from .pii import replace_pii
+from .prefix_trie import prefix_trie
 from .quality import classify
 from .sampling import fold
 from .simhash import simhash_components
@@ -86,6 +87,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_simhash": op12_simhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -169,4 +175,26 @@ ORACLES: dict[str, str] = {
             FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
     """,
+    "op13_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+            FROM conversations GROUP BY 1),
+        crc AS (
+            SELECT c, ts, xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                                          lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 6 AS h
+            FROM own),
+        built AS (SELECT o.c, coalesce(b.ts, [])[1:o.h] || o.ts[o.h + 1:] AS p FROM crc AS o LEFT JOIN own AS b ON b.c = o.c - o.c % 100),
+        m AS (SELECT c, d, p[1:d] AS k, d = len(p) AS whole FROM built, unnest(range(0, len(p) + 1)) AS u(d)),
+        n AS (
+            SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(k[d].t), 0) AS saved,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole), '')) AS ends_sha256
+            FROM m GROUP BY d, k),
+        ch AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+        w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch ON ch.d = n.d AND ch.k = n.k),
+        s AS (
+            SELECT x.d, x.k, count(*) FILTER (WHERE y.n_children = 0) AS n_leaves, sum(y.saved)::BIGINT AS saved_tokens
+            FROM w AS x JOIN w AS y ON y.d >= x.d AND y.k[1:x.d] = x.k GROUP BY 1, 2)
+        SELECT w.conv_id, w.d AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+        FROM w JOIN s ON s.d = w.d AND s.k = w.k LEFT JOIN w AS up ON up.d = w.d - 1 AND up.k = w.k[1:w.d - 1]
+    """,
 }
