@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 import pyarrow as pa
@@ -23,7 +24,9 @@ from .functions.metainfo import total_size as metainfo_size
 from .operators import backfill, lookups, mutations, policy, stateful, stats
 from .operators.ingest import classify, ingest
 from .plans.listing import Catalogue, ListingRequest, Sorting, listing, specify, total
+from .plans.search import TitleIndex
 from .schemas import TABLES, empty
+from .sources.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,10 +65,10 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
     return Catalogue(entities, sums, tags, orders.select(F.col("o_orderpriority").alias("name")), lines.select(F.col("l_returnflag").alias("name")))
 
 
-def listing_sql(where: str = "true", order: str = "uploaded DESC", limit: int = 10, offset: int = 0, times: str = "1", joins: str = "") -> str:
+def listing_sql(where: str = "true", order: str = "uploaded DESC", limit: int = 10, offset: int = 0, times: str = "1", joins: str = "", title: str = "c_name") -> str:
     return f"""
         WITH e AS (
-            SELECT o_orderkey AS entity_id, c_name AS title, o_custkey AS uploader, o_orderpriority AS category,
+            SELECT o_orderkey AS entity_id, {title} AS title, o_custkey AS uploader, o_orderpriority AS category,
                    o_totalprice AS size, o_orderdate AS uploaded
             FROM orders JOIN customer ON o_custkey = c_custkey),
         s AS (
@@ -100,6 +103,16 @@ add_listing("listing_tag_fanout", ListingRequest(tags="A,R", sort=Sorting.SEEDER
 add_listing("listing_unknown_filter_ignored", ListingRequest(tags="none such", categories="5-LOW,none such"), listing_sql("category = '5-LOW'"))
 
 
+@query(listing_sql("entity_id % 11 <> 0 AND title ILIKE '%mer#00%23%'", "seeders DESC", 10, 10, title="CASE WHEN o_orderkey % 10 = 0 THEN 'Renamer#00' || o_orderkey ELSE c_name END"))
+def listing_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search through an index of all titles that was refreshed with changed and deleted ones."""
+    held = catalogue(spark, sf_dir)
+    index = TitleIndex.build(held.entities, new_path(spark, "titles"))
+    renamed = held.entities.where("entity_id % 10 = 0").withColumn("title", F.concat(F.lit("Renamer#00"), F.col("entity_id").cast("string")))
+    index.refresh(renamed, held.entities.where("entity_id % 11 = 0").select("entity_id"))
+    return listing(replace(held, index=index), specify(ListingRequest(search="MER#00%23", sort=Sorting.SEEDERS_DESC, page=1)))
+
+
 @query("SELECT count(*) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name ILIKE '%customer#0000001%' AND o_orderpriority IN ('1-URGENT', '5-LOW')")
 def listing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total(catalogue(spark, sf_dir), specify(ListingRequest(search="Customer#0000001", categories="1-URGENT,5-LOW")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import like_pattern
+from .search import TitleIndex
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 10, 30
 
@@ -58,7 +59,8 @@ class Catalogue:
 
     entities: entity_id, title, uploader, category (null: none), size, uploaded.
     stats: entity_id, seeders, leechers, in any number of rows. tags: entity_id,
-    tag, each pair once. known_categories(name), known_tags(name).
+    tag, each pair once. known_categories(name), known_tags(name). index: where
+    given, an index of the same entities, which searches read instead.
     """
 
     entities: DataFrame
@@ -66,6 +68,7 @@ class Catalogue:
     tags: DataFrame
     known_categories: DataFrame
     known_tags: DataFrame
+    index: TitleIndex | None = None
 
 
 def items(value: str | None) -> tuple[str, ...]:
@@ -97,7 +100,9 @@ def matching(catalogue: Catalogue, spec: ListingSpec, fan_out: bool = False) ->
     """
     out = catalogue.entities
     pattern = like_pattern(spec.search)
-    if pattern:
+    if pattern and catalogue.index:
+        out = catalogue.index.matching(spec.search)
+    elif pattern:
         out = out.where(F.col("title").ilike(pattern))
     categories, tags = known(spec.categories, catalogue.known_categories), known(spec.tags, catalogue.known_tags)
     if categories:
