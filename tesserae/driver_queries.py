@@ -95,6 +95,7 @@ for _sort in Sorting:
     _column, _down = _sort.value
     _order = f"{_column} {'DESC NULLS LAST' if _down else 'ASC NULLS FIRST'}"
     add_listing(f"listing_sort_{ {'title': 'name'}.get(_column, _column)}_{'desc' if _down else 'asc'}", ListingRequest(sort=_sort), listing_sql(order=_order))
+    add_listing(f"listing_deep_{ {'title': 'name'}.get(_column, _column)}_{'desc' if _down else 'asc'}", ListingRequest(sort=_sort, page=1234), listing_sql(order=_order, offset=12340))
 add_listing("listing_no_search", ListingRequest(page_size=100), listing_sql(limit=30))
 add_listing("listing_search_wildcard", ListingRequest(search="r#00_000_1", sort=Sorting.SIZE_DESC), listing_sql("title ILIKE '%r#00_000_1%'", "size DESC"))
 add_listing("listing_category_filter", ListingRequest(categories="1-URGENT, 5-LOW"), listing_sql("category IN ('1-URGENT', '5-LOW')"))

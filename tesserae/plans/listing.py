@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import like_pattern
+from ..sources.storage import stored
 from .search import TitleIndex
+from .seek import ordering, seek
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 10, 30
+#: Pages from this row on are sought by a range histogram; a sort of the rows ahead is cheaper before.
+SEEK_FROM = 10_000
 
 
 class Sorting(Enum):
@@ -133,15 +137,23 @@ def listing(catalogue: Catalogue, spec: ListingSpec, fan_out: bool = False) -> D
 
     A sort by an entity's own columns takes the page's rows first, and only they
     are joined with statistics: at most page_size ids are broadcast to that scan.
+    Of a deep page the ids come first: keys and ids of all hits are written once,
+    and the page is sought in them.
     """
     column, descending = spec.sort.value
-    order = [F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first(), F.col("entity_id").asc()]
+    order = ordering(column, descending)
     hits = matching(catalogue, spec, fan_out)
     if fan_out:
         hits = hits.groupBy(hits.columns).agg(F.count("*").alias("matches"))
     times = F.col("matches") if fan_out else None
-    if column in ("seeders", "leechers"):
+    by_stats = column in ("seeders", "leechers")
+    if spec.offset >= SEEK_FROM:
+        keys = _with_stats(hits, catalogue.stats, times) if by_stats else hits
+        found = seek(stored(keys.select(column, "entity_id"), "keys"), column, descending, spec.offset, spec.page_size)
+        page = hits.join(F.broadcast(found.select("entity_id")), "entity_id", "left_semi")  # at most page_size rows
+    elif by_stats:
         return _with_stats(hits, catalogue.stats, times).orderBy(order).offset(spec.offset).limit(spec.page_size)
-    page = hits.orderBy(order).offset(spec.offset).limit(spec.page_size)
+    else:
+        page = hits.orderBy(order).offset(spec.offset).limit(spec.page_size)
     stats = catalogue.stats.join(F.broadcast(page.select("entity_id")), "entity_id", "left_semi")  # at most page_size rows
     return _with_stats(page, stats, times).orderBy(order)
