@@ -64,7 +64,8 @@ class Catalogue:
     entities: entity_id, title, uploader, category (null: none), size, uploaded.
     stats: entity_id, seeders, leechers, in any number of rows. tags: entity_id,
     tag, each pair once. known_categories(name), known_tags(name). index: where
-    given, an index of the same entities, which searches read instead.
+    given, an index of the same entities, which searches read instead. summed:
+    stats has at most one row an entity, as kept sums do, and isn't added up.
     """
 
     entities: DataFrame
@@ -73,6 +74,7 @@ class Catalogue:
     known_categories: DataFrame
     known_tags: DataFrame
     index: TitleIndex | None = None
+    summed: bool = False
 
 
 def items(value: str | None) -> tuple[str, ...]:
@@ -122,9 +124,9 @@ def total(catalogue: Catalogue, spec: ListingSpec) -> DataFrame:
     return matching(catalogue, spec).agg(F.count("*").alias("total"))
 
 
-def _with_stats(entities: DataFrame, stats: DataFrame, times: Column | None = None) -> DataFrame:
+def _with_stats(entities: DataFrame, stats: DataFrame, summed: bool, times: Column | None = None) -> DataFrame:
     """Entities with their summed statistics, 0 where there are none. Sums come before the join, so it adds no rows."""
-    sums = stats.groupBy("entity_id").agg(F.sum("seeders").alias("seeders"), F.sum("leechers").alias("leechers"))
+    sums = stats.select("entity_id", "seeders", "leechers") if summed else stats.groupBy("entity_id").agg(F.sum("seeders").alias("seeders"), F.sum("leechers").alias("leechers"))
     out = entities.join(sums, "entity_id", "left")
     for name in ("seeders", "leechers"):
         value = F.coalesce(name, F.lit(0))
@@ -148,12 +150,12 @@ def listing(catalogue: Catalogue, spec: ListingSpec, fan_out: bool = False) -> D
     times = F.col("matches") if fan_out else None
     by_stats = column in ("seeders", "leechers")
     if spec.offset >= SEEK_FROM:
-        keys = _with_stats(hits, catalogue.stats, times) if by_stats else hits
+        keys = _with_stats(hits, catalogue.stats, catalogue.summed, times) if by_stats else hits
         found = seek(stored(keys.select(column, "entity_id"), "keys"), column, descending, spec.offset, spec.page_size)
         page = hits.join(F.broadcast(found.select("entity_id")), "entity_id", "left_semi")  # at most page_size rows
     elif by_stats:
-        return _with_stats(hits, catalogue.stats, times).orderBy(order).offset(spec.offset).limit(spec.page_size)
+        return _with_stats(hits, catalogue.stats, catalogue.summed, times).orderBy(order).offset(spec.offset).limit(spec.page_size)
     else:
         page = hits.orderBy(order).offset(spec.offset).limit(spec.page_size)
     stats = catalogue.stats.join(F.broadcast(page.select("entity_id")), "entity_id", "left_semi")  # at most page_size rows
-    return _with_stats(page, stats, times).orderBy(order)
+    return _with_stats(page, stats, catalogue.summed, times).orderBy(order)

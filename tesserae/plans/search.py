@@ -22,17 +22,16 @@ tasks by id; nothing of them reaches the driver but counts.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.scalar import like_pattern
-from ..sources.storage import delete_path, names_in
+from ..sources.storage import Segments
 
 GRAM = 3
+POSTINGS = "gram string, entity_id long, _folder int"
 GRAM_FOLDERS, ENTITY_FOLDERS = 64, 64
 #: Trigrams that candidates are found by, the rarest of the search; the whole pattern is checked in any case.
 MOST_GRAMS = 4
@@ -66,50 +65,34 @@ class TitleIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.parts = spark, path, Segments(spark, path)
 
     @classmethod
     def build(cls, entities: DataFrame, path: str) -> TitleIndex:
         """A new index of these entities."""
         index = cls(entities.sparkSession, path)
-        if index.segments():
+        if index.parts.numbers():
             raise ValueError(f"{path} has an index already")
         index._add(entities.withColumn("_deleted", F.lit(False)))
         return index
 
-    def segments(self) -> list[int]:
-        """Committed segments, oldest first. After a compaction only what it wrote, and later ones, count."""
-        names = [n.split("=")[1].split("-") for n in names_in(self.spark, f"{self.path}/commits")]
-        whole = max((int(n) for n, kind in names if kind == "whole"), default=0)
-        return sorted(int(n) for n, _ in names if int(n) >= whole)
-
     def _add(self, rows: DataFrame, whole: bool = False) -> None:
         """Write the segment of these rows, and commit it."""
-        taken = [int(n.split("=")[1].split("-")[0]) for n in names_in(self.spark, f"{self.path}/entities")]
-        name = f"segment={max(taken, default=-1) + 1}"
-        held = f"{self.path}/entities/{name}"
+        number = self.parts.next("entities")
+        held, postings, counts = (self.parts.at(t, number) for t in ("entities", "postings", "counts"))
         rows = rows.withColumn("_folder", _folder(F.col("entity_id"), ENTITY_FOLDERS))
         rows.repartitionByRange("_folder", "entity_id").sortWithinPartitions("_folder", "entity_id").write.partitionBy("_folder").parquet(held)
         back = self.spark.read.schema(rows.schema).parquet(held)
         pairs = back.where(~F.col("_deleted")).select(F.explode(grams(F.lower("title"))).alias("gram"), "entity_id").withColumn("_folder", _folder(F.col("gram"), GRAM_FOLDERS))
         order = ["_folder", "gram", "entity_id"]
-        pairs.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("_folder").parquet(f"{self.path}/postings/{name}")
-        posted = self.spark.read.schema("gram string, entity_id long, _folder int").parquet(f"{self.path}/postings/{name}")
-        posted.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{self.path}/counts/{name}")
-        number = name.split("=")[1]
-        self.spark.range(1).select(F.lit(rows.schema.json()).alias("schema")).write.parquet(f"{self.path}/commits/segment={number}-{'whole' if whole else 'part'}")
-
-    def _read(self, table: str, schema: str | StructType) -> DataFrame:
-        """A table's committed segments, each with its number."""
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{table}/segment={n}").withColumn("_segment", F.lit(n)) for n in self.segments()]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    def _schema(self) -> StructType:
-        """The columns of the entities' rows, as the commits have them."""
-        return StructType.fromJson(json.loads(self.spark.read.schema("schema string").parquet(f"{self.path}/commits").first()[0]))
+        pairs.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("_folder").parquet(postings)
+        posted = self.spark.read.schema(POSTINGS).parquet(postings)
+        posted.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(counts)
+        self.parts.commit(number, rows.schema, whole)
+
+    def _rows(self) -> DataFrame:
+        """Rows of all segments, replaced and deleted ones too."""
+        return self.parts.read("entities", self.parts.schema())
 
     def refresh(self, changed: DataFrame, deleted: DataFrame | None = None) -> None:
         """Add or replace the changed entities, and take out those of `deleted` (entity_id)."""
@@ -120,36 +103,32 @@ class TitleIndex:
 
     def compact(self) -> None:
         """All present rows as one segment; what came before it is deleted."""
-        old = self.segments()
-        self._add(self._present(self._read("entities", self._schema())).withColumn("_deleted", F.lit(False)), whole=True)
-        for n in old:
-            for kind in ("part", "whole"):
-                delete_path(self.spark, f"{self.path}/commits/segment={n}-{kind}")
-            for table in ("entities", "postings", "counts"):
-                delete_path(self.spark, f"{self.path}/{table}/segment={n}")
+        old = self.parts.numbers()
+        self._add(self.entities().withColumn("_deleted", F.lit(False)), whole=True)
+        self.parts.forget(old, "entities", "postings", "counts")
 
     def _present(self, rows: DataFrame) -> DataFrame:
         """The latest row of each entity, without deleted ones."""
         names = [c for c in rows.columns if c not in ("_folder", "_segment")]
-        if len(self.segments()) > 1:
+        if len(self.parts.numbers()) > 1:
             rows = rows.groupBy("entity_id").agg(F.max_by(F.struct(*names), F.col("_segment")).alias("row")).select("row.*")
         return rows.where(~F.col("_deleted")).select(*(c for c in names if c != "_deleted"))
 
     def entities(self) -> DataFrame:
         """All present rows."""
-        return self._present(self._read("entities", self._schema()))
+        return self._present(self._rows())
 
     def rarest(self, wanted: Iterable[str]) -> list[tuple[str, int]]:
         """Trigrams to look candidates up by, and how many entities each has at most, rarest first."""
         wanted = list(wanted)
-        counts = self._read("counts", "gram string, n long").where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.sum("n"))
+        counts = self.parts.read("counts", "gram string, n long").where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.sum("n"))
         found = dict(map(tuple, counts.collect()))  # a row for each of the search's trigrams
         return sorted(((g, found.get(g, 0)) for g in wanted), key=lambda x: (x[1], x[0]))[:MOST_GRAMS]
 
     def candidates(self, chosen: list[str]) -> DataFrame:
         """entity_id of entities that have, or had, all of these trigrams."""
         folders = sorted({r[0] for r in self.spark.createDataFrame([(g,) for g in chosen], "gram string").select(_folder(F.col("gram"), GRAM_FOLDERS)).collect()})
-        hit = self._read("postings", "gram string, entity_id long, _folder int").where(F.col("_folder").isin(folders) & F.col("gram").isin(chosen))
+        hit = self.parts.read("postings", POSTINGS).where(F.col("_folder").isin(folders) & F.col("gram").isin(chosen))
         mark = F.lit(0)
         for i, g in enumerate(chosen):
             mark = F.when(F.col("gram") == g, 1 << i).otherwise(mark)
@@ -157,7 +136,7 @@ class TitleIndex:
 
     def matching(self, search: str) -> DataFrame:
         """Present entities whose title has the searched text; % and _ in it are wildcards, letters match in either case."""
-        rows = self._read("entities", self._schema())
+        rows = self._rows()
         wanted = wanted_grams(self.spark, search)
         if wanted:
             chosen = self.rarest(wanted)

@@ -68,7 +68,7 @@ def test_refresh_and_compaction(spark, entities):
         for text in ("abc", "zzz", "again"):
             assert ids(index.matching(text)) == plain(want, text), (step, text)
         index.compact()
-    assert len(index.segments()) == 1
+    assert len(index.parts.numbers()) == 1
     index.refresh(changed.limit(0), spark.createDataFrame([(9000,)], "entity_id long"))
     assert ids(index.matching("brand")) == []
 
@@ -80,7 +80,7 @@ def test_a_segment_without_commit_does_not_count(spark, entities, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         index.refresh(spark.createDataFrame([(0, "abc now", 1, 1)], entities.schema))
     monkeypatch.undo()
-    assert ids(index.matching("abc")) == before and index.segments() == [0]
+    assert ids(index.matching("abc")) == before and index.parts.numbers() == [0]
     index.refresh(spark.createDataFrame([(0, "abc now", 1, 1)], entities.schema))
     assert ids(index.matching("abc")) == sorted({0, *before})
     with pytest.raises(ValueError):
