@@ -548,6 +548,26 @@ def metainfo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("doc_id", ((F.col("d.info_hash") == F.col("e.info_hash")) & (F.col("d.info_hash") == F.col("d.original_info_hash"))).alias("same"), F.col("d.error").alias("error"))
 
 
+_TEXT = "octet_length(encode(coalesce({0}, ''))) || ':' || coalesce({0}, '')"
+_KNOWN = f"'6:lengthi' || n_chars || 'e4:name' || {_TEXT.format('source')} || '12:piece lengthi16384e6:pieces20:{'p' * 20}e'"
+_CUSTOM = f"'6:customl' || {_TEXT.format('lang')} || 'li-5eee'"
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN sha1('d' || {_KNOWN}) END AS info_hash, CASE WHEN doc_id % 7 <> 3 THEN sha1('d' || {_CUSTOM} || {_KNOWN}) END AS original_info_hash,
+           doc_id % 7 = 3 AS bad, CASE WHEN doc_id % 7 <> 3 THEN 'udp://t,udp://u,' || coalesce(source, '') END AS trackers
+    FROM documents""")
+def metainfo_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes and trackers of documents with an unknown member of the info value and tiers of trackers; one in seven is cut short."""
+    text = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("string").alias("n"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")))
+    info = F.concat(F.lit("d6:customl"), text(F.col("lang")), F.lit("li-5eee6:lengthi"), F.col("n"), F.lit("e4:name"), text(F.col("source")), F.lit(f"12:piece lengthi16384e6:pieces20:{'p' * 20}e"))
+    whole = F.concat(F.lit("d8:announce7:udp://x13:announce-listll7:udp://t7:udp://uel"), text(F.col("source")), F.lit("ee4:info"), info, F.lit("e"))
+    cut = F.when(F.col("doc_id") % 7 == 3, F.substring(whole, 1, 40)).otherwise(whole)
+    d = docs.select("doc_id", decode_metainfo(cut.cast("binary")).alias("d"))
+    return d.select("doc_id", "d.info_hash", "d.original_info_hash", F.col("d.error").isNotNull().alias("bad"), F.when(F.col("d.error").isNull(), F.array_join(flat_trackers(F.col("d.torrent")), ",")).alias("trackers"))
+
+
 @query("SELECT doc_id, 16384 + doc_id AS size, 'udp://t' AS tracker FROM documents")
 def metainfo_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of decoded documents: total size and trackers."""

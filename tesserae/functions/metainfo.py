@@ -1,22 +1,27 @@
 """Metainfo documents: a bencode codec, info hashes, and their column functions.
 
 The format is a byte grammar that built-in functions can't parse, so decoding
-and encoding run as Arrow UDFs, a batch at a time; all else on decoded documents is
-column expressions.
+and encoding run as Arrow UDFs, a batch at a time. Canonical documents are decoded
+from the marks of a scan of the whole batch; bad ones, and those in another order or
+notation, one by one. All else on decoded documents is column expressions.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType
 
 from ..schemas import DECODED
+from .scan import DICT, END, LIST, NUMBER, TEXT, Marks, scan, spans
 
 PIECE_HASH = 20
 #: Document keys by field, where they differ.
@@ -96,8 +101,9 @@ def _text(value: Any) -> str | None:
     return None if value is None else value.decode("utf-8") if isinstance(value, bytes) else _bad("text")
 
 
-def _number(value: Any) -> int | None:
-    return value if value is None or isinstance(value, int) else _bad("a number")
+def _number(value: Any, bits: int = 64) -> int | None:
+    """A number that fits its column."""
+    return value if value is None or isinstance(value, int) and -1 << bits - 1 <= value < 1 << bits - 1 else _bad(f"a number of {bits} bits")
 
 
 def _texts(value: Any) -> list[str] | None:
@@ -114,7 +120,7 @@ def _info(raw: dict[bytes, Any]) -> dict[str, Any]:
     info = {
         "name": _text(get("name")), "pieces": get("pieces"), "piece_length": _number(get("piece_length")), "md5sum": _text(get("md5sum")), "length": _number(get("length")),
         "files": None if files is None else [{"path": _texts(f.get(b"path")), "length": _number(f.get(b"length")), "md5sum": _text(f.get(b"md5sum"))} for f in files],
-        "private": _number(get("private")), "path": _texts(get("path")), "root_hash": _text(get("root_hash")), "source": _text(get("source")),
+        "private": _number(get("private"), 16), "path": _texts(get("path")), "root_hash": _text(get("root_hash")), "source": _text(get("source")),
     }
     if info["name"] is None or info["piece_length"] is None:
         raise MetainfoError("name and piece length are needed")
@@ -166,9 +172,163 @@ def synthetic(uuid: str) -> dict[str, Any]:
     return dict.fromkeys(DOCUMENT_FIELDS) | {"info": info}
 
 
+class _Batch:
+    """Fields of canonical documents as Arrow arrays, from their marks. What has a wrong type is noted in `odd`."""
+
+    def __init__(self, data: np.ndarray, marks: Marks, taken: np.ndarray) -> None:
+        self.data, self.m, self.odd = data, marks, np.zeros(len(taken), bool)
+        roots = np.flatnonzero((marks.parent < 0) & taken[marks.doc] & (marks.kind != END))
+        self.docs = np.full(len(taken), -1)
+        self.docs[marks.doc[roots]] = roots
+        self.odd[marks.doc[roots[marks.kind[roots] != DICT]]] = True
+
+    def of_kind(self, tokens: np.ndarray, kind: int) -> np.ndarray:
+        """The tokens; those of another kind make their documents odd and count as missing."""
+        wrong = (tokens >= 0) & (self.m.kind[tokens] != kind)
+        self.odd[self.m.doc[tokens[wrong]]] = True
+        return np.where(wrong, -1, tokens)
+
+    def members(self, dicts: np.ndarray, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """For each name the value that each dictionary has (-1: none), and the keys that have no such name."""
+        row = np.full(len(self.m.start) + 1, -1)
+        row[dicts[dicts >= 0]] = np.flatnonzero(dicts >= 0)
+        keys = np.flatnonzero((self.m.parent >= 0) & (self.m.place % 2 == 0) & (row[self.m.parent] >= 0) & (self.m.kind != END))
+        code = pc.index_in(spans(self.data, self.m.low[keys], self.m.high[keys]), pa.array([n.encode() for n in names], pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False)
+        out = {}
+        for i, name in enumerate(names):
+            out[name] = np.full(len(dicts), -1)
+            mine = keys[code == i]
+            out[name][row[self.m.parent[mine]]] = self.m.next[mine]
+        return out, keys[code < 0]
+
+    def bytes(self, tokens: np.ndarray) -> pa.Array:
+        tokens = self.of_kind(tokens, TEXT)
+        return spans(self.data, self.m.low[tokens], self.m.high[tokens], tokens < 0) if len(self.m.low) else pa.nulls(len(tokens), pa.binary())
+
+    def text(self, tokens: np.ndarray) -> pa.Array:
+        raw = self.bytes(tokens)
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            for i, value in enumerate(raw.to_pylist()):
+                try:
+                    (value or b"").decode()
+                except UnicodeDecodeError:
+                    self.odd[self.m.doc[tokens[i]]] = True
+            return pa.nulls(len(tokens), pa.string())
+
+    def number(self, tokens: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
+        tokens = self.of_kind(tokens, NUMBER)
+        value, none = (self.m.low[tokens] if len(self.m.low) else np.zeros(len(tokens), np.int64)), tokens < 0
+        if kind == pa.int16():
+            wide = ~none & (np.abs(value) >= 1 << 15)
+            self.odd[self.m.doc[tokens[wide]]] = True
+            value = np.where(wide, 0, value)
+        return pa.array(value, mask=none).cast(kind)
+
+    def items(self, lists: np.ndarray, make: Callable[[np.ndarray], pa.Array]) -> pa.Array:
+        """A list array: make gives the array of all items."""
+        lists = self.of_kind(lists, LIST)
+        inside = np.zeros(len(self.m.start) + 1, bool)
+        inside[lists[lists >= 0]] = True
+        tokens = np.flatnonzero((self.m.parent >= 0) & inside[self.m.parent] & (self.m.kind != END))
+        size = np.where(lists >= 0, self.m.children[lists], 0) if len(self.m.start) else np.zeros(len(lists), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), make(tokens), mask=pa.array(lists < 0))
+
+    def texts(self, lists: np.ndarray) -> pa.Array:
+        return self.items(lists, self.text)
+
+    def pairs(self, lists: np.ndarray) -> pa.Array:
+        """Lists of a text and a number, as structs."""
+        lists = self.of_kind(lists, LIST)
+        self.odd[self.m.doc[lists[(lists >= 0) & (self.m.children[lists] != 2)]]] = True
+        first = np.full(len(self.m.start) + 1, -1)
+        heads = np.flatnonzero((self.m.parent >= 0) & (self.m.place == 0) & (self.m.kind != END))
+        first[self.m.parent[heads]] = heads
+        ip = np.where(lists >= 0, first[lists], -1)
+        return pa.StructArray.from_arrays([self.text(ip), self.number(np.where(ip >= 0, self.m.next[ip], -1))], ["ip", "port"])
+
+    def files(self, dicts: np.ndarray) -> pa.Array:
+        fields, unknown = self.members(self.of_kind(dicts, DICT), ("path", "length", "md5sum"))
+        self.unknown.append(unknown)
+        return pa.StructArray.from_arrays([self.texts(fields["path"]), self.number(fields["length"]), self.text(fields["md5sum"])], ["path", "length", "md5sum"])
+
+    def decoded(self) -> pa.Array:
+        """DECODED of every document; only those that are taken and not odd count."""
+        self.unknown: list[np.ndarray] = []
+        f, _ = self.members(self.docs, (*(DOCUMENT_KEYS.get(x, x) for x in DOCUMENT_FIELDS), "info"))
+        infos = self.of_kind(f["info"], DICT)
+        g, unknown = self.members(infos, tuple(INFO_KEYS.get(x, x) for x in INFO_FIELDS))
+        self.unknown.append(unknown)
+        needed = (self.docs >= 0) & ((infos < 0) | (g["name"] < 0) | (g["piece length"] < 0))
+        self.odd |= needed
+        pieces = g["pieces"]
+        size = self.m.high[pieces] - self.m.low[pieces] if len(self.m.low) else np.zeros(len(pieces), np.int64)
+        self.odd |= (pieces >= 0) & (size % PIECE_HASH != 0)
+        torrent = to_arrow_type(DECODED).field("torrent").type
+        lone = pa.StructArray.from_arrays([
+            self.text(g["name"]), self.bytes(pieces), self.number(g["piece length"]), self.text(g["md5sum"]), self.number(g["length"]), self.items(g["files"], self.files),
+            self.number(g["private"], pa.int16()), self.texts(g["path"]), self.text(g["root hash"]), self.text(g["source"]),
+        ], INFO_FIELDS).cast(torrent.field("info").type)
+        whole = pa.StructArray.from_arrays([
+            self.text(f["announce"]), self.items(f["nodes"], self.pairs), self.text(f["encoding"]), self.texts(f["httpseeds"]), self.items(f["announce-list"], self.texts),
+            self.number(f["creation date"]), self.text(f["comment"]), self.text(f["created by"]), lone,
+        ], [*DOCUMENT_FIELDS, "info"]).cast(torrent)
+        known, original = self.hashes(infos)
+        return pa.StructArray.from_arrays([pa.nulls(len(self.docs), pa.string()), known, original, whole], fields=list(to_arrow_type(DECODED)))
+
+    def hashes(self, infos: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Of the span of each info value: without its unknown members, and whole. Canonical bytes stay so when members are left out."""
+        raw, cuts = memoryview(self.data), {}
+        for key in np.sort(np.concatenate(self.unknown)).tolist():
+            cuts.setdefault(int(self.m.doc[key]), []).append((int(self.m.start[key]), int(self.m.end[self.m.next[key]])))
+        known, original = [], []
+        for doc, token in enumerate(infos.tolist()):
+            if token < 0:
+                known.append(None)
+                original.append(None)
+                continue
+            at, end = int(self.m.start[token]), int(self.m.end[token])
+            original.append(hashlib.sha1(raw[at:end]).hexdigest())
+            if doc in cuts:
+                state = hashlib.sha1()
+                for low, high in cuts[doc]:
+                    state.update(raw[at:low])
+                    at = high
+                state.update(raw[at:end])
+            known.append(state.hexdigest() if doc in cuts else original[-1])
+        return pa.array(known, pa.string()), pa.array(original, pa.string())
+
+
+def decode_all(data: pa.Array) -> pa.Array:
+    """DECODED of each document: the scan's for canonical ones of the right types, decode()'s for all others."""
+    if isinstance(data, pa.ChunkedArray):
+        data = data.combine_chunks()
+    data = data.cast(pa.binary()).fill_null(b"")
+    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) if len(data) else np.zeros(1, np.int64)
+    buffer = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8)
+    marks, taken = scan(buffer, offsets - offsets[0])
+    fast = None
+    while fast is None and taken.any():
+        batch = _Batch(buffer, marks, taken)
+        fast = batch.decoded()
+        if batch.odd.any():
+            taken, fast = taken & ~batch.odd, None
+    kind = to_arrow_type(DECODED)
+    slow = np.flatnonzero(~taken)
+    rest = pa.array([decode(data[i].as_py()) for i in slow.tolist()], kind)
+    if fast is None:
+        return rest
+    if not len(slow):
+        return fast
+    where = np.arange(len(taken))
+    where[slow] = len(taken) + np.arange(len(slow))
+    return pa.concat_arrays([fast, rest]).take(pa.array(where))
+
+
 @F.arrow_udf(DECODED)
 def decode_metainfo(data: pa.Array) -> pa.Array:
-    return pa.array([decode(x or b"") for x in data.to_pylist()], to_arrow_type(DECODED))
+    return decode_all(data)
 
 
 @F.arrow_udf(BinaryType())

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,55 @@ def test_scalars(spark):
     assert row.p and not row.q
     private = announced(F.col("t"), "udp://mine")
     assert private is not None
+
+
+def awkward_document(rng):
+    """Bytes of a document with known, unknown, nested and wrong members, which may be cut, altered or not canonical."""
+    text = lambda: rng.choice(["udp://t", "é漢", "", "x" * 50])
+    info = {"name": text(), "piece length": 16384, "pieces": b"p" * 20 * rng.randrange(3)}
+    if rng.random() < 0.5:
+        info["length"] = rng.randrange(10**9)
+    else:
+        more = [{}, {"crc32": text(), "zz": [1, [2]]}, {"md5sum": "m"}]
+        info["files"] = [{"path": [text() for _ in range(rng.randrange(3))], "length": rng.randrange(99)} | rng.choice(more) for _ in range(rng.randrange(4))]
+    for key, value in (("private", rng.choice([0, 1, -5, 40000])), ("source", "s"), ("custom", random_value(rng)), ("root hash", "r"), ("path", ["a", "b"]), ("md5sum", rng.choice(["m", 5])), ("length", 1 << 70), ("aaa", 1)):
+        if rng.random() < 0.15:
+            info[key] = value
+    out = {"info": info if rng.random() > 0.03 else rng.choice([5, [], {}])}
+    for key, value in (("announce", text()), ("announce-list", [[text()], [], [text(), text()]]), ("nodes", rng.choice([[["1.2.3.4", 80], ["h", 1]], [["x"]], []])), ("httpseeds", [text()]), ("comment", rng.choice([text(), b"\xff\xfe"])), ("creation date", 5), ("created by", text()), ("unknown", random_value(rng)), ("announce", 7)):
+        if rng.random() < 0.2:
+            out[key] = value
+    data, kind = M.bencode(out), rng.randrange(24)
+    at = rng.randrange(len(data))
+    return {
+        0: data[:at], 1: data[:at] + rng.randbytes(1) + data[at + 1 :], 2: data + b"x", 3: data.replace(b"i16384e", b"i016384e"), 4: b"d4:infod6:lengthi5e4:name1:x12:piece lengthi1ee8:announce1:ue",
+        5: b"l" * 40 + b"e" * 40, 6: rng.choice([b"", b"e", b"de", b"i5e", b"3:abc", b"d4:info"]), 7: data.replace(b"d", b"d1:a1:b1:a1:c", 1),
+    }.get(kind, data)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scanned_batches_equal_documents_read_one_by_one(seed):
+    rng = random.Random(seed)
+    docs = [awkward_document(rng) for _ in range(300)] + [None]
+    got = M.decode_all(pa.array([b"sliced off", *docs], pa.binary()).slice(1))
+    got.validate(full=True)
+    want = [M.decode(x or b"") for x in docs]
+    assert got.to_pylist() == pa.array(want, got.type).to_pylist()
+    assert 50 < sum(w["error"] is None for w in want) < 290
+    assert M.decode_all(pa.array([], pa.binary())).to_pylist() == []
+
+
+def test_a_long_document_does_not_hold_up_its_batch(monkeypatch):
+    files = [{"path": ["a"], "length": i} for i in range(3000)]
+    docs = [M.bencode(doc(length=None, files=files))] + [M.bencode(doc(length=i)) for i in range(100)]
+    slow = []
+    real = M.decode
+    monkeypatch.setattr(M, "decode", lambda x: slow.append(x) or real(x))
+    got = M.decode_all(pa.array(docs, pa.binary())).to_pylist()
+    assert len(slow) == 1 and len(got[0]["torrent"]["info"]["files"]) == 3000 and [g["torrent"]["info"]["length"] for g in got[1:]] == list(range(100))
+
+
+def test_canonical_documents_need_no_reader(monkeypatch):
+    monkeypatch.setattr(M, "decode", None)
+    got = M.decode_all(pa.array([M.bencode(doc(custom=[["x"], 1])), M.bencode(doc())], pa.binary())).to_pylist()
+    assert got[0]["info_hash"] == got[1]["info_hash"] == got[1]["original_info_hash"] != got[0]["original_info_hash"]
