@@ -27,6 +27,7 @@ from .operators.sums import KeptSums, applied, signed
 from .plans.listing import Catalogue, ListingRequest, Sorting, listing, specify, total
 from .plans.search import TitleIndex
 from .schemas import TABLES, empty
+from .sources.migrations import Ledger, Step, connect_migrated
 from .sources.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -860,3 +861,29 @@ def upgraded_torrents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backfill.upgrade_torrents(old, customer, documents)
     both = out["torrents"].join(out["torrent_files"], "torrent_id").join(out["announce_urls"], "torrent_id").join(out["torrent_info"], "torrent_id")
     return both.select("torrent_id", "uploader_id", "info_hash", "size", "name", "path", "length", "tracker_url", "title", "date_uploaded")
+
+
+# Migrations
+
+_STEPS = (
+    Step("trimmed", {"torrents": "SELECT o_orderkey AS torrent_id, o_custkey AS uploader_id, lower(trim(o_orderpriority)) AS category, o_totalprice AS size FROM {orders}"}),
+    Step("categories", {
+        "categories": "SELECT DISTINCT category AS name FROM {torrents}",
+        "torrents": "SELECT torrent_id, uploader_id, category, CAST(floor(size) AS BIGINT) AS size, false AS hidden FROM {torrents}",
+    }),
+    Step("uploads", {
+        "uploads": "SELECT uploader_id, c.name AS category, count(t.torrent_id) AS n, coalesce(sum(t.size), 0) AS size FROM {categories} c JOIN {torrents} t ON t.category = c.name GROUP BY uploader_id, c.name",
+        "categories": None,
+    }),
+)
+
+
+@query("""
+    SELECT o_custkey AS uploader_id, lower(trim(o_orderpriority)) AS category, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS size
+    FROM orders GROUP BY 1, 2""")
+def migrated_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after three steps, the last two in a later run that finds the first in the ledger."""
+    url = new_path(spark, "migrated")
+    read(spark, sf_dir, "orders").write.parquet(f"{url}/orders.parquet")
+    Ledger(spark, url).migrate(_STEPS[:1])
+    return connect_migrated(spark, url, _STEPS)("uploads")
