@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .functions import scalar as S
+from .functions import tokens
 from .functions.metainfo import bencode, decode_metainfo, encode_metainfo, flat_trackers
 from .functions.metainfo import total_size as metainfo_size
 from .operators import backfill, lookups, mutations, policy, stateful, stats
@@ -887,3 +888,34 @@ def migrated_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     read(spark, sf_dir, "orders").write.parquet(f"{url}/orders.parquet")
     Ledger(spark, url).migrate(_STEPS[:1])
     return connect_migrated(spark, url, _STEPS)("uploads")
+
+
+# Tokens
+
+_PEPPER = b"token pepper"
+_PADS = ["".join(f"\\x{b ^ pad:02x}" for b in _PEPPER.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+_URL = "rtrim(translate(to_base64({0}), '+/', '-_'), '=')"
+_CLAIMS_SQL = """'{"user":{"user_id":' || c_custkey || ',"username":"' || c_name || '","administrator":' || CASE WHEN c_acctbal < 0 THEN 'true' ELSE 'false' END || '},"exp":' || CAST(1700000000 + 1209600 AS VARCHAR) || '}'"""
+
+
+@query(f"""
+    WITH h AS (SELECT c_custkey, {_URL.format("encode('" + tokens.HEADER + "')")} || '.' || {_URL.format(f"encode({_CLAIMS_SQL})")} AS head FROM customer)
+    SELECT c_custkey, head || '.' || {_URL.format(f"unhex(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(head)))))")} AS token FROM h""")
+def signed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token for every customer."""
+    return read(spark, sf_dir, "customer").select("c_custkey", tokens.sign(_PEPPER, F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal") < 0, F.lit(1_700_000_000)).alias("token"))
+
+
+@query("""
+    SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'valid' WHEN 1 THEN 'valid' WHEN 2 THEN 'expired' ELSE 'invalid' END AS status, CASE WHEN c_custkey % 7 < 2 THEN c_name END AS username,
+           CASE c_custkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS kept
+    FROM customer""")
+def verified_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that are good, near their end, expired, long expired, forged, altered and cut short; good ones are renewed in their last week."""
+    now, made, k = 1_700_000_000, read(spark, sf_dir, "customer"), F.col("c_custkey") % 7
+    past = F.when(k == 1, 700_000).when(k == 2, 1_209_630).when(k == 3, 1_300_000).otherwise(0)
+    sign = lambda secret: tokens.sign(secret, F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal") < 0, now - past)
+    token = F.when(k == 4, sign(b"another")).when(k == 5, F.regexp_replace(sign(_PEPPER), r"\.(.)", ".X$1")).when(k == 6, F.expr("substring(token, 1, length(token) - 2)")).otherwise(F.col("token"))
+    held = made.withColumn("token", sign(_PEPPER)).withColumn("token", token)
+    seen = tokens.verify(_PEPPER, F.col("token"), F.lit(now))
+    return held.select("c_custkey", seen["status"].alias("status"), seen["claims"]["user"]["username"].alias("username"), (tokens.renew(_PEPPER, F.col("token"), F.lit(now)) == F.col("token")).alias("kept"))
