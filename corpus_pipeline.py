@@ -28,57 +28,57 @@ from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.langid import language_of
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.queries import table, tokenizer_file
-from tesserae.llm.sampling import row_id
+from tesserae.llm.sampling import MOST_BYTES, row_id
 from tesserae.llm.storage import drop_tables, write_table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-KEY = "_row_key"
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, written, so that every later read finds the same keys; and the key's name, which docs doesn't have."""
+    key = "_row_key"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    return write_table(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written, so that every later read finds the same keys."""
-    return write_table(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
-
-
-def _by_key(keyed: DataFrame) -> DataFrame:
+def _by_key(keyed: DataFrame, key: str) -> DataFrame:
     """The texts under their rows' keys, for operators that tell documents apart by doc_id."""
-    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+    return keyed.select(F.col(key).alias("doc_id"), "text")
 
 
-def _one_each(keyed: DataFrame, groups: DataFrame, *first: Column) -> DataFrame:
+def _one_each(keyed: DataFrame, key: str, groups: DataFrame, *first: Column) -> DataFrame:
     """One row of each group of keys (doc_id, grp): the least by `first`, then by doc_id."""
-    rank = keyed.select(KEY, F.struct(*first, row_id(), F.col(KEY)).alias("rank"))
-    kept = groups.join(rank, groups["doc_id"] == rank[KEY]).groupBy("grp").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{KEY}").alias(KEY))
-    return keyed.join(kept, KEY, "left_semi").select(*(c for c in keyed.columns if c != KEY))
+    rank = keyed.select(F.col(key).alias("key"), F.struct(*first, row_id(), F.col(key).alias("key")).alias("rank"))
+    kept = groups.join(rank, groups["doc_id"] == rank["key"]).groupBy("grp").agg(F.min("rank").alias("rank")).select(F.col("rank.key").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*(c for c in keyed.columns if c != key))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; without any lang to learn from, those with letters."""
-    if docs.where("lang is not null and text is not null").limit(1).count() == 0:
+    """Documents with a language; without any lang to learn from, those with letters. Only texts of up to MOST_BYTES are learned from."""
+    if docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)).limit(1).count() == 0:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(language_of(docs, F.lit(True))["lang_pred"] != "und")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of equal texts."""
-    keyed = _keyed(docs)
-    groups = exact_dedup(_by_key(keyed)).select("doc_id", F.col("keep_id").alias("grp"))
-    return _one_each(keyed, groups, (-F.char_length(F.coalesce("text", F.lit("")))).alias("n"))
+    keyed, key = _keyed(docs)
+    groups = exact_dedup(_by_key(keyed, key)).select("doc_id", F.col("keep_id").alias("grp"))
+    return _one_each(keyed, key, groups, (-F.char_length(F.coalesce("text", F.lit("")))).alias("n"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near copies."""
-    keyed = _keyed(docs)
-    return _one_each(keyed, jaccard_components(_by_key(keyed)).select("doc_id", F.col("component_id").alias("grp")))
+    keyed, key = _keyed(docs)
+    return _one_each(keyed, key, jaccard_components(_by_key(keyed, key)).select("doc_id", F.col("component_id").alias("grp")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a test item."""
-    keyed = _keyed(docs)
-    hits = decontaminate(_by_key(keyed), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(KEY))
-    return keyed.join(hits, KEY, "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    hits = decontaminate(_by_key(keyed, key), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(key))
+    return keyed.join(hits, key, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,30 +86,37 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, tokenizer_file())
 
 
+#: Tables that the last stage but the final one wrote for itself, of the run that goes on.
 _OWN: set[str] = set()
 
 
-def _stage(function: Stage) -> Stage:
-    """The stage; it first drops what earlier stages wrote for themselves, whose results stand as docs by now."""
+def _stage(function: Stage, first: bool = False, last: bool = False) -> Stage:
+    """The stage; it first drops what the stage before it wrote for itself, whose result stands as docs by now.
+
+    A first stage follows no other, and drops nothing. A last stage's result is
+    the caller's, who may read it at any time: its tables stay until drop_tables().
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, [path for path in written() if path in _OWN])
+        if not first:
+            drop_tables(spark, [path for path in written() if path in _OWN])
         _OWN.clear()
         before = set(written())
         try:
             return function(spark, docs, sf_dir)
         finally:
-            _OWN.update(path for path in written() if path not in before)
+            if not last:
+                _OWN.update(path for path in written() if path not in before)
 
     return run_stage
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", _stage(language)),
+    ("language_id", _stage(language, first=True)),
     ("exact_dedup", _stage(exact)),
     ("jaccard_dedup", _stage(near)),
     ("decontamination", _stage(benchmark)),
-    ("packing", _stage(packing)),
+    ("packing", _stage(packing, last=True)),
 ]
 
 #: Language identification and packing have no SQL form; tests hold the pipeline against brute force.
