@@ -71,9 +71,32 @@ def test_null_ids_and_repeated_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[3])
 
 
+def test_long_labelled_texts_free_names_and_several_runs(spark, tmp_path):
+    import random
+
+    from test_operators import prose
+
+    rng = random.Random(8)
+    texts = [prose(rng, 24000) for _ in range(3)] + ["123 456"]
+    assert min(len(t.encode()) for t in texts[:3]) > 1 << 16
+    rows = [(i, t, "en", 100 + i, i) for i, t in enumerate(texts)] + [(9, texts[0], "en", 109, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row_key long, _ROW_KEY_ long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = write_table(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+        ids = [0, 1, 2, 9] if name == "language_id" else [0, 1, 2]  # no text is dropped for its length
+        assert {r.doc_id: (r["_row_key"], r["_ROW_KEY_"]) for r in now.collect()} == {i: (100 + i, i) for i in ids}
+    one, two = (corpus_pipeline.run(spark, str(tmp_path)) for _ in range(2))
+    assert sorted(map(tuple, one.select("doc_id", "piece", "length").collect())) == sorted(map(tuple, two.select("doc_id", "piece", "length").collect()))
+    assert one.count() > 3
+
+
 def test_entry_adds_the_subpackage():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)

@@ -66,7 +66,6 @@ def test_prefix_trie(spark, monkeypatch):
     rows = conversations(1)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = brute(rows)
-    assert found(df) == want
     monkeypatch.setattr(T, "BASES", (1, *T.BASES[:1]))  # base 1 can't tell "p q" from "q p": verified, and done again
     monkeypatch.setattr(T, "SEGMENT", 3)
     assert found(df) == want
