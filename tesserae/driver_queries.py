@@ -23,13 +23,14 @@ from .functions import tokens
 from .functions.metainfo import bencode, decode_metainfo, encode_metainfo, flat_trackers
 from .functions.metainfo import total_size as metainfo_size
 from .operators import backfill, lookups, mutations, policy, stateful, stats
+from .operators.freshness import StaleQueue
 from .operators.ingest import classify, ingest
 from .operators.sums import KeptSums, applied, signed
 from .plans.listing import Catalogue, ListingRequest, Sorting, listing, specify, total
 from .plans.search import TitleIndex
 from .schemas import TABLES, empty
 from .sources.migrations import Ledger, Step, connect_migrated
-from .sources.storage import new_path
+from .sources.storage import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -919,3 +920,21 @@ def verified_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = made.withColumn("token", sign(_PEPPER)).withColumn("token", token)
     seen = tokens.verify(_PEPPER, F.col("token"), F.lit(now))
     return held.select("c_custkey", seen["status"].alias("status"), seen["claims"]["user"]["username"].alias("username"), (tokens.renew(_PEPPER, F.col("token"), F.lit(now)) == F.col("token")).alias("kept"))
+
+
+# Freshness
+
+
+@query("""
+    SELECT o_orderkey, CAST((row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 > 0 THEN o_orderdate END NULLS FIRST, o_orderkey) - 1) // 250 AS INTEGER) AS tick
+    FROM orders QUALIFY tick < 3""")
+def stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest orders of three ticks, each of which refreshes what it finds; some were never refreshed."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("torrent_id"), F.col("o_orderdate").alias("updated_at"))
+    queue = StaleQueue.build(orders, orders.where("torrent_id % 50 > 0"), new_path(spark, "queue"))
+    now, out = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"), []
+    for tick in range(3):
+        batch = stored(queue.oldest(now, 250), "batch")
+        queue.refreshed(batch, now)
+        out.append(batch.select(F.col("key").alias("o_orderkey"), F.lit(tick).alias("tick")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
