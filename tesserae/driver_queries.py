@@ -9,6 +9,7 @@ left join must miss.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
@@ -635,7 +636,7 @@ def details_live_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bytewise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page by the byte order of a text key."""
     key = F.hex(F.col("o_orderkey").cast("string"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", key.alias("key")).orderBy("key").limit(30)
+    return read(spark, sf_dir, "orders").select("o_orderkey", key.alias("key")).orderBy(S.info_hash_order(F.col("key"))).limit(30)
 
 
 @query("SELECT c_custkey, coalesce(nullif(trim(c_mktsegment), 'BUILDING'), 'none') AS segment FROM customer")
@@ -938,3 +939,20 @@ def stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         queue.refreshed(batch, now)
         out.append(batch.select(F.col("key").alias("o_orderkey"), F.lit(tick).alias("tick")))
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_KINDS = ("image/png", "image/svg+xml", "IMAGE/PNG", "image/jpeg", "", "image/gif")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'image/png' ELSE 'image/jpeg' END AS content_type FROM events WHERE event_id % 6 IN (0, 3)")
+def cacheable_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose content type may be cached; null and other ones may not."""
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 6).cast("int"))
+    return stateful.accepted_types(read(spark, sf_dir, "events").select("event_id", F.nullif(kind, F.lit("")).alias("content_type")))
+
+
+@query("SELECT count(*) AS n, true AS one, true AS fresh FROM events")
+def query_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a query has the same present second, which is that of the clock."""
+    now = read(spark, sf_dir, "events").select(S.now_seconds().alias("now"))
+    return now.agg(F.count("*").alias("n"), (F.min("now") == F.max("now")).alias("one"), (F.abs(F.max("now") - F.lit(int(time.time()))) < 3600).alias("fresh"))
