@@ -32,6 +32,8 @@ from .plans.search import TitleIndex
 from .schemas import TABLES, empty
 from .sources.migrations import Ledger, Step, connect_migrated
 from .sources.storage import new_path, stored
+from .streaming import timers
+from .streaming.timers import run_available, timer_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -480,6 +482,47 @@ def quota_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.quota_fold(uses, 200, 86_400)
 
 
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream from a session whose streams can have timers. A table's files have no order in time, so all are one batch."""
+    schema = read(spark, sf_dir, "events").schema
+    # A stream reads a table of a single file only by a pattern, as a path must be a folder there.
+    return timer_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1 << 30).parquet(f"{sf_dir}/{{events}}.parquet")
+
+
+@query(_QUOTA_STEPS)
+def quota_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas of a stream of uses, up to the watermark, which is the last use here."""
+    uses = _events_stream(spark, sf_dir).select("user_id", F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("use_id"), F.round("value").cast("long").alias("size"))
+    return run_available(timers.quota_stream(uses, 200, 86_400, "0 seconds"), new_path(spark, "quotas"))
+
+
+_CHANGES = """
+    WITH b AS (SELECT DISTINCT user_id AS job, CAST(floor(epoch(ts)) AS BIGINT) AS "at" FROM events),
+    u AS (SELECT max("at") AS until FROM b),
+    n AS (SELECT job, "at", until, lag("at") OVER w AS before, lead("at") OVER w AS after FROM b, u WINDOW w AS (PARTITION BY job ORDER BY "at"))
+    SELECT job, "at", true AS alive FROM n WHERE before IS NULL OR "at" - before > 3611
+    UNION ALL
+    SELECT job, "at" + 3611, false FROM n WHERE coalesce(after, until + 1) - "at" > 3611"""
+
+
+def _beats(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("job"), F.unix_timestamp("ts").alias("at"))
+
+
+@query(_CHANGES)
+def liveness_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each job is found dead and alive again, up to the last beat of any."""
+    beats = _beats(read(spark, sf_dir, "events"))
+    until = beats.agg(F.max("at")).first()[0]
+    return stats.liveness_changes(beats, F.lit(until).cast("long"), 3600)
+
+
+@query(_CHANGES)
+def liveness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of beats with timers."""
+    return run_available(timers.liveness_stream(_beats(_events_stream(spark, sf_dir)), 3600, delay="0 seconds"), new_path(spark, "liveness"))
+
+
 @query("""
     SELECT cache, "at", size FROM (
         SELECT user_id % 16 AS cache, event_id AS "at", CAST(round(value) AS BIGINT) AS size,

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,21 +95,21 @@ class CachedReads:
 
 
 def quota_fold(uses: DataFrame, most: int, period: int) -> DataFrame:
-    """uses(user_id, at seconds, use_id, size) with `allowed` and the user's `used` bytes after it."""
+    """uses(user_id, at seconds, use_id, size) with `allowed` and the user's `used` bytes after it. Uses without a user share one quota."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, quota = None, Quota(most, period)
-        for frame in frames:
+        for batch in batches:
             allowed, used = [], []
-            for who, at, size in zip(frame["user_id"], frame["at"], frame["size"]):
+            for who, at, size in zip(*(batch.column(c).to_pylist() for c in ("user_id", "at", "size"))):
                 if who != user:
                     user, quota = who, Quota(most, period)
                 allowed.append(quota.take(at, size))
                 used.append(quota.used)
-            yield frame.assign(allowed=allowed, used=used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(used, pa.int64())], [*batch.schema.names, "allowed", "used"])
 
     rows = uses.select("user_id", "at", "use_id", "size").repartition("user_id").sortWithinPartitions("user_id", "at", "use_id")
-    return rows.mapInPandas(run, "user_id long, at long, use_id long, size long, allowed boolean, used long")
+    return rows.mapInArrow(run, "user_id long, at long, use_id long, size long, allowed boolean, used long")
 
 
 def cache_fold(puts: DataFrame, capacity: int, entry_limit: int) -> DataFrame:

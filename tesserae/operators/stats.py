@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import service_stats
@@ -55,3 +55,19 @@ def refresh_each(stats: DataFrame, entities: DataFrame, fetch: Callable[[list[st
 def is_alive(last_seen: Column, now: Column, interval: int, grace: int = 10) -> Column:
     """Whether a periodic task was seen within its interval and the grace seconds."""
     return F.unix_timestamp(now) - F.unix_timestamp(last_seen) <= interval + grace
+
+
+def liveness_changes(beats: DataFrame, until: Column, interval: int, grace: int = 10) -> DataFrame:
+    """Changes (job, at, alive) up to `until` (seconds) from beats(job, at seconds); the batch form of `liveness_stream`.
+
+    A job is alive from a beat on, and dead from the first second that is over
+    interval and grace later, unless it beats by then. Repeated beats count
+    once; those without a time don't.
+    """
+    limit = interval + grace
+    w = Window.partitionBy("job").orderBy("at")
+    held = beats.where(F.col("at").isNotNull() & (F.col("at") <= until)).select(F.col("job").cast("long").alias("job"), F.col("at").cast("long").alias("at")).distinct()
+    near = held.select("job", "at", F.lag("at").over(w).alias("before"), F.lead("at").over(w).alias("after"))
+    start = F.when(F.col("before").isNull() | (F.col("at") > F.col("before") + limit + 1), F.struct("at", F.lit(True).alias("alive")))
+    end = F.when((F.coalesce("after", until + 1) > F.col("at") + limit + 1), F.struct((F.col("at") + limit + 1).alias("at"), F.lit(False).alias("alive")))
+    return near.select("job", F.explode(F.array_compact(F.array(start, end))).alias("c")).select("job", "c.at", "c.alive")

@@ -1,15 +1,11 @@
-"""Streaming forms of the periodic refresh and of quotas."""
+"""The periodic refresh as a stream of ticks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.stateful import Quota
 
 
 def start_refresh(spark: SparkSession, tick: Callable[[], None], seconds: int = 2, checkpoint: str | None = None) -> StreamingQuery:
@@ -17,23 +13,3 @@ def start_refresh(spark: SparkSession, tick: Callable[[], None], seconds: int =
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     writer = ticks.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda _, __: tick())
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-
-
-OUTPUT = "user_id long, at long, use_id long, size long, allowed boolean, used long"
-STATE = "used long, start long"
-
-
-def quota_stream(uses: DataFrame, most: int, period: int) -> DataFrame:
-    """A stream of uses(user_id, at, use_id, size) with `allowed` and `used`, as the batch fold gives when each batch is later than the ones before."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        quota = Quota(most, period, *state.get) if state.exists else Quota(most, period)
-        frame = pd.concat(list(frames)).sort_values(["at", "use_id"])
-        allowed, used = [], []
-        for at, size in zip(frame["at"], frame["size"]):
-            allowed.append(quota.take(int(at), int(size)))
-            used.append(quota.used)
-        state.update((quota.used, quota.start))
-        yield frame[["user_id", "at", "use_id", "size"]].assign(allowed=allowed, used=used)
-
-    return uses.groupBy("user_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -178,18 +178,6 @@ def test_folds_match_models(spark):
     assert stateful.cache_fold(puts, 50, 15).where("stored").count() == puts.where("size <= 15").count()
 
 
-def test_quota_stream_equals_batch(spark, tmp_path):
-    from tesserae.streaming.refresh import quota_stream
-
-    uses = spark.createDataFrame([(1, t, t, 40) for t in range(6)] + [(2, 3, 9, 10)], "user_id long, at long, use_id long, size long").coalesce(1)
-    uses.write.parquet(f"{tmp_path}/in")
-    stream = quota_stream(spark.readStream.schema(uses.schema).parquet(f"{tmp_path}/in"), 100, 50)
-    q = stream.writeStream.format("memory").queryName("quotas").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert rows(spark.table("quotas")) == rows(stateful.quota_fold(uses, 100, 50))
-
-
 def test_refresh_ticks(spark):
     from tesserae.streaming.refresh import start_refresh
 
