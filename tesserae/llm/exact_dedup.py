@@ -37,12 +37,13 @@ FOUND_SCHEMA = "doc_id long, digest binary, n_chars long, member boolean, keep_i
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text without white space, code points of the text."""
+    """doc_id, digest of the text without white space, code points of the text, and a number that tells rows apart once this is written."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         row_id(),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("digest"),
         F.char_length(text).cast("long").alias("n_chars"),
+        F.monotonically_increasing_id().alias("salt"),
     )
 
 
@@ -131,13 +132,14 @@ def lookup(marked: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
     """Each row of `marked` with member, keep_id and group_size from the index.
 
     A bucket with many rows (a digest that much of the table shares) is split
-    over several copies of its index row, as many as its rows ask for.
+    over several copies of its index row, as many as its rows ask for. Rows are
+    dealt by their written salt, so a task that runs again deals them alike.
     """
     bucket = F.pmod(F.xxhash64("digest"), F.lit(n_buckets)).alias("bucket")
-    rows = marked.select(bucket, "doc_id", "digest", "n_chars")
+    rows = marked.select(bucket, "doc_id", "digest", "n_chars", "salt")
     hot = rows.groupBy("bucket").count().where(F.col("count") > HOT_ROWS).select("bucket", F.ceil(F.col("count") / BUCKET_KEYS).cast("int").alias("copies"))
     copies = F.coalesce("copies", F.lit(1))
-    left = rows.join(hot, "bucket", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), copies).cast("int")).drop("copies")
+    left = rows.join(hot, "bucket", "left").withColumn("copy", F.pmod(F.xxhash64("salt"), copies).cast("int")).drop("copies", "salt")
     right = index.join(hot, "bucket", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
     return left.groupBy("bucket", "copy").cogroup(right.groupBy("bucket", "copy")).applyInArrow(_lookup, FOUND_SCHEMA)
 
