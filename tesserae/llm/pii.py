@@ -4,10 +4,12 @@ Entities (e-mail addresses, phone numbers, IP addresses, payment cards, US
 social security numbers, IBANs, secrets and long hexadecimal keys, names after a
 title) are found by one pattern, in one scan. A name that a document has after a
 title is an entity wherever the document has it again, with another title or
-none. Each distinct entity of the table gets one surrogate made from a keyed
+none, with a capital first letter or in capitals, and in small letters beside
+another of its names; a small word alone ("may") is none. Each distinct entity of the table gets one surrogate made from a keyed
 hash, of its own type: the same length, letters, digits, script and separators,
-a valid check digit where it had one, valid octets, and for names syllables of
-the same script. Mentions that differ only in separators or case get matching
+a valid check digit (cards) or check digits (IBANs) where it had them, the same
+country code (phones, IBANs), valid octets, and for names syllables of the same
+script. Mentions that differ only in separators or case get matching
 surrogates, and a name has one surrogate whatever its title and whether it is
 given or family name; its ending fits the gender that the titles before it as a
 given name tell, if they agree. So coreference stays.
@@ -54,6 +56,8 @@ PATTERNS: dict[str, str] = {
     "iban": r"([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "name": rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\s({NAME}(?: {NAME}){{0,2}})",
 }
+#: Country codes of phone numbers of one and two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 APART = r"(?<![\p{L}\p{N}])"
 ANY = APART + "(?:" + "|".join(PATTERNS.values()) + ")"
 
@@ -87,8 +91,8 @@ def _alike(norm: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(norm, ""), one), "")
 
 
-def _digits(norm: Column, h: Column, kept: int) -> Column:
-    """The first `kept` digits of norm, then as many others as norm has."""
+def _digits(norm: Column, h: Column, kept: Column | int) -> Column:
+    """The first `kept` characters of norm, then as many digits as norm has."""
     rest = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: F.when(i <= kept, F.substring(norm, i, F.lit(1))).otherwise(_pick("0123456789", h, i)))
     return F.array_join(rest, "")
 
@@ -107,6 +111,26 @@ def _card(norm: Column, h: Column) -> Column:
     return F.when(_luhn(norm) == 0, F.concat(body, check)).otherwise(made)
 
 
+def _phone(norm: Column, h: Column) -> Column:
+    """Keeps the country code after a plus, else the first digit."""
+    return _digits(norm, h, F.greatest(F.length(F.regexp_extract(norm, COUNTRY, 0)), F.lit(1)))
+
+
+def _mod97(iban: Column) -> Column:
+    """The number that an IBAN's letters and digits make, its first four last, modulo 97; 1 for a valid one."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    each = F.transform(F.split(turned, ""), lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(each, F.lit(0), lambda a, x: F.pmod(a * F.when(x > 9, 100).otherwise(10) + x, F.lit(97)))
+
+
+def _iban(norm: Column, h: Column, spare: Column) -> Column:
+    """Keeps the country; has valid check digits if norm does."""
+    made = F.concat(F.substring(norm, 1, 2), _alike(F.substring(norm, F.lit(3), F.length(norm)), h), spare)
+    country, body = F.substring(made, 1, 2), F.substring(made, F.lit(5), F.length(made))
+    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+    return F.when(_mod97(norm) == 1, F.concat(country, check, body)).otherwise(made)
+
+
 def _ip(h: Column) -> Column:
     first = F.pmod(F.xxhash64(h, F.lit(1)), F.lit(222)) + 1
     rest = [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(254)) + 1 for i in (2, 3, 4)]
@@ -136,16 +160,16 @@ def surrogate(kind: Column, norm: Column, sex: Column, attempt: Column, h: Colum
     email = F.concat(spare, _alike(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), h), top)
     hexes = F.array_join(F.transform(F.split(norm, ""), lambda c, i: _pick("0123456789abcdef", h, i)), "")
     return (
-        F.when(kind == "email", email).when(kind == "ip", _ip(h)).when(kind == "name", _name(norm, sex, attempt, h)).otherwise(F.concat(
+        F.when(kind == "email", email).when(kind == "ip", _ip(h)).when(kind == "name", _name(norm, sex, attempt, h))
+        .when(kind == "iban", _iban(norm, h, spare)).otherwise(F.concat(
             F.when(kind == "card", _card(norm, h)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(_digits(norm, h, 1), 2, 8)))
-            .when(kind == "phone", _digits(norm, h, 1)).when(kind == "hex", hexes).when(kind == "iban", F.concat(F.substring(norm, 1, 2), _alike(F.substring(norm, F.lit(3), F.length(norm)), h)))
-            .otherwise(_alike(norm, h)), spare))
+            .when(kind == "phone", _phone(norm, h)).when(kind == "hex", hexes).otherwise(_alike(norm, h)), spare))
     )
 
 
 def _norm(kind: Column, raw: Column) -> Column:
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, r"\D", "")).when(kind.isin("email", "hex", "name"), F.lower(raw))
+        F.when(kind == "phone", F.regexp_replace(raw, "[^0-9+]", "")).when(kind.isin("card", "ssn"), F.regexp_replace(raw, r"\D", "")).when(kind.isin("email", "hex", "name"), F.lower(raw))
         .when(kind == "iban", F.regexp_replace(raw, " ", "")).otherwise(raw)
     )
 
@@ -180,7 +204,8 @@ def parts(entity: Column) -> Column:
 def _again(gap: Column, names: Column) -> Column:
     """Parts of a text between matches: names of the document that come again are entities, the rest stays."""
     still = F.lit(None).cast("string")
-    pattern = F.concat(F.lit(APART + "(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    one = F.concat(F.lit("(?iu:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    pattern = F.concat(F.lit(APART + r"(?:(?=\p{Lu})"), one, F.lit("|"), one, F.lit("(?= "), one, F.lit(")|(?<=" + APART), one, F.lit(" )"), one, F.lit(")"))
     kept, hits = F.split(gap, pattern, -1), F.regexp_extract_all(gap, pattern, F.lit(0))
     each = F.flatten(F.zip_with(kept, hits, lambda k, x: F.array(_part(still, F.coalesce(k, F.lit(""))), _part(F.when(x.isNotNull(), F.lit("name")), F.coalesce(x, F.lit(""))))))
     return F.when(F.size(names) > 0, each).otherwise(F.array(_part(still, gap)))
@@ -196,8 +221,9 @@ def _refill(raw: Column, made: Column) -> Column:
 def _rendered(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate as this mention writes it."""
     spaced = F.array_join(F.regexp_extract_all(made, F.lit(".{1,4}"), F.lit(0)), " ")
+    small = (kind == "name") & (raw == F.lower(raw))
     capital = (raw == F.upper(raw)) & (kind.isin("email", "hex") | (kind == "name") & (F.length(raw) > 1))
-    return F.when(kind.isin("phone", "card", "ssn"), _refill(raw, made)).when(capital, F.upper(made)).when((kind == "iban") & raw.contains(" "), spaced).otherwise(made)
+    return F.when(kind.isin("phone", "card", "ssn"), _refill(raw, F.regexp_replace(made, r"\D", ""))).when(small, F.lower(made)).when(capital, F.upper(made)).when((kind == "iban") & raw.contains(" "), spaced).otherwise(made)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

@@ -751,12 +751,46 @@ def test_pii_names_come_again_and_keep_their_surrogate(spark):
     text = {r.doc_id: r.text for r in replace_pii(docs, "k").collect()}
     john, smith = text[1].split()[1:3]
     smith = smith.rstrip(".")
-    assert text[1] == f"Mr {john} {smith} wrote. {john} {smith} signed; Dr {john} {smith} left, SMITH too. Johnson stays."
+    assert text[1] == f"Mr {john} {smith} wrote. {john} {smith} signed; Dr {john} {smith} left, {smith.upper()} too. Johnson stays."
     assert john[-1] in "nrs" and text[2].split()[2] == smith and text[2].endswith(f"met John and {smith}.") and text[3] == data[2][1] and text[-1] == f"Dr {john}"
     assert text[2].split()[1].endswith(("na", "la", "ra")) and "-" in text[2].split()[5] and "'" in text[2].split()[6]
     assert not any(x in text[4] for x in ("Σωκρ", "Иван", "Петров")) and text[4].split()[1][0] in "ΒΓΔΘΚΛΜΝΠΡΣΤΦ"
 
 
+def test_pii_names_come_again_in_any_case(spark):
+    data = [(1, "Mrs. ANNA KAREN wrote; Anna Karen signed, anna karen left."), (2, "Mr May may come in May with karen and Karen."), (3, "Sr José Ruiz; JOSÉ, José, josé ruiz-x, joséx")]
+    text = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(data, "doc_id long, text string"), "k").collect()}
+    anna, karen = text[1].split()[1:3]
+    assert anna.isupper() and text[1] == f"Mrs. {anna} {karen} wrote; {anna.capitalize()} {karen.capitalize()} signed, {anna.lower()} {karen.lower()} left."
+    may = text[2].split()[1]
+    assert may != "May" and text[2] == f"Mr {may} may come in {may} with karen and Karen."
+    jose, ruiz = text[3].rstrip(";").split()[1], text[3].split()[2].rstrip(";")
+    assert text[3] == f"Sr {jose} {ruiz}; {jose.upper()}, {jose}, {jose.lower()} {ruiz.lower()}-x, joséx"
+
+
+def test_pii_check_digits_and_countries(spark):
+    def mod97(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606", "GB00 WEST 1234 5698 7654 32"]
+    phones = ["+49 30 1234 5678", "+1 (555) 123-4567", "+358 40 123 4567", "(555) 123-4567", "+7 495 123 4567"]
+    docs = spark.createDataFrame([(i, f"to {x} now") for i, x in enumerate(ibans + phones)], "doc_id long, text string")
+    got = [r.text[3:-4] for r in sorted(replace_pii(docs, "k").collect())]
+    for old, new in zip(ibans, got):
+        plain = new.replace(" ", "")
+        assert new != old and plain[:2] == old[:2] and [c == " " for c in new] == [c == " " for c in old]
+        assert (mod97(plain) == 1) == (mod97(old.replace(" ", "")) == 1) or mod97(old.replace(" ", "")) != 1
+    for old, new, kept in zip(phones, got[len(ibans) :], ("+49 ", "+1 (", "+358 ", "(5", "+7 ")):
+        assert new != old and new.startswith(kept) and [c.isdigit() for c in new] == [c.isdigit() for c in old]
+
+
+def test_pii_extra_columns_with_clashing_names(spark):
+    """Columns named as those of the plan are not read."""
+    docs = spark.createDataFrame([(None, "Mr John Smith", 1, "x", "y", 2), (7, None, 1, "x", "y", 2), (7, "", 1, "x", "y", 2)], "doc_id long, text string, rid int, kind string, names string, pos int")
+    got = {(r.doc_id, r.n_entities): r.text for r in replace_pii(docs, "k").collect() if r.text != ""}
+    assert set(got) == {(-1, 2), (7, 0)} and got[7, 0] is None and "Smith" not in got[-1, 2]
+
+
 def test_pii_of_very_long_repetitions(spark):
     """Texts that a recursive matcher would overflow its stack on."""
     texts = ["Mr A" + "-A" * 500_000, "a@b" + ".b" * 500_000 + ".com", "a@" + "b." * 500_000, "Dr A" + " A" * 300_000, "+1" + " 22" * 300_000, "key=" + "x" * 1_000_000, "1" + "-1" * 300_000]
