@@ -8,8 +8,9 @@ all languages, each at the cost of `PENALTY` times the logarithm of the number o
 words, as long as that pays; the proportions are estimated anew for each set. The
 prediction is the set's most frequent language, its score that proportion.
 
-Languages are learned from about `PER_LANGUAGE` training documents each, chosen
-by a hash, of texts up to `sampling.MOST_BYTES` bytes. A null text or one without
+Languages are learned from about `PER_LANGUAGE` distinct training documents each,
+chosen by a hash, of about `sampling.SAMPLE_BYTES` in all at most; texts over
+`sampling.MOST_BYTES` bytes give pieces from all over them. A null text or one without
 letters is `und` with score 0 and no languages. Repeated rows get equal results,
 an empty table an empty one; ties between languages go by name. A null doc_id
 counts as -1; columns other than doc_id, text and lang are not read. Without
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import GRAM_BITS, grams, padded, row_sums, slices, word_spans
-from .sampling import MOST_BYTES, bounded, row_id
+from .sampling import bounded, excerpt, row_id
 
 PER_LANGUAGE = 1500
 SMOOTHING = 0.5
@@ -110,8 +111,8 @@ def language_of(docs: DataFrame, training: Column, per_language: int = PER_LANGU
 
     training: which rows may be learned from, where their lang is not null.
     """
-    known = docs.where(training & F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)).select("doc_id", "lang", "text")
-    sample = bounded(known, "lang", "doc_id", per_language).select("lang", "text").toArrow()
+    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", excerpt(F.col("text")).alias("text"))
+    sample = bounded(known, "lang", ["doc_id", "text"], per_language, "text").select("lang", "text").toArrow()
     names = sorted(set(sample["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(names)}
     tables = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array([number[x] for x in sample["lang"].to_pylist()], np.int64), len(names)) if names else None

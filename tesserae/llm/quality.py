@@ -4,7 +4,8 @@ A document's features are its words, pairs of neighbouring words and byte 3- and
 4-grams, hashed into one table of learned vectors. Their average goes through a
 softmax over the two labels. Table and softmax are trained together by numpy
 stochastic gradient descent on at most `PER_LABEL` documents a label (a bounded
-sample of the labelled rows, chosen by a hash); their prior is put back to the
+sample of the labelled rows, chosen by a hash; of texts over `sampling.MOST_BYTES`
+bytes, excerpts); their prior is put back to the
 labelled rows' own. To score, each vector is projected on the softmax once, so
 a text costs one look-up a feature, over its whole length.
 

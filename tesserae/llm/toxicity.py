@@ -9,7 +9,7 @@ maximum spanning tree of conditional mutual information). Its accuracies and
 correlations are estimated by expectation-maximisation over the voters' patterns
 on all training documents, counted by Spark; labelled rows weigh as much in
 all as the others. The posteriors of a bounded sample of labelled rows (`SAMPLE` a
-label, texts up to `sampling.MOST_BYTES`) then train a logistic classifier over
+label, excerpts of texts over `sampling.MOST_BYTES` bytes) then train a logistic classifier over
 hashed words and word beginnings, those whose use differs between the posterior
 classes beyond chance; it scores every whole text.
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ASCII_LOWER, ORDER_CODE, U, buffers, prefix_sums, range_hash, slices, words
-from .sampling import MOST_BYTES, bounded, labelled_sample, row_id
+from .sampling import bounded, excerpt, labelled_sample, row_id
 from .storage import write_table
 
 SAMPLE = 2000
@@ -273,7 +273,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, label:
     rate = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 0.01), 0.99) if counts else 0.1
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if not counts:
-        found = bounded(text.where(training & (F.octet_length("text") <= MOST_BYTES)).withColumn("label", F.lit(-1)), "label", "doc_id", sample).select("text", "label")
+        known = text.where(training).select("doc_id", excerpt(F.col("text")).alias("text"), F.lit(-1).alias("label"))
+        found = bounded(known, "label", ["doc_id", "text"], sample, "text").select("text", "label")
     got = found.withColumn("flags", _flags(F.col("text"))).toArrow()  # at most 4 * sample rows of MOST_BYTES
     weight, bias = np.zeros(1 << BITS, np.float32), -30.0
     if got.num_rows:
