@@ -28,7 +28,7 @@ from tesserae.llm.jaccard import jaccard_components
 from tesserae.llm.langid import language_of
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.queries import table, tokenizer_file
-from tesserae.llm.sampling import MOST_BYTES, row_id
+from tesserae.llm.sampling import row_id
 from tesserae.llm.storage import drop_tables, write_table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,8 +55,8 @@ def _one_each(keyed: DataFrame, key: str, groups: DataFrame, *first: Column) ->
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; without any lang to learn from, those with letters. Only texts of up to MOST_BYTES are learned from."""
-    if docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)).limit(1).count() == 0:
+    """Documents with a language; without any lang to learn from, those with letters."""
+    if docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count() == 0:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(language_of(docs, F.lit(True))["lang_pred"] != "und")
 
