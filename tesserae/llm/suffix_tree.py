@@ -25,10 +25,15 @@ them, in two tiers:
   are rare, no bucket is hot. A bitmap of at most 2**MOST_FILTER_BITS bits keeps
   most contexts that come once from being sent at all; it changes no result.
 
-Contexts and next words are told apart for words of the vocabulary, the up to
-`VOCABULARY` most frequent words; others come under the unknown word there. At
-the root every word has its exact count: those of words outside the vocabulary
-are found in hash buckets in the same exchange.
+Every word that training has twice or more is told apart, as a next word and in
+contexts; one that comes once is the unknown word there, and has its count at the
+root. Words too are held in two tiers, which change no result:
+
+- The vocabulary goes to every task: the up to `VOCABULARY` most frequent words,
+  and all that can be in a frequent context.
+- An exchange before that of the contexts brings each slice the counts of its
+  other words. Contexts that have such words, and such words after any context,
+  are sent by 64-bit hashes with the probability that the parent gives.
 
 Null texts count as empty: the end token alone. Repeated rows are scored and
 counted as often as they come, equal texts get equal scores, a null doc_id counts
@@ -75,15 +80,19 @@ GRAMS_AT_ONCE = 3_000_000
 END_HASH, START_HASH = ORDER_CODE[60], ORDER_CODE[61]
 ALPHA = 0.1
 
-DEALT_SCHEMA = "grp long, slice long, head binary, words binary, contexts binary"
-BACK_SCHEMA = "slice long, head binary, words binary, contexts binary, distinct long"
-SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, distinct long"
+WORDS_SCHEMA = "grp long, slice long, head binary, texts binary, words binary, counts binary"
+DEALT_SCHEMA = "grp long, slice long, head binary, contexts binary, wide binary"
+BACK_SCHEMA = "slice long, head binary, contexts binary"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+#: A row of a slice: id, fold, bytes of its text.
+ROW = np.dtype([("doc_id", "<i8"), ("held_out", "?"), ("size", "<i8")])
 #: What a task knows of a row: id, fold, tokens, known ones, base and model logarithms so far.
 HEAD = np.dtype([("doc_id", "<i8"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("logs", "<f8"), ("score", "<f8")])
-#: A word outside the vocabulary in a row, and what its bucket adds to the row.
-WORD = np.dtype([("key", "<u8"), ("row", "<u2"), ("count", "<u4"), ("training", "?")])
-WORD_ADDS = np.dtype([("row", "<u2"), ("n_known", "<u4"), ("logs", "<f8"), ("score", "<f8")])
+#: An occurrence of a rare context with a word outside the vocabulary in it or after it: the parent's log10 probability of the next word, 0 being an unknown one.
+WIDE = np.dtype([("context", "<u8"), ("next", "<u8"), ("parent", "<f4"), ("row", "<u2"), ("training", "?")])
 CONTEXT_ADDS = np.dtype([("row", "<u2"), ("steps", "<i2")])
+#: Set in hashes, never in symbols and contexts of symbols.
+HASHED = U(1 << 63)
 SPREAD = 0x9E3779B97F4A7C15
 
 
@@ -200,8 +209,8 @@ class Tree:
     A code is a context and a next word, SYMBOL_BITS for each, the last lowest.
     """
 
-    def __init__(self, frequent: np.ndarray, count: np.ndarray, total: int, once: int) -> None:
-        self.total = total
+    def __init__(self, frequent: np.ndarray, count: np.ndarray, total: int, once: int, distinct: int) -> None:
+        self.total, self.distinct = total, distinct
         self.unknown = min(0.5, max(once, 1) / (total + 1)) if total else 1.0
         order = np.argsort(frequent)
         self.count = np.concatenate([[0], count[order]])
@@ -287,8 +296,8 @@ class Tree:
         at = np.minimum(np.searchsorted(gram, context), max(0, len(gram) - 1))
         return np.where(gram[at] == context, count[at], 0.0) if len(gram) else np.zeros(len(context))
 
-    def logs(self, code: np.ndarray, depth: int) -> np.ndarray:
-        """log10 probability of each code's last word after its context of up to `depth` words."""
+    def logs(self, code: np.ndarray, depth: int, root: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each code's last word after its context of up to `depth` words. root: the root's, where last words may be outside the vocabulary."""
         out, left = np.zeros(len(code)), np.arange(len(code))
         for d in range(depth, 0, -1):
             key = code[left] & U((1 << SYMBOL_BITS * (d + 1)) - 1)
@@ -296,6 +305,9 @@ class Tree:
             out[left[hit]] += value[hit]
             left, key = left[~hit], key[~hit]
             out[left] += self.back[d - 1].get(key >> U(SYMBOL_BITS))[1]
+        if root is not None:
+            out[left] += root[left]
+            return out
         out[left] += np.log10(np.maximum(self.share[(code[left] & U((1 << SYMBOL_BITS) - 1)).astype(np.int64)], 1e-300))
         return out
 
@@ -394,10 +406,10 @@ def build_tree(docs: DataFrame, training: Column, bits: int = 4) -> Tree:
         return got["code"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
 
     single = write_table(counted(lambda token, first: token, 64, 1), "words")
-    total, once = (x or 0 for x in single.agg(F.sum("n"), F.count(F.when(F.col("n") == 1, 1))).first())
-    word, count = held(single, _vocabulary_least(single))
-    tree = Tree(np.append(word, START_HASH), np.append(count, 0), total, once)
+    total, once, distinct = (x or 0 for x in single.agg(F.sum("n"), F.count(F.when(F.col("n") == 1, 1)), F.count("n")).first())
     frequent = max(LEAST, RARE * total)
+    word, count = held(single, min(frequent, _vocabulary_least(single)))
+    tree = Tree(np.append(word, START_HASH), np.append(count, 0), total, once, distinct)
     for depth in range(1, DEPTH + 1):
         sent = docs.sparkSession.sparkContext.broadcast(tree)
         grams = counted(_candidates(sent, depth), SYMBOL_BITS * (depth + 1), 2)
@@ -410,7 +422,7 @@ def build_tree(docs: DataFrame, training: Column, bits: int = 4) -> Tree:
 
 
 def _vocabulary_least(single: DataFrame) -> float:
-    """The least count of a word of the vocabulary: two at least, and so that no more than VOCABULARY words have it."""
+    """The least count of a word that goes to every task: two at least, and so that no more than VOCABULARY words have it."""
     grade = F.floor(F.log2("n") * 16).cast("int").alias("grade")
     words, least = 0, None
     for g, n in sorted(single.where("n > 1").groupBy(grade).count().collect(), reverse=True):
@@ -446,89 +458,167 @@ def _candidates(tree: Broadcast[Tree], depth: int) -> Callable[[np.ndarray, np.n
 
 
 def _deal(tree: Broadcast[Tree], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each run of rows, what the task knows of them, and by bucket their words outside the vocabulary and rare contexts."""
+    """For each run of rows, its texts, and by bucket its words outside the vocabulary with their counts in its training rows."""
     most = min(MOST_SENT, max(SLICE_BYTES, SENT_BYTES << bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, rows, size = TaskContext.get().partitionId(), 0, 0, 0
-        heads, word_rows, context_rows = [], [], []
+        part, made, count, size = TaskContext.get().partitionId(), 0, 0, 0
+        rows, texts, word_rows = [], [], []
 
         def give() -> Iterator[pa.RecordBatch]:
-            nonlocal made, rows, size
+            nonlocal made, count, size
             name = (part << 24) | made
-            made, rows, size = made + 1, 0, 0
-            yield _rows([-name - 1], name, [np.concatenate(heads).tobytes()], [None], [None])
-            word = np.concatenate(word_rows)
-            word = word[np.argsort(word["key"])]
-            bucket, runs, _ = by_bucket(word["key"], 64, bits)
-            packed: dict[int, list] = {k: [word[r].tobytes(), None] for k, r in zip(bucket.tolist(), runs)}
-            key, row, training = (np.concatenate([x[k] for x in context_rows]) for k in range(3))
-            order = np.argsort(key)
-            key, row, training = key[order], row[order], training[order]
-            bucket, runs, rest = by_bucket(key, SYMBOL_BITS * (DEPTH + 1), bits)
-            for k, r in zip(bucket.tolist(), runs):
-                parts = [squeeze_sorted(rest[r]), row[r].astype("<u2").tobytes(), np.packbits(training[r]).tobytes()]
-                packed.setdefault(k, [None, None])[1] = np.array([len(row[r]), len(parts[0])], "<u4").tobytes() + b"".join(parts)
-            some = sorted(packed)
-            for i in range(0, len(some), 4096):
-                mine = some[i : i + 4096]
-                yield _rows(mine, name, [None] * len(mine), *([packed[k][j] for k in mine] for j in range(2)))
-            for x in (heads, word_rows, context_rows):
+            made, count, size = made + 1, 0, 0
+            yield _rows(WORDS_SCHEMA, [-name - 1], name, [np.concatenate(rows).tobytes()], [pa.compress(np.concatenate(texts).tobytes(), "zstd", asbytes=True)], [None], [None])
+            word, at = np.unique(np.concatenate([w for w, _ in word_rows]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([c for _, c in word_rows]), minlength=len(word)).astype(np.uint64)
+            bucket, runs, rest = by_bucket(word, 64, bits)
+            for i in range(0, len(runs), 4096):
+                mine, none = runs[i : i + 4096], [None] * len(runs[i : i + 4096])
+                yield _rows(WORDS_SCHEMA, bucket[i : i + 4096].tolist(), name, none, none, [squeeze_sorted(rest[r]) for r in mine], [squeeze(n[r]) for r in mine])
+            for x in (rows, texts, word_rows):
                 x.clear()
 
         for batch in batches:
-            ids, held = batch["doc_id"].to_numpy(zero_copy_only=False), batch["held_out"].to_numpy(zero_copy_only=False)
+            head = np.zeros(batch.num_rows, ROW)
+            head["doc_id"], head["held_out"] = batch["doc_id"].to_numpy(zero_copy_only=False), batch["held_out"].to_numpy(zero_copy_only=False)
             for s in slices(batch["text"], SLICE_BYTES):
                 for i in range(0, s.last - s.first, SLICE_ROWS):
                     j = min(i + SLICE_ROWS, s.last - s.first)
-                    if rows and (rows + j - i > SLICE_ROWS or size > most):
+                    if count and (count + j - i > SLICE_ROWS or size > most):
                         yield from give()
-                    at = s.offsets[i : j + 1]
-                    head, words_of, contexts_of = _known(tree.value, Slice(s.first + i, s.first + j, s.data[at[0] : at[-1]], at - at[0]), ids[s.first + i : s.first + j], held[s.first + i : s.first + j], rows)
-                    heads.append(head)
-                    word_rows.append(words_of)
-                    context_rows.append(contexts_of)
-                    rows, size = rows + j - i, size + int(at[-1] - at[0])
-        if rows:
+                    at, mine = s.offsets[i : j + 1], head[s.first + i : s.first + j]
+                    mine["size"] = np.diff(at)
+                    data = s.data[at[0] : at[-1]]
+                    token, first = tokens(Slice(0, j - i, data, at - at[0]))
+                    other = np.flatnonzero(~tree.value.symbols.get(token)[0])
+                    word, of = np.unique(token[other], return_inverse=True)
+                    rows.append(mine)
+                    texts.append(data)
+                    word_rows.append((word, np.bincount(of, weights=~np.repeat(mine["held_out"], np.diff(first))[other], minlength=len(word))))
+                    count, size = count + j - i, size + len(data)
+        if count:
             yield from give()
 
     return run
 
 
-def _rows(grp: list[int], name: int, head: list, words_of: list, contexts_of: list) -> pa.RecordBatch:
-    columns = [pa.array(grp, pa.int64()), pa.array([name] * len(grp), pa.int64()), *(pa.array(x, pa.binary()) for x in (head, words_of, contexts_of))]
-    return pa.RecordBatch.from_arrays(columns, ["grp", "slice", "head", "words", "contexts"])
+def _rows(schema: str, grp: list[int], name: int, *values: list) -> pa.RecordBatch:
+    columns = [pa.array(grp, pa.int64()), pa.array([name] * len(grp), pa.int64()), *(pa.array(x, pa.binary()) for x in values)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+
+def _counts(table: pa.Table) -> pa.Table:
+    """A bucket's words with their counts over all slices, for each slice that has them."""
+    if table["grp"][0].as_py() < 0:
+        return table
+    word = [expand_sorted(x) for x in table["words"].to_pylist()]
+    _, at = np.unique(np.concatenate(word), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([expand(x) for x in table["counts"].to_pylist()])).astype(np.uint64)[at]
+    cut = np.cumsum([0, *map(len, word)])
+    counts = pa.array([squeeze(n[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())
+    return table.set_column(table.schema.get_field_index("counts"), "counts", counts)
+
 
+def _score(tree: Broadcast[Tree], bits: int) -> Callable[[pa.Table], pa.Table]:
+    """A slice with all its words' counts: what is known of its rows, and by bucket their rare contexts."""
 
-def _known(tree: Tree, s: Slice, ids: np.ndarray, held: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """HEAD of each row by vocabulary and frequent states, its WORDs, and its rare contexts: spread context and next symbol, row, training. base: number of the first row."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        name = rows[0]["slice"]
+        (whole,) = (r for r in rows if r["grp"] < 0)
+        mine = sorted((r for r in rows if r["grp"] >= 0), key=lambda r: r["grp"])
+        word = np.concatenate([np.zeros(0, np.uint64), *(expand_sorted(r["words"]) | U(r["grp"] << (64 - bits)) for r in mine)])
+        count = np.concatenate([np.zeros(0, np.uint64), *(expand(r["counts"]) for r in mine)]).astype(np.int64)
+        row = np.frombuffer(whole["head"], ROW)
+        offsets = np.concatenate([[0], np.cumsum(row["size"])])
+        data = np.frombuffer(pa.decompress(whole["texts"], int(offsets[-1]), "zstd"), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+        known = []
+        for i, j in _runs(offsets, SLICE_BYTES):
+            known.append(_known(tree.value, Slice(i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), row[i:j], word, count, bits))
+        head, key, of, training, wide, wide_bucket = (np.concatenate(x) for x in zip(*known))
+        order = np.argsort(key)
+        key, of, training = key[order], of[order], training[order]
+        bucket, runs, rest = by_bucket(key, SYMBOL_BITS * (DEPTH + 1), bits)
+        packed: dict[int, list] = {}
+        for k, r in zip(bucket.tolist(), runs):
+            parts = [squeeze_sorted(rest[r]), of[r].astype("<u2").tobytes(), np.packbits(training[r]).tobytes()]
+            packed[k] = [np.array([len(of[r]), len(parts[0])], "<u4").tobytes() + b"".join(parts), None]
+        order = np.argsort(wide_bucket, kind="stable")
+        wide, wide_bucket = wide[order], wide_bucket[order]
+        first = np.flatnonzero(np.diff(wide_bucket, prepend=-1))
+        for i, j in zip(first, np.append(first[1:], len(wide))):
+            packed.setdefault(int(wide_bucket[i]), [None, None])[1] = wide[i:j].tobytes()
+        some = sorted(packed)
+        out = _rows(DEALT_SCHEMA, [-name - 1, *some], name, [head.tobytes(), *[None] * len(some)], *([None, *(packed[k][n] for k in some)] for n in range(2)))
+        return pa.Table.from_batches([out])
+
+    return run
+
+
+def _runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most `limit` bytes; a longer row comes alone."""
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _known(tree: Tree, s: Slice, rows: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """HEAD of each row by words and frequent states; its rare contexts: spread context and next symbol, row, training; WIDE ones and their buckets.
+
+    word, counts: those outside the vocabulary, sorted. s.first: number of the first row.
+    """
     token, first = tokens(s)
     symbol = tree.symbol(token)
-    known = symbol > 0
     count = tree.count[symbol.astype(np.int64)]
+    other = np.flatnonzero(symbol == 0)
+    count[other] = counts[np.searchsorted(word, token[other])]
     logs, root = tree.score(token, first)
-    logs = logs + np.where(root & known, np.log10(np.maximum(tree.share[symbol.astype(np.int64)], 1e-300)), 0.0)
-    head = np.zeros(len(ids), HEAD)
-    head["doc_id"], head["held_out"], head["n_tokens"] = ids, held, np.diff(first)
-    head["n_known"] = row_sums(known.astype(np.int64), first)
-    head["logs"] = row_sums(np.where(known, np.log10(count + ALPHA), 0.0), first)
+    at_root = tree.root(count)
+    logs = logs + np.where(root, at_root, 0.0)
+    head = np.zeros(len(rows), HEAD)
+    head["doc_id"], head["held_out"], head["n_tokens"] = rows["doc_id"], rows["held_out"], np.diff(first)
+    head["n_known"] = row_sums((count > 0).astype(np.int64), first)
+    head["logs"] = row_sums(np.log10(count + ALPHA), first)
     head["score"] = row_sums(logs, first)
-    row = np.repeat(np.arange(len(ids)), np.diff(first))
-    other = np.flatnonzero(~known)
-    order = other[np.lexsort((token[other], row[other]))]
-    new = np.flatnonzero(np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (row[order][1:] != row[order][:-1])])) if len(order) else order
-    words_of = np.zeros(len(new), WORD)
-    words_of["key"], words_of["row"], words_of["count"] = token[order[new]], base + row[order[new]], np.diff(np.append(new, len(order)))
-    words_of["training"] = ~held[row[order[new]]]
+    row = np.repeat(np.arange(len(rows)), np.diff(first))
+    training = ~rows["held_out"][row]
+    #: Words outside the vocabulary that are told apart.
+    rare = (symbol == 0) & (count > 1)
     at, code = tree.rare(symbol, first)
+    wide, bucket = np.zeros(0, WIDE), np.zeros(0, np.int64)
+    if rare.any():
+        mine = rare[at]
+        after, context_after = at[mine], code[mine] >> U(SYMBOL_BITS)
+        at, code = at[~mine], code[~mine]
+        inside, context_inside = _hashed_contexts(token, first, rare, (symbol > 0) | rare)
+        place = np.concatenate([after, inside])
+        parent = tree.codes(symbol, first, DEPTH - 1)[0][place]
+        wide = np.zeros(len(place), WIDE)
+        wide["context"] = np.concatenate([context_after, context_inside | HASHED])
+        wide["next"] = np.where(rare[place], token[place] | HASHED, symbol[place])
+        wide["parent"] = tree.logs(parent, DEPTH - 1, at_root[place])
+        wide["row"], wide["training"] = s.first + row[place], training[place]
+        bucket = np.concatenate([spread(context_after, SYMBOL_BITS * DEPTH) >> U(SYMBOL_BITS * DEPTH - bits), (context_inside & ~HASHED) >> U(63 - bits)]).astype(np.int64)
     key = (spread(code >> U(SYMBOL_BITS), SYMBOL_BITS * DEPTH) << U(SYMBOL_BITS)) | (code & U((1 << SYMBOL_BITS) - 1))
-    return head, words_of, (key, base + row[at], ~held[row[at]])
+    return head, key, s.first + row[at], training[at], wide, bucket
 
 
-def _joined(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of all rows of a binary column, and the row each is from."""
-    raw = [x or b"" for x in column.to_pylist()]
-    return np.frombuffer(b"".join(raw), kind), np.repeat(np.arange(len(raw)), np.array([len(x) // kind.itemsize for x in raw], np.int64))
+def _hashed_contexts(token: np.ndarray, first: np.ndarray, rare: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose context of DEPTH words has a rare word and none that isn't told apart, and hashes of those contexts."""
+    place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
+    some, whole, context = np.zeros(len(token), bool), place >= DEPTH - 1, np.zeros(len(token), np.uint64)
+    for k in range(1, DEPTH + 1):
+        at = np.flatnonzero(place >= k)
+        before = np.full(len(token), START_HASH, np.uint64)
+        before[at] = token[at - k]
+        some[at] |= rare[at - k]
+        whole[at] &= told[at - k]
+        context += before * ORDER_CODE[k]
+    at = np.flatnonzero(some & whole)
+    return at, mix(context[at])
 
 
 def _contexts(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -548,14 +638,18 @@ def _contexts(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return (context << U(SYMBOL_BITS)) | (key & U((1 << SYMBOL_BITS) - 1)), np.concatenate(row), np.concatenate(training), np.concatenate(of)
 
 
-def rare_states(tree: Tree, code: np.ndarray, training: np.ndarray) -> np.ndarray:
-    """What the states among these contexts add to the log10 probability of each occurrence. All occurrences of a context are here."""
-    kind, at = np.unique(code, return_inverse=True)
-    n = np.bincount(at, weights=training, minlength=len(kind)).astype(float)
-    known = kind & U((1 << SYMBOL_BITS) - 1) > 0
-    log = np.where(known, tree.logs(kind & U((1 << SYMBOL_BITS * DEPTH) - 1), DEPTH - 1), 0.0)
+def rare_states(tree: Tree, code: np.ndarray, training: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """What the states among these contexts add to the log10 probability of each occurrence, the wide ones last. All occurrences of a context are here."""
+    kind, at = np.unique(np.concatenate([code, mix(mix(wide["context"]) + wide["next"]) | HASHED]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([training, wide["training"]]), minlength=len(kind)).astype(float)
+    narrow = int(np.searchsorted(kind, HASHED))
+    kind, one = kind[:narrow], np.zeros(len(kind) - narrow, np.int64)
+    one[at[len(code) :] - narrow] = np.arange(len(wide))
+    wide = wide[one]
+    known = np.concatenate([kind & U((1 << SYMBOL_BITS) - 1) > 0, wide["next"] > 0])
+    log = np.where(known, np.concatenate([tree.logs(kind & U((1 << SYMBOL_BITS * DEPTH) - 1), DEPTH - 1), wide["parent"]]), 0.0)
     parent = 10.0**log
-    context, of = np.unique(kind >> U(SYMBOL_BITS), return_inverse=True)
+    context, of = np.unique(np.concatenate([kind >> U(SYMBOL_BITS), wide["context"]]), return_inverse=True)
     seen = (n > 0) & known
 
     def per_context(values: np.ndarray) -> np.ndarray:
@@ -572,27 +666,23 @@ def rare_states(tree: Tree, code: np.ndarray, training: np.ndarray) -> np.ndarra
 
 
 def _total(tree: Broadcast[Tree], bits: int) -> Callable[[pa.Table], pa.Table]:
-    """What a bucket adds to the rows of each slice, and on its first row how many of its words training has."""
+    """What a bucket's states add to the rows of each slice."""
 
     def run(table: pa.Table) -> pa.Table:
         if table["grp"][0].as_py() < 0:
-            return table.select(["slice", "head", "words", "contexts"]).append_column("distinct", pa.array([0] * table.num_rows, pa.int64()))
-        entry, of = _joined(table["words"], WORD)
-        distinct, place = np.unique(entry["key"], return_inverse=True)
-        count = np.bincount(place, weights=np.where(entry["training"], entry["count"], 0), minlength=len(distinct))
-        mine = count[place]
-        adds = np.zeros(len(entry), WORD_ADDS)
-        adds["row"], adds["n_known"] = entry["row"], np.where(mine > 0, entry["count"], 0)
-        adds["logs"], adds["score"] = entry["count"] * np.log10(mine + ALPHA), entry["count"] * tree.value.root(mine)
-        code, row, training, rare_of = _contexts(table, bits)
-        steps = np.clip(np.rint(rare_states(tree.value, code, training) / STEP), -32768, 32767)
+            return table.select(["slice", "head", "contexts"])
+        code, row, training, of = _contexts(table, bits)
+        raw = [x or b"" for x in table["wide"].to_pylist()]
+        wide = np.frombuffer(b"".join(raw), WIDE)
+        row, of = np.concatenate([row, wide["row"]]), np.concatenate([of, np.repeat(np.arange(len(raw)), [len(x) // WIDE.itemsize for x in raw])])
+        steps = np.clip(np.rint(rare_states(tree.value, code, training, wide) / STEP), -32768, 32767)
         change = np.flatnonzero(steps)
-        rare_adds = np.zeros(len(change), CONTEXT_ADDS)
-        rare_adds["row"], rare_adds["steps"] = row[change], steps[change]
-        cuts = (np.searchsorted(x, np.arange(table.num_rows + 1)) for x in (of, rare_of[change]))
-        words_of, contexts_of = ([x[i:j].tobytes() for i, j in zip(cut, cut[1:])] for x, cut in zip((adds, rare_adds), cuts))
-        known = [int((count > 0).sum()), *[0] * (table.num_rows - 1)]
-        return pa.table([table["slice"], pa.array([None] * table.num_rows, pa.binary()), pa.array(words_of, pa.binary()), pa.array(contexts_of, pa.binary()), pa.array(known, pa.int64())], names=["slice", "head", "words", "contexts", "distinct"])
+        if len(wide):
+            change = change[np.argsort(of[change], kind="stable")]
+        adds = np.zeros(len(change), CONTEXT_ADDS)
+        adds["row"], adds["steps"] = row[change], steps[change]
+        cut = np.searchsorted(of[change], np.arange(table.num_rows + 1))
+        return pa.table([table["slice"], pa.array([None] * table.num_rows, pa.binary()), pa.array([adds[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["slice", "head", "contexts"])
 
     return run
 
@@ -600,14 +690,9 @@ def _total(tree: Broadcast[Tree], bits: int) -> Callable[[pa.Table], pa.Table]:
 def _merge(table: pa.Table) -> pa.Table:
     """The rows of a slice with everything added up."""
     head = np.frombuffer(next(x for x in table["head"].to_pylist() if x is not None), HEAD)
-    m = len(head)
-    words_of, contexts_of = _joined(table["words"], WORD_ADDS)[0], _joined(table["contexts"], CONTEXT_ADDS)[0]
-    n_known = head["n_known"] + np.bincount(words_of["row"], weights=words_of["n_known"], minlength=m).astype(np.int64)
-    logs = head["logs"] + np.bincount(words_of["row"], weights=words_of["logs"], minlength=m)
-    score = head["score"] + np.bincount(words_of["row"], weights=words_of["score"], minlength=m) + np.bincount(contexts_of["row"], weights=contexts_of["steps"] * STEP, minlength=m)
-    distinct = np.zeros(m, np.int64)
-    distinct[0] = sum(table["distinct"].to_pylist())
-    return pa.table({"doc_id": head["doc_id"], "held_out": head["held_out"], "n_tokens": head["n_tokens"], "n_known": n_known, "logs": logs, "score": score, "distinct": distinct})
+    adds = np.frombuffer(b"".join(x or b"" for x in table["contexts"].to_pylist()), CONTEXT_ADDS)
+    score = head["score"] + np.bincount(adds["row"], weights=adds["steps"] * STEP, minlength=len(head))
+    return pa.table({k: head[k] for k in ("doc_id", "held_out", "n_tokens", "n_known", "logs")} | {"score": score})
 
 
 def score_texts(docs: DataFrame, training: Column) -> DataFrame:
@@ -616,9 +701,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     built = build_tree(docs, training, bits)
     tree = docs.sparkSession.sparkContext.broadcast(built)
     rows = docs.select(row_id(), (~training).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(_deal(tree, bits), DEALT_SCHEMA)
+    counted = rows.mapInArrow(_deal(tree, bits), WORDS_SCHEMA).groupBy("grp").applyInArrow(_counts, WORDS_SCHEMA)
+    dealt = counted.groupBy("slice").applyInArrow(_score(tree, bits), DEALT_SCHEMA)
     scored = write_table(dealt.groupBy("grp").applyInArrow(_total(tree, bits), BACK_SCHEMA).groupBy("slice").applyInArrow(_merge, SCORE_SCHEMA), "scores")
-    n, v = (x or 0 for x in scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("distinct")).first())
-    v += int((built.count > 0).sum())
-    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + ALPHA * (v + 1))))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(built.total + ALPHA * (built.distinct + 1))))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(built.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -474,6 +474,31 @@ def test_lm_scores_against_brute_force(spark, monkeypatch, rare, small):
         assert math.isclose(got[i], score, rel_tol=1e-3, abs_tol=2e-3 * len(tokens[i])), (i, got[i], score)
 
 
+@pytest.mark.parametrize("rare,most", [(1e-6, 5), (0.02, 0), (0.005, 30)])
+def test_lm_words_outside_the_vocabulary_are_told_apart(spark, monkeypatch, rare, most):
+    """With a vocabulary of few words or none of its own, contexts and next words of all others count as they do with every count at hand."""
+    from tesserae.llm import suffix_tree as T
+
+    rng = random.Random(11)
+    some = ["".join(x) for x in itertools.product("abcde", repeat=3)]
+    passages = [rng.choices(some, k=12) for _ in range(9)]
+    texts = [" ".join([*passages[i % 9], *rng.choices(some, k=rng.randrange(4)), *(passages[i % 9] if i % 4 == 0 else []), f"once{i}"]) for i in range(70)]
+    texts += ["", None, "qq", "qq", passages[0][0], " ".join(passages[1][:2]) + " new words", *[" ".join(["stop", "go", *rng.choices(some, k=2)]) for _ in range(30)]]
+    docs = spark.createDataFrame([(i, t, i % 7 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    tokens = {i: [*(t or "").split(), None] for i, t in enumerate(texts)}
+    want = brute_scores(tokens, [i for i in tokens if i % 7], rare)
+    whole = {r.doc_id: r for r in score_texts(docs, F.col("learn")).collect()} if rare == 1e-6 else {}
+    monkeypatch.setattr(T, "RARE", rare)
+    monkeypatch.setattr(T, "VOCABULARY", most)
+    monkeypatch.setattr(T, "SLICE_ROWS", 7)
+    got = {r.doc_id: r for r in score_texts(docs, F.col("learn")).collect()}
+    for i, score in want.items():
+        assert math.isclose(got[i].score, score, rel_tol=1e-3, abs_tol=2e-3 * len(tokens[i])), (i, got[i].score, score)
+    for i, r in whole.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert math.isclose(got[i].base_score, r.base_score, rel_tol=1e-9)
+
+
 def test_next_word_probabilities_sum_to_one(spark):
     from tesserae.llm.suffix_tree import START_HASH, U, build_tree
 
