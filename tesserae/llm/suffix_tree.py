@@ -73,6 +73,7 @@ STEP = 1 / 1024
 PRIOR = 4.0
 SYMBOL_BITS = 21
 SLICE_BYTES = 2 << 20
+SLICE_TOKENS = 1 << 19
 SLICE_ROWS = 60_000
 #: Bytes of text for each bucket, at most this many in all, that a task gathers before it sends.
 SENT_BYTES, MOST_SENT = 1 << 16, 24 << 20
@@ -80,11 +81,11 @@ GRAMS_AT_ONCE = 3_000_000
 END_HASH, START_HASH = ORDER_CODE[60], ORDER_CODE[61]
 ALPHA = 0.1
 
-WORDS_SCHEMA = "grp long, slice long, head binary, texts binary, words binary, counts binary"
+WORDS_SCHEMA = "grp long, slice long, head binary, symbols binary, words binary, counts binary"
 DEALT_SCHEMA = "grp long, slice long, head binary, contexts binary, wide binary"
 BACK_SCHEMA = "slice long, head binary, contexts binary"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
-#: A row of a slice: id, fold, bytes of its text.
+#: A row of a slice: id, fold, number of tokens.
 ROW = np.dtype([("doc_id", "<i8"), ("held_out", "?"), ("size", "<i8")])
 #: What a task knows of a row: id, fold, tokens, known ones, base and model logarithms so far.
 HEAD = np.dtype([("doc_id", "<i8"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("logs", "<f8"), ("score", "<f8")])
@@ -121,6 +122,14 @@ def expand(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def squeeze_sorted(values: np.ndarray) -> bytes:
     return squeeze(np.diff(values, prepend=U(0)))
 
@@ -223,11 +232,19 @@ class Tree:
         self.filter, self.filter_bits = np.zeros(1, np.uint8), 3
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("share", "grams")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("share", "grams", "by_rank", "rank", "word")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.share = (1 - self.unknown) * self.count / max(1, self.total)
+        #: Symbols by falling count after 0, and the place of each: small numbers compress well.
+        self.by_rank = np.concatenate([[0], 1 + np.argsort(-self.count[1:], kind="stable")]).astype(np.uint32)
+        self.rank = np.argsort(self.by_rank).astype(np.uint32)
+        #: Hashes of words by symbol.
+        self.word = np.zeros(len(self.count), np.uint64)
+        for held, number, _ in self.symbols.levels:
+            there = number > 0
+            self.word[number[there].astype(np.int64)] = held[there]
 
     def symbol(self, token: np.ndarray) -> np.ndarray:
         """Symbols of tokens, 0 for those that are not frequent."""
@@ -321,8 +338,11 @@ class Tree:
 
     def score(self, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token, the log10 probability or weight from its frequent states, and whether the root's comes on top."""
-        symbol = self.symbol(token)
-        out, root = np.zeros(len(token)), np.ones(len(token), bool)
+        return self.score_symbols(self.symbol(token), first)
+
+    def score_symbols(self, symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for tokens by symbol."""
+        out, root = np.zeros(len(symbol)), np.ones(len(symbol), bool)
         for d in range(len(self.next), 0, -1):
             code, whole = self.contexts(symbol, first, d)
             left = np.flatnonzero(root & whole)
@@ -458,25 +478,25 @@ def _candidates(tree: Broadcast[Tree], depth: int) -> Callable[[np.ndarray, np.n
 
 
 def _deal(tree: Broadcast[Tree], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each run of rows, its texts, and by bucket its words outside the vocabulary with their counts in its training rows."""
+    """For each run of rows, its symbols, and by bucket its words outside the vocabulary with their counts in its training rows."""
     most = min(MOST_SENT, max(SLICE_BYTES, SENT_BYTES << bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, count, size = TaskContext.get().partitionId(), 0, 0, 0
-        rows, texts, word_rows = [], [], []
+        rows, ranks, others, learns = [], [], [], []
 
         def give() -> Iterator[pa.RecordBatch]:
             nonlocal made, count, size
             name = (part << 24) | made
             made, count, size = made + 1, 0, 0
-            yield _rows(WORDS_SCHEMA, [-name - 1], name, [np.concatenate(rows).tobytes()], [pa.compress(np.concatenate(texts).tobytes(), "zstd", asbytes=True)], [None], [None])
-            word, at = np.unique(np.concatenate([w for w, _ in word_rows]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([c for _, c in word_rows]), minlength=len(word)).astype(np.uint64)
+            word, at = np.unique(np.concatenate(others), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(learns), minlength=len(word)).astype(np.uint64)
+            yield _rows(WORDS_SCHEMA, [-name - 1], name, [np.concatenate(rows).tobytes()], [pack(squeeze(np.concatenate(ranks)))], [pack(squeeze(at))], [None])
             bucket, runs, rest = by_bucket(word, 64, bits)
             for i in range(0, len(runs), 4096):
                 mine, none = runs[i : i + 4096], [None] * len(runs[i : i + 4096])
                 yield _rows(WORDS_SCHEMA, bucket[i : i + 4096].tolist(), name, none, none, [squeeze_sorted(rest[r]) for r in mine], [squeeze(n[r]) for r in mine])
-            for x in (rows, texts, word_rows):
+            for x in (rows, ranks, others, learns):
                 x.clear()
 
         for batch in batches:
@@ -488,15 +508,15 @@ def _deal(tree: Broadcast[Tree], bits: int) -> Callable[[Iterator[pa.RecordBatch
                     if count and (count + j - i > SLICE_ROWS or size > most):
                         yield from give()
                     at, mine = s.offsets[i : j + 1], head[s.first + i : s.first + j]
-                    mine["size"] = np.diff(at)
-                    data = s.data[at[0] : at[-1]]
-                    token, first = tokens(Slice(0, j - i, data, at - at[0]))
-                    other = np.flatnonzero(~tree.value.symbols.get(token)[0])
-                    word, of = np.unique(token[other], return_inverse=True)
+                    token, first = tokens(Slice(0, j - i, s.data[at[0] : at[-1]], at - at[0]))
+                    mine["size"] = np.diff(first)
+                    symbol = tree.value.symbol(token)
+                    other = np.flatnonzero(symbol == 0)
                     rows.append(mine)
-                    texts.append(data)
-                    word_rows.append((word, np.bincount(of, weights=~np.repeat(mine["held_out"], np.diff(first))[other], minlength=len(word))))
-                    count, size = count + j - i, size + len(data)
+                    ranks.append(tree.value.rank[symbol.astype(np.int64)])
+                    others.append(token[other])
+                    learns.append(~np.repeat(mine["held_out"], mine["size"])[other])
+                    count, size = count + j - i, size + int(at[-1] - at[0])
         if count:
             yield from give()
 
@@ -531,11 +551,15 @@ def _score(tree: Broadcast[Tree], bits: int) -> Callable[[pa.Table], pa.Table]:
         word = np.concatenate([np.zeros(0, np.uint64), *(expand_sorted(r["words"]) | U(r["grp"] << (64 - bits)) for r in mine)])
         count = np.concatenate([np.zeros(0, np.uint64), *(expand(r["counts"]) for r in mine)]).astype(np.int64)
         row = np.frombuffer(whole["head"], ROW)
-        offsets = np.concatenate([[0], np.cumsum(row["size"])])
-        data = np.frombuffer(pa.decompress(whole["texts"], int(offsets[-1]), "zstd"), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
-        known = []
-        for i, j in _runs(offsets, SLICE_BYTES):
-            known.append(_known(tree.value, Slice(i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), row[i:j], word, count, bits))
+        first = np.concatenate([[0], np.cumsum(row["size"])])
+        symbol = tree.value.by_rank[expand(unpack(whole["symbols"])).astype(np.int64)]
+        of_word = expand(unpack(whole["words"])).astype(np.int64)
+        known, done = [], 0
+        for i, j in _runs(first, SLICE_TOKENS):
+            mine = symbol[first[i] : first[j]].astype(np.uint64)
+            other = of_word[done : done + int((mine == 0).sum())]
+            done += len(other)
+            known.append(_known(tree.value, mine, first[i : j + 1] - first[i], row[i:j], i, word[other], count[other], bits))
         head, key, of, training, wide, wide_bucket = (np.concatenate(x) for x in zip(*known))
         order = np.argsort(key)
         key, of, training = key[order], of[order], training[order]
@@ -557,7 +581,7 @@ def _score(tree: Broadcast[Tree], bits: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most `limit` bytes; a longer row comes alone."""
+    """Runs of rows of at most `limit` tokens; a longer row comes alone."""
     i = 0
     while i < len(offsets) - 1:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
@@ -565,17 +589,15 @@ def _runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _known(tree: Tree, s: Slice, rows: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+def _known(tree: Tree, symbol: np.ndarray, first: np.ndarray, rows: np.ndarray, base: int, word: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """HEAD of each row by words and frequent states; its rare contexts: spread context and next symbol, row, training; WIDE ones and their buckets.
 
-    word, counts: those outside the vocabulary, sorted. s.first: number of the first row.
+    word, counts: those outside the vocabulary, in order. base: number of the first row.
     """
-    token, first = tokens(s)
-    symbol = tree.symbol(token)
     count = tree.count[symbol.astype(np.int64)]
     other = np.flatnonzero(symbol == 0)
-    count[other] = counts[np.searchsorted(word, token[other])]
-    logs, root = tree.score(token, first)
+    count[other] = counts
+    logs, root = tree.score_symbols(symbol, first)
     at_root = tree.root(count)
     logs = logs + np.where(root, at_root, 0.0)
     head = np.zeros(len(rows), HEAD)
@@ -590,6 +612,8 @@ def _known(tree: Tree, s: Slice, rows: np.ndarray, word: np.ndarray, counts: np.
     at, code = tree.rare(symbol, first)
     wide, bucket = np.zeros(0, WIDE), np.zeros(0, np.int64)
     if rare.any():
+        token = tree.word[symbol.astype(np.int64)]
+        token[other] = word
         mine = rare[at]
         after, context_after = at[mine], code[mine] >> U(SYMBOL_BITS)
         at, code = at[~mine], code[~mine]
@@ -600,10 +624,10 @@ def _known(tree: Tree, s: Slice, rows: np.ndarray, word: np.ndarray, counts: np.
         wide["context"] = np.concatenate([context_after, context_inside | HASHED])
         wide["next"] = np.where(rare[place], token[place] | HASHED, symbol[place])
         wide["parent"] = tree.logs(parent, DEPTH - 1, at_root[place])
-        wide["row"], wide["training"] = s.first + row[place], training[place]
+        wide["row"], wide["training"] = base + row[place], training[place]
         bucket = np.concatenate([spread(context_after, SYMBOL_BITS * DEPTH) >> U(SYMBOL_BITS * DEPTH - bits), (context_inside & ~HASHED) >> U(63 - bits)]).astype(np.int64)
     key = (spread(code >> U(SYMBOL_BITS), SYMBOL_BITS * DEPTH) << U(SYMBOL_BITS)) | (code & U((1 << SYMBOL_BITS) - 1))
-    return head, key, s.first + row[at], training[at], wide, bucket
+    return head, key, base + row[at], training[at], wide, bucket
 
 
 def _hashed_contexts(token: np.ndarray, first: np.ndarray, rare: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
