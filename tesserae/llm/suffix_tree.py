@@ -45,6 +45,7 @@ is unknown and certain.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -237,14 +238,27 @@ class Tree:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.share = (1 - self.unknown) * self.count / max(1, self.total)
-        #: Symbols by falling count after 0, and the place of each: small numbers compress well.
-        self.by_rank = np.concatenate([[0], 1 + np.argsort(-self.count[1:], kind="stable")]).astype(np.uint32)
-        self.rank = np.argsort(self.by_rank).astype(np.uint32)
-        #: Hashes of words by symbol.
-        self.word = np.zeros(len(self.count), np.uint64)
+
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        """Symbols by falling count, after 0."""
+        return np.concatenate([[0], 1 + np.argsort(-self.count[1:], kind="stable")]).astype(np.uint32)
+
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """The place of each symbol there: small numbers compress well."""
+        out = np.empty(len(self.count), np.uint32)
+        out[self.by_rank] = np.arange(len(out))
+        return out
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        """Hashes of words by symbol."""
+        out = np.zeros(len(self.count), np.uint64)
         for held, number, _ in self.symbols.levels:
             there = number > 0
-            self.word[number[there].astype(np.int64)] = held[there]
+            out[number[there].astype(np.int64)] = held[there]
+        return out
 
     def symbol(self, token: np.ndarray) -> np.ndarray:
         """Symbols of tokens, 0 for those that are not frequent."""
@@ -561,6 +575,7 @@ def _score(tree: Broadcast[Tree], bits: int) -> Callable[[pa.Table], pa.Table]:
             done += len(other)
             known.append(_known(tree.value, mine, first[i : j + 1] - first[i], row[i:j], i, word[other], count[other], bits))
         head, key, of, training, wide, wide_bucket = (np.concatenate(x) for x in zip(*known))
+        del rows, whole, mine, symbol, of_word, known
         order = np.argsort(key)
         key, of, training = key[order], of[order], training[order]
         bucket, runs, rest = by_bucket(key, SYMBOL_BITS * (DEPTH + 1), bits)
