@@ -140,8 +140,13 @@ def timestamp_text(c: Column) -> Column:
 
 
 def epoch_text(c: Column) -> Column:
-    """Epoch seconds as text in UTC, whatever the session's zone."""
-    return F.date_format(F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c), TIMESTAMP_FORMAT)
+    """Epoch seconds as text in UTC, whatever the session's zone; a year past 9999 has all its digits and no sign."""
+    epoch = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    second = F.pmod(c, F.lit(86_400))
+    # The days apart, as an interval takes no more than 12 digits of seconds.
+    day = ((c - second) / 86_400).cast("int")
+    # Formatting would take the session's zone, which has no 02:30 on some days.
+    return F.ltrim((epoch + F.make_dt_interval(day, F.lit(0), F.lit(0), second)).cast("string"), F.lit("+"))
 
 
 def seconds_before(now: Column, seconds: int) -> Column:

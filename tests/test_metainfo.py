@@ -107,6 +107,24 @@ def test_scalars(spark):
     assert private is not None
 
 
+def test_epoch_text_of_any_year(spark):
+    """Years past 9999 have no sign, seconds may have more than 12 digits, and a clock change in the session's zone doesn't matter."""
+    texts = {
+        0: "1970-01-01 00:00:00", -1: "1969-12-31 23:59:59", -62_135_596_801: "0000-12-31 23:59:59", 253_402_300_799: "9999-12-31 23:59:59", 253_402_300_800: "10000-01-01 00:00:00",
+        900_000_000_000: "30489-11-11 16:00:00", 9_223_372_036_854: "294247-01-10 04:00:54", 1_710_037_800: "2024-03-10 02:30:00", None: None,
+    }
+    given = spark.createDataFrame([(t,) for t in texts], "t long")
+    back = given.select("t", F.unix_seconds(F.to_timestamp_ntz(S.epoch_text(F.col("t"))).cast("timestamp")).alias("back"))
+    assert all(r.back == r.t for r in back.collect())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in (zone, "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert {r.t: r.text for r in given.select("t", S.epoch_text(F.col("t")).alias("text")).collect()} == texts
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def awkward_document(rng):
     """Bytes of a document with known, unknown, nested and wrong members, which may be cut, altered or not canonical."""
     text = lambda: rng.choice(["udp://t", "é漢", "", "x" * 50])
