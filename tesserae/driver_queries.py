@@ -776,8 +776,9 @@ def child_seeds_and_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT coalesce(bool_or(c_mktsegment = 'BUILDING' AND lower(sha1(c_name)) = lower((SELECT sha1(min(c_name)) FROM customer))), false) AS member FROM customer")
 def group_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read(spark, sf_dir, "customer")
-    groups = customer.select(F.sha1("c_name").alias("info_hash"), F.lower("c_mktsegment").alias("canonical_info_hash"))
-    return lookups.in_group(groups, "BUILDING", hashlib.sha1(b"Customer#000000001").hexdigest().upper())
+    groups = customer.select(F.sha1("c_name").alias("info_hash"), F.sha1("c_mktsegment").alias("canonical_info_hash"))
+    first = customer.agg(F.upper(F.sha1(F.min("c_name")))).scalar()
+    return lookups.in_group(groups, hashlib.sha1(b"BUILDING").hexdigest().upper(), first)
 
 
 @query("""

@@ -111,10 +111,11 @@ def with_stats(details: DataFrame, stats: DataFrame, live: DataFrame | None = No
     return out.withColumns({"seeders": now[0], "leechers": now[1]}).drop("_s", "_l", "_ls", "_ll")
 
 
-def in_group(groups: DataFrame, canonical_hash: str, info_hash: str) -> DataFrame:
-    """One row, `member`: whether info_hash belongs to a canonical hash's group."""
-    mine = (F.col("canonical_info_hash") == canonical_hash.lower()) & (F.col("info_hash") == info_hash.lower())
-    return groups.agg(F.coalesce(F.max(mine), F.lit(False)).alias("member"))
+def in_group(groups: DataFrame, canonical_hash: str | Column, info_hash: str | Column) -> DataFrame:
+    """One row, `member`: whether info_hash belongs to a canonical hash's group. Hashes are texts or columns of one value."""
+    wanted = {"canonical_info_hash": canonical_hash, "info_hash": info_hash}
+    mine = [F.col(c) == F.lower(F.lit(h) if isinstance(h, str) else h) for c, h in wanted.items()]
+    return groups.agg(F.coalesce(F.max(mine[0] & mine[1]), F.lit(False)).alias("member"))
 
 
 def hydrate(torrents: DataFrame, files: DataFrame) -> DataFrame:

@@ -216,6 +216,25 @@ def test_live_stats_and_group_membership(spark):
     assert not lookups.in_group(groups.limit(0), "cc", "aa").first().member
 
 
+@pytest.mark.parametrize(
+    "customers, member",
+    [
+        ([("b", "BUILDING"), ("a", "BUILDING"), ("Customer#000000001", "MACHINERY"), ("Aa", "BUILDING")], True), ([("a", "MACHINERY"), ("b", "BUILDING")], False), ([("a", "Building")], False),
+        ([("a", "MACHINERY"), ("a", "BUILDING")], True), ([(None, "BUILDING"), ("b", "BUILDING"), ("c", None)], True), ([(None, "BUILDING")], False), ([], False),
+    ],
+)
+def test_group_membership_of_the_first_name(spark, tmp_path, customers, member):
+    """The query asks for the first name that the table has, and for its segment as it is written."""
+    from tesserae.driver_queries import ORACLES, group_member
+
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(customers, "c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r.member for r in group_member(spark, str(tmp_path)).collect()] == [member]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+        assert con.execute(ORACLES["group_member"]).fetchall() == [(member,)]
+
+
 def test_files_and_synthetic_uploads(spark, tmp_path):
     from tesserae.sources.tables import metainfo_files, synthetic_uploads
 
