@@ -36,7 +36,9 @@ AT_ONCE, PIECE = 1 << 14, 1 << 10
 FRAMES = 16
 CHANGES = "job long, at long, alive boolean"
 #: A waiting use, in the order in which uses are decided; in a second, those without an id come first.
-USE = ["at", "known", "use_id", "size", "someone", "user_id"]
+USE = ["at", "known", "use_id", "sized", "size", "someone", "user_id"]
+#: What tells whether another column has a value.
+FLAGS = {"known": "use_id", "sized": "size", "someone": "user_id"}
 DECIDED = ", ".join(f"{c} long" for c in USE) + ", allowed boolean, used long"
 
 
@@ -145,11 +147,11 @@ class Quotas(StatefulProcessor):
         due = merge(*(self._due(r, passed, left) for r in runs if r.at <= passed))
         while some := list(islice(due, AT_ONCE)):
             allowed, used = [], []
-            for at, _, _, size, *user in some:
+            for at, _, _, sized, size, *user in some:
                 who = tuple(user)
                 if who not in quotas:
                     quotas[who] = Quota(self.most, self.period, *(self.quotas.getValue(who) or ()))
-                allowed.append(quotas[who].take(at, size))
+                allowed.append(quotas[who].take(at, size if sized else None))
                 used.append(quotas[who].used)
             yield pd.DataFrame(np.array(some), columns=USE).assign(allowed=allowed, used=used)
         for who, quota in quotas.items():
@@ -199,17 +201,16 @@ def liveness_stream(beats: DataFrame, interval: int, grace: int = 10, delay: str
 
 
 def quota_stream(uses: DataFrame, most: int, period: int, delay: str = "1 minute") -> DataFrame:
-    """A stream of uses(user_id, at seconds, use_id, size) with `allowed` and `used`, as `quota_fold` gives them, in whatever order they come. A use without a size fails."""
-    number = {c: F.col(c).cast("long") for c in ("user_id", "at", "use_id", "size")}
-    size = F.coalesce(number["size"], F.raise_error(F.lit("a use without a size")))
-    # Longs with nulls would reach pandas as doubles, so two columns tell which ids and users there are.
-    known, someone = (number[c].isNotNull().cast("long") for c in ("use_id", "user_id"))
-    use_id, user_id = (F.coalesce(number[c], F.lit(0)) for c in ("use_id", "user_id"))
-    use = (c.alias(name) for c, name in zip((number["at"], known, use_id, size, someone, user_id), USE))
+    """A stream of uses(user_id, at seconds, use_id, size) with `allowed` and `used`, as `quota_fold` gives them, in whatever order they come."""
+    number = {c: F.col(c).cast("long") for c in ("at", "use_id", "size", "user_id")}
+    # Longs with nulls would reach pandas as doubles, so columns beside them tell what there is.
+    found = {flag: number[c].isNotNull().cast("long") for flag, c in FLAGS.items()}
+    use = ((found[c] if c in FLAGS else F.coalesce(number[c], F.lit(0))).alias(c) for c in USE)
     group = F.pmod(F.xxhash64(number["user_id"]), F.lit(GROUPS)).alias("users")
     timed = uses.where("at is not null").select(group, *use, F.timestamp_seconds("at").alias("time"))
     decided = timed.withWatermark("time", delay).groupBy("users").transformWithStateInPandas(Quotas(most, period), DECIDED, "append", "EventTime")
-    return decided.select(F.when(F.col("someone") == 1, F.col("user_id")).alias("user_id"), "at", F.when(F.col("known") == 1, F.col("use_id")).alias("use_id"), "size", "allowed", "used")
+    given = {c: F.when(F.col(flag) == 1, F.col(c)).alias(c) for flag, c in FLAGS.items()}
+    return decided.select(given["user_id"], "at", given["use_id"], given["size"], "allowed", "used")
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:

@@ -50,9 +50,9 @@ def test_quota_state_lives_on_between_batches(spark, tmp_path):
 
 
 def test_quota_of_users_and_uses_without_an_id(spark, tmp_path):
-    """Ids past 2^53 stay whole beside nulls, and a use without an id comes first in its second."""
+    """Ids past 2^53 stay whole beside nulls, a use without an id comes first in its second, and one that is refused needs no size."""
     big = (1 << 53) + 1
-    uses = [(big, 1000, big, 60), (big, 1000, None, 50), (big + 1, 1000, big + 1, 90), (None, 1000, 0, 100), (None, 1001, 1, 1), (0, 1001, 2, 1)]
+    uses = [(big, 1000, big, 60), (big, 1000, None, 50), (big + 1, 1000, big + 1, 90), (None, 1000, 0, 100), (None, 1001, 1, 1), (None, 1001, 2, None), (0, 1001, 2, 1)]
     seen = in_batches(spark, lambda s: quota_stream(s, 100, 50, "1 second"), [uses, [(9, FAR, 999, 1)]], USES, tmp_path)
     assert seen[1] == rows(quota_fold(spark.createDataFrame(uses, USES), 100, 50)) and (big, 1000, None, 50, True, 50) in seen[1]
 
@@ -111,7 +111,7 @@ def run_quotas(batches, most, period):
     quotas.init(held)
     for uses, passed in batches:
         if uses:
-            frames = (pd.DataFrame([(at, 1, i, size, 1, user) for user, at, i, size in uses[k : k + 50]], columns=["at", "known", "use_id", "size", "someone", "user_id"]) for k in range(0, len(uses), 50))
+            frames = (pd.DataFrame([(at, 1, i, 1, size, 1, user) for user, at, i, size in uses[k : k + 50]], columns=timers.USE) for k in range(0, len(uses), 50))
             assert not list(quotas.handleInputRows((0,), frames, TimerValues(0, passed * 1000)))
         for timer in sorted(t for t in held.timers if t <= passed * 1000):
             held.calls += 1
